@@ -66,8 +66,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, lis
 class WordCache:
     """Bounded map from a word to what was computed for it; two generations stand in for recency.
 
-    ``fill(words)`` returns the values of a list of words that are new. ``table(words)`` returns a dict
-    that holds every one of ``words``. At most ``2 * limit`` entries plus those of one call stay in memory.
+    ``fill(words)`` returns the values of a list of words that are new. ``table(texts)`` returns a dict
+    that holds every word of every one of ``texts`` (lists of words). At most ``2 * limit`` entries plus those of one call stay in memory.
     """
 
     def __init__(self, fill, limit: int = 500_000):
@@ -75,24 +75,26 @@ class WordCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def table(self, words) -> dict:
+    def table(self, texts) -> dict:
         # Millions of new tuples and strings would set off the cycle collector again and again, for nothing.
         collects = gc.isenabled()
         gc.disable()
         try:
-            return self._table(words)
+            return self._table(texts)
         finally:
             if collects:
                 gc.enable()
 
-    def _table(self, words) -> dict:
+    def _table(self, texts) -> dict:
         young = self.young
         if len(young) > self.limit:
             self.old, self.young = young, {}
             young = self.young
         old = self.old
-        missing = []
-        for w in set(words).difference(young):
+        words, missing = set(), []
+        for ws in texts:
+            words.update(ws)
+        for w in words.difference(young):
             if (v := old.get(w)) is not None:
                 young[w] = v
             else:

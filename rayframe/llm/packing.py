@@ -15,18 +15,21 @@ table yields no piece; long documents are cut; equal scores go to the item in th
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, slices
+from .common import slices
 
+#: Bytes of text whose distinct words are encoded together.
+BATCH_BYTES = 16 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
 
@@ -135,15 +138,22 @@ class VectorPacker:
 
 
 #: Letters that are one character in either case and in composed form, then a point or comma.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ȟ]+)([.,]?)")
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ȟ]+[.,]?$"
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] one after the other."""
+    end = np.cumsum(size)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)]
 
 
 class WordIds:
-    """Ids of a tokenizers file as little-endian 32-bit bytes, exact for texts cut at white space.
+    """Ids of a tokenizers file, exact for texts cut at white space.
 
     The file's normaliser turns white space into one space and its pre-tokeniser drops it, so a text's ids are
-    those of its white-space-separated words in turn. Texts in which a word holds an added token's string, or
-    white space beyond what ``str.split`` knows, go through the library whole.
+    those of its white-space-separated words in turn. The distinct words of a batch are encoded once each; ids of
+    texts are then gathered by numpy. Texts in which a word holds an added token's string, or white space beyond
+    what the tokeniser knows, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -153,43 +163,79 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(self._fill)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip(("", ".", ","), [b"", *self._each([".", ","])], strict=True))
+        spec = json.loads(self.tokenizer.to_str())
+        #: For words that the normaliser would leave as they are.
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         self.whole = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # White space to str.split but not to the tokeniser's pattern.
-        self.whole += ["\x1c", "\x1d", "\x1e", "\x1f"]
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-
-    def _fill(self, words: list[str]) -> list[bytes]:
-        """Plain words are encoded many to a text, as that is faster; the ends of words tell them apart."""
-        plain = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else None for w in words]
-        letters = list({x[0] for x in plain if x})
-        ids: dict[str, bytes] = {}
-        for i in range(0, len(letters), 1000):
-            part = letters[i : i + 1000]
-            found = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[found]) + 1
-            if len(ends) != len(part):
-                ids |= zip(part, self._each(part), strict=True)
-                continue
-            data, start = found.tobytes(), 0
-            for w, end in zip(part, (4 * ends).tolist(), strict=True):
-                ids[w] = data[start:end]
-                start = end
-        other = iter(self._each([w for w, x in zip(words, plain, strict=True) if x is None]))
-        marks = self.marks
-        return [ids[x[0]] + marks[x[1]] if x else next(other) for x in plain]
+        # White space to the splitter but not to the tokeniser's pattern.
+        self.whole += ["\x1c", "\x1d", "\x1e", "\x1f", "\u180e"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark = {m: self._each([m])[0] for m in ".,"}
+        if any(len(x) != 1 for x in self.mark.values()):
+            raise ValueError(f"{path} has no tokens for a point and a comma")
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+
+    def _lists(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, numbers of ids) of texts."""
+        ids = self._each(texts)
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of lower-case letters: many to a text, as that is faster; their ends tell them apart."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(size) != len(part):
+                ids, size = self._lists(part)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, numbers of ids) of distinct words."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        some = words.filter(pa.array(plain))
+        mark = np.zeros(len(some), "<u4")
+        for m, ids in self.mark.items():
+            mark[pc.ends_with(some, m).to_numpy(zero_copy_only=False)] = ids[0]
+        letters = pc.dictionary_encode(pc.utf8_rtrim(pc.utf8_lower(some), ".,"))
+        flat, size = self._letters(letters.dictionary.to_pylist())
+        other_flat, other_size = self._lists(words.filter(pa.array(~plain)).to_pylist())
+        code = letters.indices.to_numpy()
+        start = np.cumsum(size) - size
+        both, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        both[plain], begin[plain] = size[code] + (mark > 0), start[code]
+        both[~plain], begin[~plain] = other_size, len(flat) + np.cumsum(other_size) - other_size
+        out = _gather(np.concatenate([flat, other_flat, np.zeros(1, "<u4")]), begin, both)
+        last = np.cumsum(both)[plain] - 1
+        out[last[mark > 0]] = mark[mark > 0]  # the place after the letters' ids holds the mark's
+        return out, both
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for x in self.whole for i, t in enumerate(texts) if x in t}
-        words = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        table = self.cache.table(w for ws in words for w in ws)
-        get = table.__getitem__
-        return [self._fill([t])[0] if i in odd else b"".join(map(get, ws)) for i, (t, ws) in enumerate(zip(texts, words, strict=True))]
+        """Ids of each text as little-endian 32-bit bytes."""
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.whole)]
+        usual = pa.array(texts, pa.large_string())
+        if odd:
+            blank = np.zeros(len(texts), bool)
+            blank[odd] = True
+            usual = pc.if_else(pa.array(blank), pa.scalar("", pa.large_string()), usual)
+        split = pc.utf8_split_whitespace(usual)
+        words = pc.dictionary_encode(split.flatten())
+        flat, size = self._words(words.dictionary)
+        code, of_text = words.indices.to_numpy(), split.offsets.to_numpy()
+        each = size[code]
+        ids = _gather(flat, (np.cumsum(size) - size)[code], each)
+        end = np.append(0, np.cumsum(each))[of_text]
+        out = [ids[a:b].tobytes() for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+        for i in odd:
+            out[i] = self._each([texts[i]])[0].tobytes()
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -226,7 +272,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), BATCH_BYTES):
                 done = []
                 for k, data in enumerate(words.encode(texts)):
                     data += end

@@ -238,7 +238,7 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             n, a, b = [], [], []
             for _, texts in slices(batch.column(1)):
                 words = [m.words(t) for t in texts]
-                get = m.cache.table(w for ws in words for w in ws).__getitem__
+                get = m.cache.table(words).__getitem__
                 for ws in words:
                     found = list(map(get, ws))
                     ids, text = b",".join([x for x, _ in found]), b"".join([x for _, x in found])

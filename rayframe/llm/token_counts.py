@@ -89,7 +89,7 @@ class ByteBpeCounter:
     def count(self, texts: list[str]) -> list[int]:
         parts = [(i, p) for i, t in enumerate(texts) for p in (self.added.split(t) if self.added else [t])]
         units = [UNIT.findall(p) for _, p in parts]
-        get = self.cache.table(u for us in units for u in us).__getitem__
+        get = self.cache.table(units).__getitem__
         out = [-1 if self.added else 0] * len(texts)  # one added token between two parts
         for (i, _), us in zip(parts, units, strict=True):
             out[i] += sum(map(get, us)) + bool(self.added)
