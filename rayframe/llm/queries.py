@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, imatch, langid, packing, pieces, simhash, token_counts, warc
+from . import exact_dedup, html_text, imatch, langid, lattice, packing, pieces, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("n_loss")
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,7 +55,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_language, op5_main_text, op6_packing, op8_pieces, op9_token_counts, op10_imatch)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_language, op5_main_text, op6_packing, op7_lattice, op8_pieces, op9_token_counts, op10_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
