@@ -10,11 +10,14 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of a list of rows that is sent to all executors; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 32 << 20
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -45,6 +48,31 @@ def keep(df: DataFrame, what: str, partition_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, what: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns that tell its rows apart: file and row number. (their names)
+
+    Both are read from the Parquet files and so stay the same whenever rows are read again, by whichever task.
+    Rows that come from anything but Parquet files are written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = keep(docs, what)
+    names = ["file", "row"]
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = [f"{n}_" for n in names]
+    return docs.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+
+
+def without(docs: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame:
+    """The rows of ``located`` whose place is not among ``dropped`` (columns file, row), without their place."""
+    dropped = keep(dropped.select("file", "row"), "dropped-rows")
+    keys = dropped.select(F.col("file").alias(names[0]), F.col("row").alias(names[1]))
+    if dropped.count() * 256 <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, names, "left_anti").drop(*names)
+
+
 def crc_mod(doc_id, modulus: int):
     """Column: crc32 of the id written in decimal, modulo ``modulus``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -12,11 +12,10 @@ read first stays; an empty table yields no row.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir
+from .common import keep, located, shared_dir, without
 
 #: Most bytes of group keys that are sent to all executors to pick the rows to check; beyond it all rows are checked.
 BROADCAST_KEYS = 16 << 20
@@ -54,20 +53,25 @@ def digest_state(spark: SparkSession, digests: str, schema) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256. ``digest_bits`` below 256 is for tests of collisions."""
+    return _groups(*located(docs, "dedup-input"), id_col, text_col, digest_bits).drop("file", "row")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    docs, names = located(docs, "dedup-input")
+    return without(docs, names, _groups(docs, names, id_col, text_col, 256).filter("NOT kept"))
+
+
+def _groups(docs: DataFrame, names: list[str], id_col: str, text_col: str, digest_bits: int) -> DataFrame:
     spark = docs.sparkSession
-    try:
-        docs.select("_metadata.file_path")
-        file = F.col("_metadata.file_path")
-    except AnalysisException:
-        file = F.lit(None).cast("string")
     text = normalised(F.col(text_col))
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), file.alias("file")).withColumn("sha", F.sha2("norm", 256))
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), F.col(names[0]).alias("file"), F.col(names[1]).alias("row")).withColumn("sha", F.sha2("norm", 256))
     key = F.unhex(F.col("sha").substr(1, max(2, digest_bits // 4)))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("row"), "file")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
     digests = keep(hashed.select(key.alias("key"), first.alias("first"), "sha"), "digests")
     path = digests.inputFiles()
     if not path:
-        return digests.select("first.doc_id", F.col("first.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+        return digests.select("first.doc_id", F.col("first.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "first.file", "first.row")
     state = keep(digest_state(spark, path[0].rsplit("/", 1)[0], digests.schema), "dedup-groups")
 
     hits = state.filter("n > 1").select(F.col("key").alias("hit"))
@@ -80,7 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     collided = keep(collided, "dedup-collisions")
 
     out = digests.join(state.select("key", F.col("first").alias("stays"), "n"), "key")
-    columns = ["first.doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.row") == F.col("stays.row")).alias("kept"), F.col("sha").alias("text_sha256")]
+    columns = ["first.doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("first.row") == F.col("stays.row")) & (F.col("first.file") == F.col("stays.file"))).alias("kept"), F.col("sha").alias("text_sha256"), "first.file", "first.row"]
     if collided.isEmpty():
         return out.select(*columns)
     # Digests that meet with different bytes: their groups are those of equal bytes. SHA-256 knows no such case.

@@ -172,30 +172,56 @@ def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 6
     ``learn``: the rows that may be learned from; by default those whose crc32 of the id modulo 4 is not 2.
     """
     learn = crc_mod(F.col(id_col), 4) != 2 if learn is None else learn
-    model = train(sample(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col), sample_chars)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    predict = predictor(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if m.letters not in _lookups:
-            _lookups.clear()
-            _lookups[m.letters] = m.lookup()
         for batch in batches:
-            best, score = [], []
-            for _, texts in slices(batch.column(2)):
-                if not m.names:
-                    best += ["und"] * len(texts)
-                    score += [0.0] * len(texts)
-                    continue
-                count, length = phrases(texts, m, _lookups[m.letters])
-                bits = count * m.bits / np.maximum(length, 1)[:, None]
-                order = np.argsort(bits, axis=1, kind="stable")
-                first = np.take_along_axis(bits, order[:, :1], 1)[:, 0]
-                second = np.take_along_axis(bits, order[:, 1:2], 1)[:, 0] if len(m.names) > 1 else np.full(len(texts), np.inf)
-                sure = np.where(length > 0, 1 - first / np.maximum(second, 1e-300), 0.0)
-                best += [m.names[k] if n else "und" for k, n in zip(order[:, 0].tolist(), length.tolist(), strict=True)]
-                score += np.clip(sure, 0.0, 1.0).tolist()
+            best, score = predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, min_score: float = 0.0, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``min_score``, with all their columns as they are."""
+    learn = crc_mod(F.col(id_col), 4) != 2 if learn is None else learn
+    predict = predictor(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = predict(batch.column(at))
+            yield batch.filter(pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def predictor(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, languages: int, text_col: str, lang_col: str):
+    """A function for executors, from an Arrow array of texts to (languages, scores), with the model trained on ``docs``."""
+    model = train(sample(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col), sample_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
+        m = shared.value
+        if m.letters not in _lookups:
+            _lookups.clear()
+            _lookups[m.letters] = m.lookup()
+        best: list[str] = []
+        score: list[float] = []
+        for _, part in slices(texts):
+            if not m.names:
+                best += ["und"] * len(part)
+                score += [0.0] * len(part)
+                continue
+            count, length = phrases(part, m, _lookups[m.letters])
+            bits = count * m.bits / np.maximum(length, 1)[:, None]
+            order = np.argsort(bits, axis=1, kind="stable")
+            first = np.take_along_axis(bits, order[:, :1], 1)[:, 0]
+            second = np.take_along_axis(bits, order[:, 1:2], 1)[:, 0] if len(m.names) > 1 else np.full(len(part), np.inf)
+            sure = np.where(length > 0, 1 - first / np.maximum(second, 1e-300), 0.0)
+            best += [m.names[k] if n else "und" for k, n in zip(order[:, 0].tolist(), length.tolist(), strict=True)]
+            score += np.clip(sure, 0.0, 1.0).tolist()
+        return best, score
+
+    return predict

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import keep, located, slices, without
 from .graph import components, forest
 
 BITS = 64
@@ -56,15 +56,16 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, fp (the fingerprint's bits as a signed long), and with ``place`` its file and row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for _, texts in slices(batch.column(1)) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["file", "row"][: batch.num_columns - 2]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [F.col(c).alias(n) for c, n in zip(place or [], ["file", "row"], strict=False)]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", file string, row long" * bool(place))
 
 
 def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +191,23 @@ def links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
 
 def near_dedup(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the least id reachable over links)."""
-    fps = keep(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = keep(classes, "fingerprint-classes")
+    out = _components(keep(fingerprints(docs, words, id_col, text_col), "fingerprints"), radius, bucket)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, of each component the one with the least id, with all their columns."""
+    docs, names = located(docs, "near-dedup-input")
+    rows = keep(_components(keep(fingerprints(docs, words, id_col, text_col, names), "fingerprints"), radius, BUCKET), "components")
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("stays"))
+    stays = stays.select("stays.file", "stays.row")
+    return without(docs, names, rows.join(stays, ["file", "row"], "left_anti"))
+
+
+def _components(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """``fps`` with root (a fingerprint of the component) and component_id."""
+    classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(links(classes, radius, bucket))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(joined.select("fp", "root").join(least, "root"), "fp")
