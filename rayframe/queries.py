@@ -83,7 +83,7 @@ def cone_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cone_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cone_beam(nation_views(spark, sf_dir, F.col("view") * F.lit(2 * pi / 25) + F.lit(TURN)), SPACE, 25, (2.0, 2.0), (10, 10), 2.0, 1.5)
+    return G.cone_beam(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (10, 10), 2.0, 1.5)
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
@@ -396,7 +396,10 @@ def _ray_rows(views: DataFrame, dim: int = 3) -> DataFrame:
 
 
 FULL = f"n_nationkey * (2 * pi() / 25) + {TURN}"
-TURN2 = F.col("view") * F.lit(2 * pi / 25) + F.lit(TURN)
+
+
+def full_turn() -> Column:
+    return F.col("view") * F.lit(2 * pi / 25) + F.lit(TURN)
 
 
 @query(
@@ -429,7 +432,7 @@ def rays_dual_axis(spark, sf_dir):
     )
 )
 def rays_fan(spark, sf_dir):
-    return _ray_rows(G.fan_beam(nation_views(spark, sf_dir, TURN2), PLANE, 25, 2.5, 8, 4.0, 3.0), 2)
+    return _ray_rows(G.fan_beam(nation_views(spark, sf_dir, full_turn()), PLANE, 25, 2.5, 8, 4.0, 3.0), 2)
 
 
 def _about(x: tuple[str, str, str], axis: int, rise: str = "0", angle: str = "t") -> list[str]:
@@ -440,7 +443,7 @@ def _about(x: tuple[str, str, str], axis: int, rise: str = "0", angle: str = "t"
 
 @query(_trajectory_sql(FULL, _about(("-2.0", "0", "0"), 2), _about(("1.5", "0", "0"), 2), [_turned(("0", "1", "0"), 2), ["0", "0", "1"]]))
 def rays_cone(spark, sf_dir):
-    return _ray_rows(G.cone_beam(nation_views(spark, sf_dir, TURN2), SPACE, 25, (2.0, 2.0), (4, 4), 2.0, 1.5))
+    return _ray_rows(G.cone_beam(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (4, 4), 2.0, 1.5))
 
 
 RISE = "(n_nationkey / 24.0 - 0.5)"
@@ -450,7 +453,7 @@ RISE = "(n_nationkey / 24.0 - 0.5)"
     _trajectory_sql(f"{FULL}, {RISE} AS h", _about(("-2.0", "0", "0"), 2, "h"), _about(("1.5", "0", "0"), 2, "h"), [_turned(("0", "1", "0"), 2), ["0", "0", "1"]]).replace(f"{FULL}, {RISE} AS h AS t", f"{FULL} AS t, {RISE} AS h")
 )
 def rays_helical(spark, sf_dir):
-    return _ray_rows(G.helical_cone_beam(nation_views(spark, sf_dir, TURN2), SPACE, 25, (2.0, 2.0), (4, 4), 3.0, 2.0, 1.5))
+    return _ray_rows(G.helical_cone_beam(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (4, 4), 3.0, 2.0, 1.5))
 
 
 FAR = "(2 - 0.5 * cos(n_nationkey * pi() / 25))"
@@ -460,7 +463,7 @@ FAR = "(2 - 0.5 * cos(n_nationkey * pi() / 25))"
     _trajectory_sql(f"{FULL} AS t, {FAR} AS h", _about(("-h", "0", "0"), 1), _about(("h", "0", "0"), 1), [["0", "1", "0"], _turned(("0", "0", "1"), 1)]).replace(f"{FAR} AS h AS t", f"{FAR} AS h")
 )
 def rays_dynamic_cone(spark, sf_dir):
-    return _ray_rows(G.dynamic_cone_beam(nation_views(spark, sf_dir, TURN2), SPACE, 25, (2.0, 2.0), (4, 4)))
+    return _ray_rows(G.dynamic_cone_beam(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (4, 4)))
 
 
 @query(_trajectory_sql("n_nationkey * (0.5 * pi() / 24) - 0.25 * pi()", _about(("0", "0", "2.0"), 0), ["0.5", "0.5", "-1.0"], [["1", "0", "0"], ["0", "1", "0"]]))
@@ -485,7 +488,7 @@ def _laminography_sql() -> str:
 
 @query(_laminography_sql())
 def rays_laminography(spark, sf_dir):
-    return _ray_rows(G.laminography(nation_views(spark, sf_dir, TURN2), SPACE, 25, (2.0, 2.0), (4, 4), 1.0, 1.0, 1.0, 0.8))
+    return _ray_rows(G.laminography(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (4, 4), 1.0, 1.0, 1.0, 0.8))
 
 
 @query()
