@@ -1,53 +1,26 @@
-"""What the training-data operators share: the cluster's shared folder, text slices, word caches."""
+"""What the training-data operators share: rows' places, text slices, word caches."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep, shared_dir
+
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 #: Bytes of a list of rows that is sent to all executors; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 32 << 20
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="rayframe-")).as_uri()
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rayframe/{what}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def located(docs: DataFrame, what: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with two more columns that tell its rows apart: file and row number. (their names)
 
@@ -73,6 +46,23 @@ def without(docs: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame:
     return docs.join(keys, names, "left_anti").drop(*names)
 
 
+def tidy(run):
+    """``run`` for mapInArrow, after which a worker gives back the memory it no longer needs.
+
+    Workers are used again for other tasks, and what the allocators hold on to would add up over stages.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def crc_mod(doc_id, modulus: int):
     """Column: crc32 of the id written in decimal, modulo ``modulus``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -130,3 +120,6 @@ class WordCache:
         if missing:
             young.update(zip(missing, self.fill(missing), strict=True))
         return young
+
+
+__all__ = ["SLICE_BYTES", "WordCache", "crc_mod", "keep", "located", "shared_dir", "slices", "tidy", "without"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import keep, slices, tidy
 
 SUBSETS, GROUPS = 128, 8
 #: Subsets that keep a term of either text, of which a share is taken at least.
@@ -137,7 +137,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if count:
             yield batch_of()
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term binary, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "term binary, n long")
     return rows.groupBy("term").agg(F.sum("n").alias("df"))
 
 
@@ -227,14 +227,14 @@ def fingerprint_edits(docs: DataFrame, low: float = 1e-3, high: float = 0.2, ter
     before = [(firsts[i][0], firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
     before = F.broadcast(spark.createDataFrame(before, "bucket int, first_id long, previous int"))  # one row per bucket
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first_pass, "doc_id long, n_chars long, fp binary, packed binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(first_pass), "doc_id long, n_chars long, fp binary, packed binary")
     rows = rows.withColumn("bucket", bucket.cast("int")).join(before, "bucket")
     own = F.struct(F.col("bucket"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("tail"))
     is_first = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")
     rows = rows.withColumn("at", F.explode(F.when(is_first, F.array(own, tail)).otherwise(F.array(own)))).select("at.bucket", "at.tail", "doc_id", "fp", "packed", "n_chars")
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_first("doc_id"), "n_chars", "packed")
-    return rows.select("bucket", "tail", "doc_id", "fp", "packed").mapInArrow(second_pass, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("bucket", "tail", "doc_id", "fp", "packed").mapInArrow(tidy(second_pass), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _hex(fp: np.ndarray) -> str:

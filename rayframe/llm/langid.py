@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, slices, tidy
 
 BLOCK = 1024
 #: Letters that have a symbol of their own, the most frequent ones; the others share one.
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, min_score: float = 0.0, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -194,7 +194,7 @@ def identified(docs: DataFrame, min_score: float = 0.0, learn: Column | None = N
             best, score = predict(batch.column(at))
             yield batch.filter(pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def predictor(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, languages: int, text_col: str, lang_col: str):

@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
 
@@ -284,4 +284,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
         if done := packer.close():
             yield rows(done)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(pack), SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, located, slices, without
+from .common import keep, located, slices, tidy, without
 from .graph import components, forest
 
 BITS = 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["file", "row"][: batch.num_columns - 2]])
 
     more = [F.col(c).alias(n) for c, n in zip(place or [], ["file", "row"], strict=False)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", file string, row long" * bool(place))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(tidy(run), "doc_id long, fp long" + ", file string, row long" * bool(place))
 
 
 def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +186,7 @@ def links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
             yield flush(np.concatenate(fps), np.concatenate(groups))
 
     ordered = rows.select("t", "key", "i", "j", "fp").repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, slices
+from .common import WordCache, slices, tidy
 
 #: Fixed value: characters with Unicode's White_Space property, for a character class.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
             tokens = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, pc.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 
 #: Most bytes of one archive file, if no record is larger.
 FILE_BYTES = 64 << 20
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 20, mi
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    text = rows.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
+    text = rows.mapInArrow(tidy(write), "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // (segment_bytes + 1024))).text(path)
 
 
@@ -193,7 +193,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 
     fields = ["record_id", "record_type", "page_id", "url", "refers_to", "payload_digest", "block"]
     whole = parsed(False).select(*fields, F.lit(None).cast("string").alias("problem"))
@@ -209,7 +209,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     problem = F.when(F.col("record_type").isNull() | ~gapless, "segments are missing or repeated").when(stated.isNull() | (stated != lengths), "the segments' lengths do not add up to the total")
     block = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))")
     whole = whole.unionByName(grouped.select(F.col("origin").alias("record_id"), *fields[1:-1], block.alias("block"), problem.alias("problem")))
-    return whole.mapInArrow(_opened, PAYLOAD)
+    return whole.mapInArrow(tidy(_opened), PAYLOAD)
 
 
 def round_trip(pages: DataFrame, segment_bytes: int = 1 << 14) -> DataFrame:
