@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import SLICE_BYTES, slices, tidy
 
 #: Elements by what they are, as HTML names them.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr keygen basefont bgsound".split())
@@ -32,6 +32,7 @@ LITERAL = frozenset("script style textarea title iframe noframes noembed xmp nos
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset search label".split())
+CONTAINERS = frozenset("div section article main td table tbody blockquote html center".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr optgroup option legend".split())
 #: An opening tag ends an open element of these names, not reaching past the second set.
 IMPLIED = {
@@ -54,7 +55,10 @@ UNLIKELY = re.compile(
     r"hidden|sr-only|noprint|navigation|complementary|contentinfo|alertdialog)(?:$|[\s_-])",
     re.I,
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post|entry\w*|story\w*|body|text)(?:$|[\s_-])", re.I)
+#: Classes, ids and roles that by themselves mark a main container.
+LIKELY = frozenset("article main content post entry story main-content article-body article-content post-body post-content entry-content story-body page-content hentry".split())
+#: A container that says which parts it has beside its text.
+BESIDE = re.compile(r"(?:has|with|without|no)[_-]", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LABEL = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|!--|[!?/])")
@@ -141,8 +145,20 @@ def tree(html: str) -> Node:
     return root
 
 
+def likely(n: Node) -> bool:
+    return n.name in ("article", "main") or not LIKELY.isdisjoint(n.label.lower().split())
+
+
 def unlikely(n: Node) -> bool:
-    return n.skip or n.name in ASIDE or bool(n.label) and UNLIKELY.search(n.label) is not None and not (n.name in ("article", "main") or LIKELY.search(n.label))
+    """Whether an element is no main text by what it is or is called; an article's own header is."""
+    if n.skip:
+        return True
+    if n.name in ASIDE:
+        up = n.parent if n.name == "header" else None
+        while up is not None and up.name not in ("article", "main"):
+            up = up.parent
+        return up is None
+    return bool(n.label) and not likely(n) and any(UNLIKELY.search(x) and not BESIDE.search(x) for x in n.label.split())
 
 
 def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
@@ -218,12 +234,12 @@ def main_text(html: str | None) -> str:
 
     def net(n: Node) -> float:
         s = score.get(n, 0.0)
-        if n.name in ("article", "main") or n.label and LIKELY.search(n.label):
+        if likely(n):
             s = s * 1.25 + 25
         both = length.get(n, (0, 0))
         return s * (1 - both[1] / both[0]) if both[0] else 0.0
 
-    candidates = [n for n in length if n.name in ("article", "main", "html") or n.name in score_names and n in score or n.label and n in score]
+    candidates = [n for n in length if n.name in ("article", "main", "html") or n in score and (n.name in CONTAINERS or n.label)]
     best = max(candidates, key=net, default=root)
     if not score and best is root:
         kept = [root]
@@ -259,9 +275,6 @@ def main_text(html: str | None) -> str:
     return "\n".join(out)
 
 
-score_names = frozenset("div section article main td table tbody blockquote html center".split())
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars (code points)."""
 
@@ -273,4 +286,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
