@@ -17,10 +17,20 @@ SHEPP_LOGAN = [
     (0.01, 0.2100, 0.2500, 0, 0.35, 0), (0.01, 0.0460, 0.0460, 0, 0.1, 0), (0.02, 0.0460, 0.0460, 0, -0.1, 0), (0.01, 0.0460, 0.0230, -0.08, -0.605, 0),
     (0.01, 0.0230, 0.0230, 0, -0.606, 0), (0.01, 0.0230, 0.0460, 0.06, -0.605, 0),
 ]
-#: Intensities of the same ellipses in the modified phantom, which has more contrast.
-MODIFIED = [1, -0.8, -0.2, -0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1]
-#: Third half axes of the modified phantom's ellipsoids.
-DEPTHS = [0.81, 0.78, 0.22, 0.28, 0.41, 0.05, 0.05, 0.05, 0.02, 0.02]
+#: The modified phantom's ellipses, with more contrast.
+MODIFIED = [
+    (1, 0.69, 0.92, 0, 0, 0), (-0.80, 0.6624, 0.8740, 0, -0.0184, 0), (-0.20, 0.1100, 0.3100, 0.22, 0, -18), (-0.20, 0.1600, 0.4100, -0.22, 0, 18),
+    (0.10, 0.2100, 0.2500, 0, 0.35, 0), (0.10, 0.0460, 0.0460, 0, 0.1, 0), (0.10, 0.0460, 0.0460, 0, -0.1, 0), (0.10, 0.0460, 0.0230, -0.08, -0.605, 0),
+    (0.10, 0.0230, 0.0230, 0, -0.606, 0), (0.10, 0.0230, 0.0460, 0.06, -0.605, 0),
+]
+#: The modified phantom's ellipsoids (intensity, half axes, centre, three angles in degrees).
+MODIFIED_SPACE = [
+    (1.00, 0.6900, 0.9200, 0.810, 0.0000, 0.0000, 0.00, 0.0, 0.0, 0.0), (-0.8, 0.6624, 0.8740, 0.780, 0.0000, -0.0184, 0.00, 0.0, 0.0, 0.0),
+    (-0.2, 0.1100, 0.3100, 0.220, 0.2200, 0.0000, 0.00, -18.0, 0.0, 0.0), (-0.2, 0.1600, 0.4100, 0.280, -0.2200, 0.0000, 0.00, 18.0, 0.0, 0.0),
+    (0.1, 0.2100, 0.2500, 0.410, 0.0000, 0.3500, 0.00, 0.0, 0.0, 0.0), (0.1, 0.0460, 0.0460, 0.050, 0.0000, 0.1000, 0.00, 0.0, 0.0, 0.0),
+    (0.1, 0.0460, 0.0460, 0.050, 0.0000, -0.1000, 0.00, 0.0, 0.0, 0.0), (0.1, 0.0460, 0.0230, 0.050, -0.0800, -0.6050, 0.00, 0.0, 0.0, 0.0),
+    (0.1, 0.0230, 0.0230, 0.020, 0.0000, -0.6060, 0.00, 0.0, 0.0, 0.0), (0.1, 0.0230, 0.0460, 0.020, 0.0600, -0.6050, 0.00, 0.0, 0.0, 0.0),
+]
 
 
 def elementwise(a: DataFrame, b: DataFrame, op: str, key: str = "voxel") -> DataFrame:
@@ -92,19 +102,21 @@ def phantom(spark: SparkSession, volume: Volume, kind: str = "modified", within:
     A voxel's lower corner decides. In three dimensions ellipsoids are turned about axis 1 and further angles don't count.
     """
     within = within or volume
-    intensity = MODIFIED if kind == "modified" else [e[0] for e in SHEPP_LOGAN]
     if kind not in ("modified", "original") or kind == "original" and volume.dim == 3:
         raise ValueError(f"no {kind} phantom in {volume.dim} dimensions")
     x = [2 * ((o + F.col(f"i{d}") / n * length - wo) / wl) - 1 for d, (o, n, length, wo, wl) in enumerate(zip(volume.origin, volume.voxels, volume.lengths, within.origin, within.lengths, strict=True))]
     rows = volume.grid(spark).select("voxel", *V.named(x, "x"))
     total = F.lit(0.0)
-    for value, (_, a, b, x0, y0, angle), c in zip(intensity, SHEPP_LOGAN, DEPTHS, strict=True):
-        co, si = cos(angle * pi / 180), sin(angle * pi / 180)
-        dx, dy = F.col("x0") - x0, F.col("x1") - y0
-        if volume.dim == 2:
+    if volume.dim == 2:
+        for value, a, b, x0, y0, angle in MODIFIED if kind == "modified" else SHEPP_LOGAN:
+            co, si = cos(angle * pi / 180), sin(angle * pi / 180)
+            dx, dy = F.col("x0") - x0, F.col("x1") - y0
             r = (dx * co + dy * si) ** 2 / a**2 + (dy * co - dx * si) ** 2 / b**2
-        else:
-            z = F.col("x2")
-            r = F.sqrt(((dx * co + z * si) / a) ** 2 + (dy / b) ** 2 + ((z * co - dx * si) / c) ** 2)
-        total = total + F.when(r <= 1.0, float(value)).otherwise(0.0)
+            total = total + F.when(r <= 1.0, float(value)).otherwise(0.0)
+    else:
+        for value, a, b, c, x0, y0, z0, angle, _, _ in MODIFIED_SPACE:
+            co, si = cos(angle * pi / 180), sin(angle * pi / 180)
+            dx, dy, dz = F.col("x0") - x0, F.col("x1") - y0, F.col("x2") - z0
+            r = F.sqrt(((dx * co + dz * si) / a) ** 2 + (dy / b) ** 2 + ((dz * co - dx * si) / c) ** 2)
+            total = total + F.when(r <= 1.0, float(value)).otherwise(0.0)
     return rows.select("voxel", total.alias("value"))

@@ -344,14 +344,16 @@ def _phantom_sql(dim: int, n: int) -> str:
     from math import cos, sin
 
     total = []
-    for value, (_, a, b, x0, y0, angle), c in zip(image.MODIFIED, image.SHEPP_LOGAN, image.DEPTHS, strict=True):
-        co, si = cos(angle * pi / 180), sin(angle * pi / 180)
-        dx, dy = f"(x - {x0!r})", f"(y - {y0!r})"
-        if dim == 2:
-            r = f"pow({dx} * {co!r} + {dy} * {si!r}, 2) / {a * a!r} + pow({dy} * {co!r} - {dx} * {si!r}, 2) / {b * b!r}"
-        else:
-            r = f"pow(({dx} * {co!r} + z * {si!r}) / {a!r}, 2) + pow({dy} / {b!r}, 2) + pow((z * {co!r} - {dx} * {si!r}) / {c!r}, 2)"
-        total.append(f"CASE WHEN {r} <= 1.0 THEN {value!r}::DOUBLE ELSE 0 END")
+    if dim == 2:
+        for value, a, b, x0, y0, angle in image.MODIFIED:
+            co, si = cos(angle * pi / 180), sin(angle * pi / 180)
+            r = f"pow((x - {x0!r}) * {co!r} + (y - {y0!r}) * {si!r}, 2) / {a * a!r} + pow((y - {y0!r}) * {co!r} - (x - {x0!r}) * {si!r}, 2) / {b * b!r}"
+            total.append(f"CASE WHEN {r} <= 1.0 THEN {value!r}::DOUBLE ELSE 0 END")
+    else:
+        for value, a, b, c, x0, y0, z0, angle, _, _ in image.MODIFIED_SPACE:
+            co, si = cos(angle * pi / 180), sin(angle * pi / 180)
+            r = f"pow(((x - {x0!r}) * {co!r} + (z - {z0!r}) * {si!r}) / {a!r}, 2) + pow((y - {y0!r}) / {b!r}, 2) + pow(((z - {z0!r}) * {co!r} - (x - {x0!r}) * {si!r}) / {c!r}, 2)"
+            total.append(f"CASE WHEN {r} <= 1.0 THEN {value!r}::DOUBLE ELSE 0 END")
     z = f", 2.0 * (r // {n * n}) / {n} - 1 AS z" if dim == 3 else ""
     return f"SELECT r AS voxel, round({' + '.join(total)}, 6) + 0.0 AS value FROM (SELECT r, 2.0 * (r % {n}) / {n} - 1 AS x, 2.0 * ((r // {n}) % {n}) / {n} - 1 AS y{z} FROM range({n**dim}) t(r))"
 
