@@ -68,17 +68,23 @@ def crc_mod(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows with about ``limit`` bytes; null counts as empty."""
+def runs(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of runs of rows with about ``limit`` bytes."""
     lengths = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_pylist()
     first = total = 0
     for i, n in enumerate(lengths):
         if i > first and total + n > limit:
-            yield first, [x or "" for x in texts.slice(first, i - first).to_pylist()]
+            yield first, texts.slice(first, i - first)
             first, total = i, 0
         total += n
     if first < len(lengths):
-        yield first, [x or "" for x in texts.slice(first).to_pylist()]
+        yield first, texts.slice(first)
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """The same with texts as strings; null counts as empty."""
+    for first, part in runs(texts, limit):
+        yield first, [x or "" for x in part.to_pylist()]
 
 
 class WordCache:
@@ -122,4 +128,4 @@ class WordCache:
         return young
 
 
-__all__ = ["SLICE_BYTES", "WordCache", "crc_mod", "keep", "located", "shared_dir", "slices", "tidy", "without"]
+__all__ = ["SLICE_BYTES", "WordCache", "crc_mod", "keep", "located", "runs", "shared_dir", "slices", "tidy", "without"]

@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import runs, tidy
 
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
 
@@ -217,14 +217,18 @@ class WordIds:
         out[last[mark > 0]] = mark[mark > 0]  # the place after the letters' ids holds the mark's
         return out, both
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes."""
-        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.whole)]
-        usual = pa.array(texts, pa.large_string())
-        if odd:
-            blank = np.zeros(len(texts), bool)
-            blank[odd] = True
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes; null counts as empty."""
+        usual = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        offsets = np.frombuffer(usual.buffers()[1], np.int64)[usual.offset : usual.offset + len(usual) + 1]
+        data = usual.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+        odd = {}
+        if any(x.encode() in data for x in self.whole):
+            odd = {i: t for i, t in enumerate(usual.to_pylist()) if any(x in t for x in self.whole)}
+            blank = np.zeros(len(usual), bool)
+            blank[list(odd)] = True
             usual = pc.if_else(pa.array(blank), pa.scalar("", pa.large_string()), usual)
+        del data
         split = pc.utf8_split_whitespace(usual)
         words = pc.dictionary_encode(split.flatten())
         flat, size = self._words(words.dictionary)
@@ -233,8 +237,8 @@ class WordIds:
         ids = _gather(flat, (np.cumsum(size) - size)[code], each)
         end = np.append(0, np.cumsum(each))[of_text]
         out = [ids[a:b].tobytes() for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-        for i in odd:
-            out[i] = self._each([texts[i]])[0].tobytes()
+        for i, t in odd.items():
+            out[i] = self._each([t])[0].tobytes()
         return out
 
 
@@ -272,7 +276,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1), BATCH_BYTES):
+            for first, texts in runs(batch.column(1), BATCH_BYTES):
                 done = []
                 for k, data in enumerate(words.encode(texts)):
                     data += end
