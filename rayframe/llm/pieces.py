@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,8 @@ class PieceModel:
 
     def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, number of symbols of each word) of words that are not empty."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         symbol = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_symbol, done_word = [], []
@@ -123,8 +126,6 @@ class PieceModel:
             r, m = self._ranks(symbol[new], symbol[after])
             r[(word[after] != word[new]) | (after == new)] = NEVER
             rank[new], made[new] = r, m
-        if not done_symbol:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         symbol, word = np.concatenate(done_symbol), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return symbol[order], np.bincount(word, minlength=len(words))
@@ -261,8 +262,6 @@ def decode_column(docs: DataFrame, model: str, ids_col: str = "ids", to: str = "
 
 
 def _with(docs: DataFrame, model: str, column: str, to: str, kind: str, f) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def udf(xs: pd.Series) -> pd.Series:
         if model not in _models:
