@@ -19,6 +19,8 @@ from .common import keep, located, shared_dir, without
 
 #: Most bytes of group keys that are sent to all executors to pick the rows to check; beyond it all rows are checked.
 BROADCAST_KEYS = 16 << 20
+#: Of each state partition: as there may be hundreds on an executor, its share of native memory stays small.
+WRITE_BUFFER_MB = 8
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,7 +36,7 @@ def digest_state(spark: SparkSession, digests: str, schema) -> DataFrame:
     Columns: key, first (the least struct of the group), n.
     """
     at = shared_dir(spark, "dedup-state")
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": str(WRITE_BUFFER_MB), "spark.sql.streaming.stateStore.maintenanceInterval": "10s"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
