@@ -7,8 +7,8 @@ the least wins. Transitions that end a phrase lead to states of their own, so th
 many texts through all automata at once. Texts are parsed whole, in blocks of ``BLOCK`` symbols, each of which
 starts a phrase.
 
-The sample is bounded: per language at most ``sample_texts`` distinct texts of at most ``sample_chars // 4``
-characters each, those with the least hashes, and ``sample_chars`` symbols together; at most ``languages``
+The sample is bounded: per language at most ``sample_texts`` distinct texts, those with the least hashes, each
+with its first ``sample_chars // 4`` characters, and ``sample_chars`` symbols together; at most ``languages``
 languages, those with most rows. Sample sizes and the broadcast model follow from these parameters alone.
 
 Edge cases: null text, or none with letters, gives ``und`` and score 0; of equal entropies the language first
@@ -154,14 +154,15 @@ def sample(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int,
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not most:
         return {}
-    # Some twenty times the rows asked for pass by their hash; the least of them are taken.
-    share = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, 20 * sample_texts / r["count"]))])
-    some = rows.filter(F.col("lang").isin([r["lang"] for r in most]) & F.col("text").isNotNull() & (F.length("text") <= sample_chars // 4))
-    some = some.withColumn("hash", F.xxhash64("text")).filter(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    once = some.groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    named = rows.filter(F.col("lang").isin([r["lang"] for r in most]) & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    # Hashes alone are ranked, each distinct one once, so that copies and long texts cost a language nothing.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    least = named.select("lang", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("lang", "hash")
+    least = docs.sparkSession.createDataFrame([tuple(r) for r in least.collect()], "lang string, hash long")  # at most languages * sample_texts rows
+    some = named.join(F.broadcast(least), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, sample_chars // 4).alias("text"))
+    once = some.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(once.withColumn("rank", rank).filter(F.col("rank") <= sample_texts).collect(), key=lambda r: (r["lang"], r["hash"])):
+    for r in sorted(once.collect(), key=lambda r: (r["lang"], r["hash"])):
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
