@@ -1,0 +1,166 @@
+"""Near-deduplication by the similarity of shingle sets, exact for its threshold.
+
+A text is the set of its runs of ``words`` words; two texts are near copies if the Jaccard similarity of their sets
+is at least ``similarity``. In any order common to all sets, two such sets share one of their first
+n - ceil(similarity * n) + 1 shingles, so texts are compared if they do, and if their sizes and the places of the
+shared shingle allow the similarity at all. The order has rare shingles first: those that a sample of at most
+``SAMPLE`` texts has ``HOT_FROM`` times or more come last, by their counts. The sample decides what is compared in
+vain, never what is found. A pair's overlap is at most the sum of the lesser counts of their shingles in each of
+``BINS`` bins of hashes; whole sets are compared for the pairs that this leaves, and components found over the links.
+
+Texts with equal sets are one node. Shingles and sets are told apart by 64-bit hashes.
+
+Edge cases: null and blank texts have the empty set and are copies of each other; fewer words than a shingle's make
+one shingle; a null id stays only if all ids of its component are null; an empty table yields no row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_ROWS, keep, located, slices, tidy, without
+from .graph import components
+
+SEED = 42
+#: Most texts, and most shingles, of the sample that tells the frequent ones.
+SAMPLE, HOT, HOT_FROM = 40_000, 200_000, 3
+#: Bins of hashes that bound the overlap of two sets; a byte each, of which 255 stands for any larger count too.
+BINS = 256
+#: Rounding of similarity times size.
+EPSILON = 1e-9
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; A-Z count as a-z, white space is the six ASCII characters."""
+    import xxhash
+
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    data, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    end = np.cumsum(size + 1) - 1
+    k = min(words, len(parts))
+    first, last = (end - size)[: len(parts) - k + 1].tolist(), end[k - 1 :].tolist()
+    return np.unique(np.fromiter((digest(data[s:e], SEED) for s, e in zip(first, last, strict=True)), np.uint64, len(first)))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the common order; ``hot`` is sorted, ``rank`` its places at the order's end."""
+    n = len(own)
+    if not n:
+        return own
+    key = np.zeros(n, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        key = np.where(hot[at] == own, rank[at], 0)
+    return own[np.argsort(key, kind="stable")[: n - ceil(similarity * n - EPSILON) + 1]]
+
+
+def _hot(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted frequent shingles, ranks by count from 1) of the bounded sample."""
+    every = max(1, ceil(docs.count() / SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch.column(0)):
+                for i in range(0, len(texts), 200):
+                    sets = [shingles(t, words) for t in texts[i : i + 200]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    some = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = some.mapInArrow(tidy(run), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_FROM)
+    table = counts.orderBy(F.desc("n"), "shingle").limit(HOT).toArrow()
+    hot = table["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], (len(hot) - np.arange(len(hot)))[order]
+
+
+def _prefixes(docs: DataFrame, names: list[str], words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Per row: file, row, doc_id, node (of its set), n (of shingles), prefix, bins."""
+    shared = docs.sparkSession.sparkContext.broadcast(_hot(docs, words, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hot, rank = shared.value
+        for batch in batches:
+            for first, texts in slices(batch.column(3)):
+                sets = [shingles(t, words) for t in texts]
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                starts = [prefix(s, hot, rank, similarity) for s in sets]
+                offsets = np.cumsum([0, *map(len, starts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(starts).view(np.int64)))
+                own = [batch.column(i).slice(first, len(texts)) for i in range(3)]
+                bins = [np.minimum(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(np.array(list(map(len, sets)), np.int32)), lists, pa.array(bins, pa.binary())], ["file", "row", "doc_id", "node", "n", "prefix", "bins"])
+
+    rows = docs.select(F.col(names[0]).alias("file"), F.col(names[1]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(run), "file string, row long, doc_id long, node long, n int, prefix array<long>, bins binary")
+
+
+def _links(docs: DataFrame, names: list[str], rows: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """(a, b): all pairs of nodes with different sets that are similar enough."""
+    nodes = rows.groupBy("node").agg(F.min(F.struct("file", "row", "n", "prefix", "bins")).alias("x")).select("node", "x.*")
+    starts = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    often = starts.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("shingle")
+    starts = keep(starts.join(often, "shingle"), "near-copies-starts")
+    a, b = (starts.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at")]) for x in "ab")
+    # The shared shingle and all after it in the shorter rest must make up the overlap that is needed.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - EPSILON)
+    pairs = a.join(b, "shingle").filter(F.col("node_a") < F.col("node_b")).filter(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= need)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 5))
+            least = np.minimum(p, q)
+            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+            good = (least.sum(1, dtype=np.int64) >= size * (similarity / (1 + similarity)) - EPSILON) | (least == 255).any(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
+
+    figures = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
+    both = pairs.join(figures[0], "a").join(figures[1], "b").select("a", "b", "n_a", "bins_a", "n_b", "bins_b")
+    pairs = keep(both.mapInArrow(tidy(bound), "a long, b long"), "near-copies-pairs")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                sets = [shingles(t, words).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], ["node", "own"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - EPSILON)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    places = keep(nodes.join(wanted, "node").select("node", F.col("file").alias(names[0]), F.col("row").alias(names[1])), "near-copies-places")
+    if places.count() * 256 <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    sets = keep(docs.join(places, names).select("node", F.col(text_col).alias("text")).mapInArrow(tidy(encode), "node long, own binary"), "near-copies-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+    return both.select("a", "b", "own_a", "own_b").mapInArrow(tidy(verify), "a long, b long")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, of each component the one with the least id, with all their columns."""
+    docs, names = located(docs, "near-copies-input")
+    rows = keep(_prefixes(docs, names, words, similarity, id_col, text_col), "near-copies")
+    roots = components(_links(docs, names, rows, words, similarity, text_col))
+    rows = rows.select("file", "row", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = keep(rows.select("file", "row", "doc_id", "root"), "near-copies-components")
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("stays"))
+    return without(docs, names, rows.join(stays.select("stays.file", "stays.row"), ["file", "row"], "left_anti"))

@@ -1,0 +1,58 @@
+"""Near copies against all pairs of shingle sets."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from rayframe.llm import graph, near_copies
+
+
+def kept(rows, words=5, similarity=0.8):
+    sets = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        k = min(words, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    label = graph.forest(len(rows), *np.array(near).T)
+    least: dict = {}
+    for r, k in zip(rows, label.tolist(), strict=True):
+        least[k] = min(least.get(k, r[0]), r[0])
+    return {r[0] for r, k in zip(rows, label.tolist(), strict=True) if least[k] == r[0]}
+
+
+def corpus():
+    rng, rows = random.Random(7), []
+    line = " ".join(f"license{i}" for i in range(30))
+    for i in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 8, 40, 200]))]
+        rows.append((len(rows), " ".join(text) + (f" {line}" if i % 2 else "")))
+        for _ in range(rng.randrange(4)):  # from equal but for case, over about the threshold, to far off
+            for _ in range(rng.randrange(1 + len(text) // 12)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(text).upper() + (f" {line}" if i % 2 else "")))
+    return [*rows, (len(rows), None), (len(rows) + 1, " ")]
+
+
+def test_against_all_pairs(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words, similarity in ((5, 0.8), (2, 0.5)):
+        got = {r.doc_id for r in near_copies.distinct_documents(df, words, similarity).collect()}
+        assert got == kept(rows, words, similarity) and len(got) < len(rows) - 10
+    monkeypatch.setattr(near_copies, "HOT", 0)  # the order has no part in what is found
+    assert {r.doc_id for r in near_copies.distinct_documents(df).collect()} == kept(rows)
+
+
+def test_pipeline_stage_joins_copies_of_similarity_08(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 500")
+    got = corpus_pipeline.near(spark, docs, "/root/testdata/sf0.01")
+    assert got.columns == docs.columns
+    assert {r.doc_id for r in got.select("doc_id").collect()} == kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_edges(odd, empty):
+    got = near_copies.distinct_documents(odd)
+    assert got.columns == odd.columns and near_copies.distinct_documents(empty).count() == 0
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (1, 3, None, 10, 11, 12)))
