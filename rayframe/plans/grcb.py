@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
@@ -220,6 +220,34 @@ def simple_split(samples: list[tuple[float, float]], a: float, b: float) -> floa
     return max(samples[k][0], min(samples[k + 1][0], c))
 
 
+def simple_split_rows(samples: DataFrame, a: float, b: float, ties: str, ranges: int = 64) -> float:
+    """``simple_split`` of rows (y, f, ``ties``) in any order: totals of ranges of y first, then sums within each range.
+
+    The driver sees a row a range and the row of the cut. Equal y are in one range, in the order of ``ties``.
+    """
+    edges = sorted(set(samples.approxQuantile("y", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    g = sum((F.when(F.col("y") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = samples.select("y", "f", F.col(ties).alias("tie"), g.alias("g"))
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f"), F.min("y").alias("first")).orderBy("g").collect()
+    n, total = sum(r.n for r in sums), float(sum(r.f for r in sums))
+    if n < 10:
+        return 0.5 * (a + b)
+    offsets, k, left = [], 0, 0.0
+    for i, r in enumerate(sums):
+        offsets.append((r.g, k, left, sums[i + 1].first if i + 1 < len(sums) else None))
+        k, left = k + r.n, left + r.f
+    before = F.broadcast(samples.sparkSession.createDataFrame(offsets, "g int, k0 long, l0 double, after double"))
+    order = Window.partitionBy("g").orderBy("y", "tie")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums_at = rows.withColumn("k1", F.row_number().over(order)).withColumn("l1", F.sum("f").over(so_far)).withColumn("next", F.lead("y").over(order)).join(before, "g")
+    at = sums_at.select("y", (F.col("k0") + F.col("k1")).alias("k"), (F.col("l0") + F.col("l1")).alias("l"), F.coalesce("next", "after").alias("r"))
+    passes = F.col("l") / F.col("k") * (F.col("r") - a) > (total - F.col("l")) / (n - F.col("k")) * (b - F.col("r"))
+    cut = at.filter((F.col("k") < n) & (passes | (F.col("k") == n - 1))).orderBy("k").limit(1).first()
+    mean_l, mean_r = cut.l / cut.k, (total - cut.l) / (n - cut.k)
+    c = (mean_r * b + mean_l * a) / (mean_l + mean_r) if mean_l + mean_r else 0.5 * (a + b)
+    return max(cut.y, min(cut.r, c))
+
+
 def split_smart(views: DataFrame, v: Cube, axis: int, samples: DataFrame | None = None, precision: str = "low", seed: int = 0, bins: int = 4096) -> float:
     """The weighted median cut of 1 / r^2 samples.
 

@@ -668,8 +668,20 @@ def partition_continuous(spark, sf_dir):
     "t AS (SELECT *, lead(y) OVER (ORDER BY k) AS r FROM x), b AS (SELECT * FROM t WHERE k < n AND (l / k * r > (total - l) / (n - k) * (1 - r) OR k = n - 1) ORDER BY k LIMIT 1) SELECT round(least(r, greatest(y, ((total - l) / (n - k)) / (l / k + (total - l) / (n - k)))), 6) AS at FROM b"
 )
 def simple_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id < 2000").selectExpr("event_id", "(event_id * 7919 % 10007) / 10007.0D AS y", "CAST(1 + user_id % 5 AS DOUBLE) AS f").orderBy("y", "event_id").collect()
-    return spark.createDataFrame([(round(grcb.simple_split([(r.y, r.f) for r in rows], 0.0, 1.0), 6),)], "at double")
+    return _simple_split(table(spark, sf_dir, "events").filter("event_id < 2000"))
+
+
+@query(
+    "WITH x AS (SELECT e_value AS y, row_number() OVER (ORDER BY e_value, event_id) AS k, count(*) OVER () AS n, sum(f) OVER (ORDER BY e_value, event_id ROWS UNBOUNDED PRECEDING) AS l, sum(f) OVER () AS total FROM (SELECT event_id, (event_id * 7919 % 10007) / 10007.0 AS e_value, CAST(1 + user_id % 5 AS DOUBLE) AS f FROM events)), "
+    "t AS (SELECT *, lead(y) OVER (ORDER BY k) AS r FROM x), b AS (SELECT * FROM t WHERE k < n AND (l / k * r > (total - l) / (n - k) * (1 - r) OR k = n - 1) ORDER BY k LIMIT 1) SELECT round(least(r, greatest(y, ((total - l) / (n - k)) / (l / k + (total - l) / (n - k)))), 6) AS at FROM b"
+)
+def simple_split_all(spark, sf_dir):
+    return _simple_split(table(spark, sf_dir, "events"))
+
+
+def _simple_split(events: DataFrame) -> DataFrame:
+    rows = events.selectExpr("event_id", "(event_id * 7919 % 10007) / 10007.0D AS y", "CAST(1 + user_id % 5 AS DOUBLE) AS f")
+    return events.sparkSession.createDataFrame([(round(grcb.simple_split_rows(rows, 0.0, 1.0, "event_id"), 6),)], "at double")
 
 
 # Exchange
