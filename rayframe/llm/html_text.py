@@ -2,8 +2,8 @@
 
 A page becomes a tree of elements. Each paragraph-like block gives points for its length and commas to its parent
 and, by halves and thirds, to the ancestors above; a container's points are discounted by the share of its text
-that is inside links. The best container is kept, with those of its siblings that score well or are plain
-paragraphs of prose. Within what is kept, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+that is inside links. The best container is kept, or the article (else the main or otherwise likely container) that it
+lies in, with those of its siblings that score well or are headings, lists, tables or prose with few links. Within what is kept, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out.
 
 Blocks come in page order, one per line, white space inside a block as one space, character references decoded.
@@ -31,6 +31,8 @@ RAW = frozenset("script style noscript template textarea title iframe noframes n
 LITERAL = frozenset("script style textarea title iframe noframes noembed xmp noscript".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
+#: Beside the best container these are kept unless a quarter of their text is links.
+PROSE = frozenset("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset search label".split())
 CONTAINERS = frozenset("div section article main td table tbody blockquote html center".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr optgroup option legend".split())
@@ -207,6 +209,20 @@ def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
             owner = up or top
 
 
+def whole(best: Node) -> Node:
+    """The article that the best container lies in, else the nearest main or likely container, else itself."""
+    if best.name in ("article", "main"):
+        return best
+    found, up = best if likely(best) else None, best.parent
+    while up is not None:
+        if up.name in ("article", "main"):
+            return up
+        if found is None and likely(up):
+            found = up
+        up = up.parent
+    return found or best
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -241,6 +257,7 @@ def main_text(html: str | None) -> str:
 
     candidates = [n for n in length if n.name in ("article", "main", "html") or n in score and (n.name in CONTAINERS or n.label)]
     best = max(candidates, key=net, default=root)
+    best = whole(best)
     if not score and best is root:
         kept = [root]
     else:
@@ -254,7 +271,7 @@ def main_text(html: str | None) -> str:
                 elif isinstance(c, Node) and c in length and not unlikely(c):
                     both = length[c]
                     density = both[1] / both[0]
-                    if net(c) >= least or c.name == "p" and both[0] > 80 and density < 0.25:
+                    if net(c) >= least or density < 0.25 and (c.name in PROSE or score.get(c)):
                         kept.append(c)
     inside = set(map(id, kept))
 
