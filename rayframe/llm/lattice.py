@@ -209,6 +209,12 @@ def model_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     return order, 1.0 / (np.arange(len(order)) + 10.0)
 
 
+def mixed(c: np.ndarray, n: float, types: float, lower: np.ndarray) -> np.ndarray:
+    """Log of (c - d) / n + d types / n * exp(lower), with no floor: only words without a count lack the first term."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / n), np.log(DISCOUNT * types / n) + lower)
+
+
 _lattices: dict[str, Lattice] = {}
 
 
@@ -272,23 +278,23 @@ def score(docs: DataFrame, vocabulary: str, learn: Column | None = None, rounds:
         weights = [lattice.weights(counts[c], n_words[c]) if n_words[c] else weights[c] for c in range(k)]
     shared = spark.sparkContext.broadcast(weights)
 
-    big_n, discount = float(tokens), DISCOUNT
+    big_n = float(tokens)
 
     def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(0).to_pylist()
             n = batch.column(1).flatten().to_numpy().reshape(-1, k)
-            sub = np.exp(np.stack([_lattice(vocabulary).score(found, *shared.value[c]) for c in range(k)], 1))
+            sub = np.stack([_lattice(vocabulary).score(found, *shared.value[c]) for c in range(k)], 1)
             c = n.sum(1)
             log_p = np.empty((len(found), k), np.float32)
             for i in range(k):
                 if tokens:
-                    p = np.maximum(c - discount, 0) / big_n + discount * types / big_n * sub[:, i]
+                    p = mixed(c, big_n, types, sub[:, i])
                 else:  # nothing to learn from: an end with probability 1/2, else a word of the lattice
-                    p = np.where(np.array([not w for w in found], bool), 0.5, 0.5 * sub[:, i])
+                    p = np.log(0.5) + np.where(np.array([not w for w in found], bool), 0.0, sub[:, i])
                 if class_tokens[i]:
-                    p = np.maximum(n[:, i] - discount, 0) / class_tokens[i] + discount * class_types[i] / class_tokens[i] * p
-                log_p[:, i] = np.log(np.maximum(p, 1e-300))
+                    p = mixed(n[:, i], class_tokens[i], class_types[i], p)
+                log_p[:, i] = p
             lists = pa.FixedSizeListArray.from_arrays(pa.array(log_p.ravel()), k).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), lists], ["word", "c", "log_p"])
 
