@@ -21,7 +21,7 @@ added up over all blocks, and each block gets the figures of its own words back;
 counts are ever in one place. Each word is shuffled once a block at most, however often it occurs.
 
 Edge cases: a null or blank text is the end alone; bytes outside the vocabulary's characters have edges of their own;
-words beyond ``LONG`` bytes are scored by byte edges alone; a null language is a class of its own; without training
+a null language is a class of its own; without training
 rows every count is zero; repeated rows yield a row each; an empty table yields no row.
 """
 
@@ -39,7 +39,10 @@ from .common import crc_mod, keep, slices, tidy
 DISCOUNT = 0.75
 #: A block ends after so many distinct words or tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 600_000, 8_000_000
+#: Words up to so many bytes are summed up as plain probabilities where doubles hold them; others as logarithms.
 LONG = 64
+#: Most words times places of a group that is walked at once.
+CELLS = 2_000_000
 BLOCKS = "block long, idx int, word binary, n array<int>, doc_id long, held_out boolean, tokens binary"
 
 
@@ -80,8 +83,9 @@ class Lattice:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(sizes, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-            for i in range(0, len(at), 20_000):
-                part = at[i : i + 20_000]
+            step = max(1, min(20_000, CELLS // int(sizes[at[0]]))) if len(at) else 1
+            for i in range(0, len(at), step):
+                part = at[i : i + step]
                 if len(part):
                     codes = np.frombuffer(b"".join(b" " + words[k] for k in part.tolist()), np.uint8)
                     yield part, np.ascontiguousarray(codes.reshape(len(part), -1).T)
@@ -90,7 +94,7 @@ class Lattice:
         """(end, words, trie nodes) of the edges from place ``i``; codes are (length, words)."""
         m, n = codes.shape
         node, at = np.zeros(n, self.next.dtype), np.arange(n)
-        for j in range(i, m if m <= LONG else i + 1):
+        for j in range(i, m):
             node = self.next[node, codes[j, at]]
             live = node != self.dead
             if live.mean() < 0.7:
@@ -123,14 +127,18 @@ class Lattice:
     def expected(self, words: list[bytes], log_p: np.ndarray, log_end: float) -> tuple[np.ndarray, float]:
         """(expected counts of pieces, number of words) of distinct words, by forward and backward sums.
 
-        Sums are of plain probabilities, as words of up to ``LONG`` bytes rarely leave the range of doubles;
-        those that do, and longer ones, add nothing.
+        Words of up to ``LONG`` bytes use plain probabilities; longer ones, and those that leave the range of
+        doubles, use logarithms, to the same result.
         """
-        total, n_words, p = np.zeros(len(self.pieces)), 0, np.exp(self.of_nodes(log_p))
+        lp = self.of_nodes(log_p)
+        total, n_words, p, far = np.zeros(len(self.pieces)), 0, np.exp(lp), []
         piece = np.where(self.piece < 0, len(total), self.piece)
-        for _, codes in self._groups(words):
+        for places, codes in self._groups(words):
             m, n = codes.shape
-            if m < 2 or m > LONG:
+            if m < 2:
+                continue
+            if m > LONG:
+                far += places.tolist()
                 continue
             alpha, beta = np.zeros((m + 1, n)), np.zeros((m + 1, n))
             alpha[0] = beta[m] = 1
@@ -138,13 +146,30 @@ class Lattice:
             for i, own in enumerate(edges):
                 for j, at, node in own:
                     alpha[j, at] += alpha[i, at] * p[node]
-            whole = np.where(alpha[m] > 0, alpha[m], np.inf)
-            n_words += int((alpha[m] > 0).sum())
+            held = alpha[m] > 1e-250
+            far += places[~held].tolist()
+            whole = np.where(held, alpha[m], np.inf)
+            n_words += int(held.sum())
             for i in range(m - 1, -1, -1):
                 for j, at, node in edges[i]:
                     edge = p[node] * beta[j, at]
                     beta[i, at] += edge
                     total += np.bincount(piece[node], alpha[i, at] * edge / whole[at], len(total) + 1)[:-1]
+        if far:
+            more = np.zeros(len(total) + 1)
+            for _, codes in self._groups([words[k] for k in far]):
+                m, n = codes.shape
+                alpha, beta = self.forward(codes, lp), np.full((m + 1, n), -np.inf)
+                beta[m] = 0
+                held = alpha[m] > -np.inf
+                whole = np.where(held, alpha[m], np.inf)
+                n_words += int(held.sum())
+                for i in range(m - 1, -1, -1):
+                    for j, at, node in self._edges(codes, i):
+                        edge = lp[node] + beta[j, at]
+                        beta[i, at] = np.logaddexp(beta[i, at], edge)
+                        np.add.at(more, piece[node], np.exp(alpha[i, at] + edge - whole[at]))
+            total += more[:-1]
         return total, float(n_words)
 
 
