@@ -1,8 +1,8 @@
 """Language-model scoring by subword lattices.
 
 A word's lattice has an edge for every piece of an existing subword vocabulary that fits, and for every byte. The
-pieces' weights start from the vocabulary's own scores and are re-estimated on all distinct training words by
-expectation maximisation; a log-space forward recursion adds up all segmentations of a word into its marginal
+vocabulary's scores are ranks of merges, not log probabilities; the pieces' weights start from 1 / (rank + 10) and
+are re-estimated on all distinct training words by expectation maximisation; a log-space forward recursion adds up all segmentations of a word into its marginal
 probability. Word-initial and later pieces are normalised apart, the later ones together with the word's end, so
 the probabilities of all words sum to at most 1.
 
