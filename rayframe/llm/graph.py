@@ -17,19 +17,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs = keep(pairs, "links")
-    before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that it is a plain scan: a hub's rows may then be split among tasks where they are joined to it.
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
         large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = keep(large, "links-large")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         near = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = keep(near.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if now == before:
+        after = keep(near.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        # Both are distinct, so of equal size they are equal if one lacks nothing of the other.
+        same = after.count() == pairs.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        pairs = after
+        if same:
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        before = now
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, slices, tidy
+from .simhash import mixed
 
 SUBSETS, GROUPS = 128, 8
 #: Subsets that keep a term of either text, of which a share is taken at least.
@@ -44,15 +45,6 @@ def terms(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    """splitmix64 of the k-th stream."""
-    with np.errstate(over="ignore"):
-        z = x + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -61,7 +53,7 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 def memberships(h: np.ndarray) -> np.ndarray:
     """(terms, SUBSETS) of 0 and 1: which subsets keep the terms with these hashes."""
-    words = np.stack([_mixed(h, k) for k in range(11)], 1).view("<u2")  # 44 words of 16 bits
+    words = np.stack([mixed(h, k) for k in range(11)], 1).view("<u2")  # 44 words of 16 bits
     out, used = np.empty((len(h), GROUPS), np.uint16), 0
     for g in range(GROUPS):  # 16 subsets at a time; one bit in 2^(g+2) is left
         out[:, g] = np.bitwise_and.reduce(words[:, used : used + g + 2], axis=1)

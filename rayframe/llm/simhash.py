@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, located, slices, tidy, without
+from .common import keep, slices, tidy
 from .graph import components, forest
 
 BITS = 64
@@ -37,6 +37,15 @@ ROWS = 200_000
 BROADCAST_KEYS = 8 << 20
 
 
+def mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """splitmix64 of the k-th stream."""
+    with np.errstate(over="ignore"):
+        z = x + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
 def fingerprint(text: str, words: int) -> int:
     """The fingerprint of one text as an unsigned 64-bit integer."""
     import xxhash
@@ -56,23 +65,22 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint's bits as a signed long), and with ``place`` its file and row."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for _, texts in slices(batch.column(1)) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["file", "row"][: batch.num_columns - 2]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    more = [F.col(c).alias(n) for c, n in zip(place or [], ["file", "row"], strict=False)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(tidy(run), "doc_id long, fp long" + ", file string, row long" * bool(place))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that join what pairs within ``radius`` of the same group join; ``group`` is sorted.
+def near_steps(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (places a < b) of fingerprints within ``radius`` of the same group, in steps; ``group`` is sorted.
 
-    A star's ends need not be near each other, but a chain of near pairs joins them. Near pairs across groups
-    that happen to be compared count as well.
+    Each fingerprint is compared with the blocks of 64 that reach to its group's end, one block a step. Near pairs
+    across groups that share a block come too.
     """
     n = len(fp)
     blocks = -(-n // BITS)
@@ -84,13 +92,12 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarr
     end = np.searchsorted(group, group, "right")  # one past the group's last row
     full, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
     counters = max(1, radius.bit_length())
-    found_a, found_b, held = [], [], 0
     query, step = np.arange(n), 0
     while True:
         block = query // BITS + step
         query = query[block * BITS < end[query]]
         if not len(query):
-            break
+            return
         block = query // BITS + step
         # Lanes at or before the fingerprint itself, and those past the last row, count as too far away.
         over = np.where(step == 0, full >> (np.uint64(BITS - 1) - (query % BITS).astype(np.uint64)), np.uint64(0))
@@ -115,19 +122,31 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarr
             over |= _exceeds(count, radius)
             hit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, lane = np.nonzero(hit)
-            found_a.append(q[i])
-            found_b.append(w[i] * BITS + lane)
-            held += len(i)
-            if held > 2_000_000:
-                label = forest(n, np.concatenate(found_a), np.concatenate(found_b))
-                at = np.flatnonzero(label != np.arange(n))
-                found_a, found_b, held = [at], [label[at]], len(at)
+            if len(i):
+                yield q[i], w[i] * BITS + lane
         step += 1
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    label = forest(n, np.concatenate(found_a), np.concatenate(found_b))
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
+
+
+def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that join what pairs within ``radius`` of the same group join; ``group`` is sorted.
+
+    A star's ends need not be near each other, but a chain of near pairs joins them.
+    """
+    n, found_a, found_b, held = len(fp), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        label = forest(n, np.concatenate(found_a), np.concatenate(found_b))
+        at = np.flatnonzero(label != np.arange(n))
+        return at, label[at]
+
+    for a, b in near_steps(fp, group, radius):
+        found_a.append(a)
+        found_b.append(b)
+        held += len(a)
+        if held > 2_000_000 + n:
+            a, b = stars()
+            found_a, found_b, held = [a], [b], len(a)
+    return stars()
 
 
 def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
@@ -142,23 +161,32 @@ def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
+def chunks(rows: DataFrame, keys: list[str], by: str, bucket: int) -> DataFrame:
+    """``rows`` with the pair of chunks (i <= j) in which each is compared; groups of ``bucket`` rows or less have one.
+
+    A larger group is cut into chunks by the hash of ``by``, and every pair of chunks meets once.
+    """
+    large = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunked_rows")).filter(F.col("chunked_rows") > bucket), "large-buckets")
+    n = large.count()
+    if not n:
+        return rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    both = rows.join(F.broadcast(large) if n * 32 <= BROADCAST_KEYS else large, keys, "left")
+    number = F.ceil(F.col("chunked_rows") / bucket).cast("int")
+    own = F.pmod(F.xxhash64(by), number).cast("int")
+    # One chunk with itself is (i, i); with another, the pair in order. A group without chunks is (0, 0).
+    others = F.when(F.col("chunked_rows").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.coalesce(number, F.lit(1)) - 1))
+    cut = both.select(*rows.columns, F.coalesce(own, F.lit(0)).alias("i"), F.explode(others).alias("j"))
+    return cut.select(*rows.columns, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+
 def links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): stars that join the same fingerprints as all links between the distinct ``classes.fp``."""
     runs = radius + 2
     edges = [round(i * BITS / runs) for i in range(runs + 1)]
     masks = [sum(((1 << edges[r + 1]) - (1 << edges[r])) for r in pair) for pair in combinations(range(runs), 2)]
     keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks)]
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    large = keep(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket), "large-buckets")
-    if n := large.count():
-        right = F.broadcast(large) if n * 32 <= BROADCAST_KEYS else large
-        both = rows.join(right, ["t", "key"], "left")
-        chunks = F.ceil(F.col("n") / bucket).cast("int")
-        at = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-        cut = both.filter("n IS NOT NULL").select("t", "key", "fp", at.alias("at"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        # One chunk with itself is (i, i); with another, the pair in order.
-        cut = cut.select("t", "key", "fp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-        rows = both.filter("n IS NULL").select("t", "key", "fp", "i", "j").unionByName(cut)
+    rows = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp")
+    rows = chunks(rows, ["t", "key"], "fp", bucket)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
@@ -195,15 +223,6 @@ def near_dedup(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, of each component the one with the least id, with all their columns."""
-    docs, names = located(docs, "near-dedup-input")
-    rows = keep(_components(keep(fingerprints(docs, words, id_col, text_col, names), "fingerprints"), radius, BUCKET), "components")
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("stays"))
-    stays = stays.select("stays.file", "stays.row")
-    return without(docs, names, rows.join(stays, ["file", "row"], "left_anti"))
-
-
 def _components(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
     """``fps`` with root (a fingerprint of the component) and component_id."""
     classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")

@@ -95,9 +95,6 @@ def test_near_edges(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_dedup(odd).collect()), key=str) == brute(rows, 5, 2)
     assert simhash.near_dedup(empty).count() == 0
-    stays = simhash.distinct_documents(odd)
-    assert stays.columns == odd.columns and stays.count() < odd.count()
-    assert simhash.distinct_documents(empty).count() == 0
 
 
 def test_components(spark):
