@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep, shared_dir
+from ..storage import discard, exists, keep, shared_dir
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
@@ -128,4 +128,4 @@ class WordCache:
         return young
 
 
-__all__ = ["SLICE_BYTES", "WordCache", "crc_mod", "keep", "located", "runs", "shared_dir", "slices", "tidy", "without"]
+__all__ = ["SLICE_BYTES", "WordCache", "crc_mod", "discard", "exists", "keep", "located", "runs", "shared_dir", "slices", "tidy", "without"]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,14 +20,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that it is a plain scan: a hub's rows may then be split among tasks where they are joined to it.
-        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
+        large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = keep(large, "links-large")
         least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         near = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = keep(near.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
         # Both are distinct, so of equal size they are equal if one lacks nothing of the other.
         same = after.count() == pairs.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        discard(pairs, low, large, least)
         pairs = after
         if same:
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

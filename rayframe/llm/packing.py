@@ -245,9 +245,11 @@ class WordIds:
 _word_ids: dict[str, WordIds] = {}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Limits(), batch_bytes: int = BATCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences; see the module's text for the method.
 
+    ``batch_bytes``: of text whose distinct words are encoded together; fewer take less memory and more time.
+
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss. All tokens of a
     document bear loss. ``sequence_id`` is the partition's number times 2^33 plus the bin's.
     """
@@ -276,7 +278,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in runs(batch.column(1), BATCH_BYTES):
+            for first, texts in runs(batch.column(1), batch_bytes):
                 done = []
                 for k, data in enumerate(words.encode(texts)):
                     data += end

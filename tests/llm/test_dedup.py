@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rayframe.llm import exact_dedup, graph, queries, simhash
 
@@ -101,3 +102,42 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[103] == got[101] == got[100] == 100 and len(got) == 64
+
+
+def test_deliveries(spark, tmp_path):
+    """A later delivery meets the state of the earlier ones; repeating one changes nothing."""
+    one = [(10, "a b"), (11, "c"), (12, "a  b")]
+    two = [(5, "c"), (20, "a\tb"), (21, "new"), (None, "c")]
+    for name, rows in (("one", one), ("two", two)):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/{name}")
+    state = f"file://{tmp_path}/state"
+
+    def deliver(name):
+        got = exact_dedup.deliver(spark.read.parquet(f"{tmp_path}/{name}"), state, name)
+        return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=str)
+
+    assert deliver("one") == sorted([(10, 10, 2, True), (11, 11, 1, True), (12, 10, 2, False)], key=str)
+    second = sorted([(5, 5, 3, True), (20, 10, 3, False), (21, 21, 1, True), (None, 5, 3, False)], key=str)
+    assert deliver("two") == second and deliver("two") == second
+    assert deliver("one") == sorted([(10, 10, 3, True), (11, 5, 3, False), (12, 10, 3, False)], key=str)
+
+
+def test_a_delivery_that_failed_half_way(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    state = f"file://{tmp_path}/state"
+    # Digests that a lost driver left unfinished, and none of which the stream has seen.
+    spark.createDataFrame([(b"x", (False, 1, "f", 0), "x")], exact_dedup.DIGESTS).write.parquet(f"{state}/digests/d")
+    (tmp_path / "state/digests/d/_SUCCESS").unlink()
+    got = exact_dedup.deliver(docs, state, "d")
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == [(i, i % 7, len(range(i % 7, 50, 7))) for i in range(50)]
+
+
+def test_bitmap_passes_every_hit(spark, monkeypatch):
+    rows = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), "id")
+    hits = rows.filter("id % 10 = 0").select("key")
+    for bits, most in ((1 << 27, 210), (32768, 300)):
+        monkeypatch.setattr(exact_dedup, "BITMAP", bits)
+        got = {r.id for r in exact_dedup._marked(rows, hits).collect()}
+        assert got >= set(range(0, 2000, 10)) and len(got) <= most
