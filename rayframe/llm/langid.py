@@ -179,6 +179,7 @@ def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 6
         for batch in batches:
             best, score = predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        predict(pa.array([], pa.string()), done=True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learn).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -194,6 +195,7 @@ def identified(docs: DataFrame, min_score: float = 0.0, learn: Column | None = N
         for batch in batches:
             best, score = predict(batch.column(at))
             yield batch.filter(pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_()))
+        predict(pa.array([], pa.string()), done=True)
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
@@ -203,7 +205,10 @@ def predictor(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: i
     model = train(sample(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col), sample_chars)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
+    def predict(texts: pa.Array, done: bool = False) -> tuple[list[str], list[float]]:
+        if done:  # an idle worker would hold on to the model; the next task reads it again from the local disk
+            vars(shared).pop("_value", None)
+            return [], []
         m = shared.value
         if m.letters not in _lookups:
             _lookups.clear()
