@@ -1,16 +1,20 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of elements. Each paragraph-like block gives points for its length and commas to its parent
-and, by halves and thirds, to the ancestors above; a container's points are discounted by the share of its text
-that is inside links. The best container is kept, or the article (else the main or otherwise likely container) that it
-lies in, with those of its siblings that score well or are headings, lists, tables or prose with few links. Within what is kept, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out.
+A page becomes a tree of elements. Each paragraph-like block gives points for its length and commas to its container
+and half as many to each ancestor further up; a container's points are discounted by the share of its text that is
+inside links. The best container is kept, or the article (else the main or otherwise likely container) that it lies
+in, with those of its siblings that score well or are headings, lists, tables or prose with few links. Within what is
+kept, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out.
+
+What an element is called is weighed against what it holds: one that is named like a sidebar, menu, header or form but
+has nine tenths of the page's prose is a wrapper and stays; half will do if it has a neutral name beside that one.
+Reader comments go however long they are.
 
 Blocks come in page order, one per line, white space inside a block as one space, character references decoded.
 
 Edge cases: null or empty html, or a page without main text, gives an empty text; unclosed and misnested tags are
-closed as browsers would, so that everything is read; depth is not limited by recursion; repeated rows yield a
-row each; an empty table yields no row.
+closed as browsers would, so that everything is read; time and memory grow with a page's length, however deep it
+nests; repeated rows yield a row each; an empty table yields no row.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 PARAGRAPH = frozenset("p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 #: Beside the best container these are kept unless a quarter of their text is links.
 PROSE = frozenset("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6".split())
-ASIDE = frozenset("nav header footer aside form menu dialog button fieldset search label".split())
+ASIDE = frozenset("nav header footer aside menu dialog button search label".split())
+FORM = frozenset("form fieldset".split())
 CONTAINERS = frozenset("div section article main td table tbody blockquote html center".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr optgroup option legend".split())
 #: An opening tag ends an open element of these names, not reaching past the second set.
@@ -57,6 +62,11 @@ UNLIKELY = re.compile(
     r"hidden|sr-only|noprint|navigation|complementary|contentinfo|alertdialog)(?:$|[\s_-])",
     re.I,
 )
+#: Such words for readers' comments, and endings that tell a state of a wrapper instead.
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|comment-?list|disqus|respond|replies)(?:$|[_-])", re.I)
+STATE = re.compile(r"[_-](?:open|closed|enabled|disabled|allowed|on|off)$", re.I)
+#: Shares of a page's prose that make an element a wrapper: one with a neutral name as well, and any other.
+WRAPPER, MISNAMED = 0.5, 0.9
 #: Classes, ids and roles that by themselves mark a main container.
 LIKELY = frozenset("article main content post entry story main-content article-body article-content post-body post-content entry-content story-body page-content hentry".split())
 #: A container that says which parts it has beside its text.
@@ -69,22 +79,34 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "label", "name", "parent", "skip")
+    __slots__ = ("at", "block", "children", "hidden", "label", "name", "parent")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool = False, label: str = ""):
-        self.name, self.parent, self.skip, self.label = name, parent, skip, label
-        self.children: list = []
+    def __init__(self, nodes: list[Node], name: str, parent: Node | None, hidden: bool = False, label: str = ""):
+        self.name, self.parent, self.hidden, self.label = name, parent, hidden, label
+        self.at, self.children = len(nodes), []
+        #: The nearest block element, itself included.
+        self.block: Node = self if parent is None or name in BLOCK else parent.block
+        nodes.append(self)
 
 
-def tree(html: str) -> Node:
-    """The page's elements; texts are strings among the children, with references decoded."""
-    root = node = Node("html", None)
+def tree(html: str) -> list[Node]:
+    """The page's elements in page order, its root first; texts are strings among the children, references decoded."""
+    nodes: list[Node] = []
+    root = node = Node(nodes, "html", None)
     at, end = 0, len(html)
+    opened: dict[str, int] = {}  # numbers of open elements by name, so that no tag looks for what is not there
 
     def text(a: int, b: int) -> None:
         if b > a:
             node.children.append(unescape(html[a:b]))
 
+    def leave(to: Node) -> None:
+        """Closes all elements below ``to``."""
+        nonlocal node
+        while node is not to:
+            opened[node.name] -= 1
+            node = node.parent
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
@@ -109,26 +131,26 @@ def tree(html: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            up = node
-            while up.parent is not None and up.name != name:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            if opened.get(name):
+                up = node
+                while up.name != name:
+                    up = up.parent
+                leave(up.parent)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened.get("p"):
             up = node
-            while up.parent is not None and up.name != "p" and up.name not in BLOCK:
+            while up is not root and up.name not in BLOCK:
                 up = up.parent
             if up.name == "p":
-                node = up.parent
-        if rule := IMPLIED.get(name):
+                leave(up.parent)
+        if (rule := IMPLIED.get(name)) and any(opened.get(x) for x in rule[0]):
             up, found = node, None
-            while up.parent is not None and up.name not in rule[1]:
+            while up is not root and up.name not in rule[1]:
                 if up.name in rule[0]:
                     found = up
                 up = up.parent
             if found is not None:
-                node = found.parent
+                leave(found.parent)
         attributes = m[3]
         if name in LITERAL and not attributes.endswith("/"):
             close = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
@@ -140,34 +162,56 @@ def tree(html: str) -> Node:
         if attributes:
             label = " ".join(a or b or c for a, b, c in LABEL.findall(attributes))
             hidden = HIDDEN.search(attributes) is not None
-        child = Node(name, node, hidden or name in RAW, label)
+        child = Node(nodes, name, node, hidden or name in RAW, label)
         node.children.append(child)
         if name not in VOID and not attributes.endswith("/"):
             node = child
-    return root
+            opened[name] = opened.get(name, 0) + 1
+    return nodes
 
 
 def likely(n: Node) -> bool:
-    return n.name in ("article", "main") or not LIKELY.isdisjoint(n.label.lower().split())
-
-
-def unlikely(n: Node) -> bool:
-    """Whether an element is no main text by what it is or is called; an article's own header is."""
-    if n.skip:
-        return True
-    if n.name in ASIDE:
-        up = n.parent if n.name == "header" else None
-        while up is not None and up.name not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return bool(n.label) and not likely(n) and any(UNLIKELY.search(x) and not BESIDE.search(x) for x in n.label.split())
-
-
-def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
-    """Appends (nearest block element, text, length inside links) of every block of prose below ``top``."""
+    return n.name in ("article", "main") or bool(n.label) and not LIKELY.isdisjoint(n.label.lower().split())
+
+
+def left_out(nodes: list[Node]) -> list[bool]:
+    """Of each element, whether it is no main text by what it is, is called and holds; what lies below is not marked."""
+    size = len(nodes)
+    inside = [False] * size  # an article or main element
+    gone = [False] * size  # for certain
+    doubtful = [0.0] * size  # unless it has such a share of the prose
+    for n in nodes[1:]:
+        up, k = n.parent.at, n.at
+        inside[k] = inside[up] or n.name in ("article", "main")
+        if n.hidden or n.name in ASIDE and not (n.name == "header" and inside[up]):
+            gone[k] = True
+        elif n.name in FORM:
+            doubtful[k] = WRAPPER
+        elif n.label and not likely(n):
+            names = [x for x in n.label.split() if not BESIDE.search(x)]
+            if any(COMMENTS.search(x) and not STATE.search(x) for x in names):
+                gone[k] = True
+            elif odd := [x for x in names if UNLIKELY.search(x)]:
+                doubtful[k] = WRAPPER if len(odd) < len(names) else MISNAMED
+    if any(doubtful):
+        # Text outside links of each element, without that of elements that go for certain.
+        prose = [0] * size
+        for n in reversed(nodes):
+            if not gone[n.at]:
+                prose[n.at] = 0 if n.name == "a" else prose[n.at] + sum(len(c.strip()) for c in n.children if isinstance(c, str))
+                if n.parent is not None:
+                    prose[n.parent.at] += prose[n.at]
+        for k in range(1, size):
+            gone[k] = gone[k] or prose[k] < doubtful[k] * prose[0] or doubtful[k] > 0 == prose[k]
+    return gone
+
+
+def blocks(nodes: list[Node], gone: list[bool]) -> list[tuple[Node, str, int]]:
+    """(nearest block element, text, length inside links) of every block of prose, in page order."""
+    out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
-    owner = top
+    owner = nodes[0]
 
     def flush() -> None:
         nonlocal linked
@@ -177,7 +221,7 @@ def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
             parts.clear()
         linked = 0
 
-    stack: list = [(top, 0, False)]
+    stack: list = [(nodes[0], 0, False)]
     while stack:
         node, i, link = stack.pop()
         children = node.children
@@ -192,7 +236,7 @@ def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
             if c.name == "br":
                 parts.append(" ")
                 continue
-            if unlikely(c):
+            if gone[c.at]:
                 if c.name in BLOCK:
                     flush()
                 continue
@@ -201,12 +245,10 @@ def blocks(top: Node, out: list[tuple[Node, str, int]]) -> None:
                 flush()
                 owner = c
             node, i, link, children = c, 0, link or c.name == "a", c.children
-        if node.name in BLOCK or node is top:
+        if node.block is node:
             flush()
-            up = node.parent
-            while up is not None and up.name not in BLOCK:
-                up = up.parent
-            owner = up or top
+            owner = node.parent.block if node.parent is not None else node
+    return out
 
 
 def whole(best: Node) -> Node:
@@ -227,69 +269,45 @@ def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    root = tree(html)
-    found: list[tuple[Node, str, int]] = []
-    blocks(root, found)
+    nodes = tree(html)
+    root, size = nodes[0], len(nodes)
+    gone = left_out(nodes)
+    found = blocks(nodes, gone)
     if not found:
         return ""
-    score: dict[Node, float] = {}
-    length: dict[Node, list[int]] = {}  # text and linked text below a node
-    for owner, text, linked in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0.0
-        up, depth = owner if owner.name not in PARAGRAPH else owner.parent, 0
-        own = owner
-        while own is not None:
-            both = length.setdefault(own, [0, 0])
-            both[0] += len(text)
-            both[1] += linked
-            own = own.parent
-        while up is not None and points:
-            # The parent in full, its parent by half, those above by less and less.
-            score[up] = score.get(up, 0.0) + points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-            up, depth = up.parent, depth + 1
+    score, text, linked = [0.0] * size, [0] * size, [0] * size
+    for owner, t, inside in found:
+        text[owner.at] += len(t)
+        linked[owner.at] += inside
+        if len(t) >= 25:
+            to = owner.parent if owner.name in PARAGRAPH and owner.parent is not None else owner
+            score[to.at] += 1 + t.count(",") + min(len(t) / 100, 3)
+    for n in reversed(nodes[1:]):  # each after all that lies below it
+        up, k = n.parent.at, n.at
+        score[up] += score[k] / 2
+        text[up] += text[k]
+        linked[up] += linked[k]
 
     def net(n: Node) -> float:
-        s = score.get(n, 0.0)
-        if likely(n):
-            s = s * 1.25 + 25
-        both = length.get(n, (0, 0))
-        return s * (1 - both[1] / both[0]) if both[0] else 0.0
-
-    candidates = [n for n in length if n.name in ("article", "main", "html") or n in score and (n.name in CONTAINERS or n.label)]
-    best = max(candidates, key=net, default=root)
-    best = whole(best)
-    if not score and best is root:
-        kept = [root]
-    else:
-        kept = [best]
+        k = n.at
+        if not text[k]:
+            return 0.0
+        return (score[k] * 1.25 + 25 if likely(n) else score[k]) * (1 - linked[k] / text[k])
+
+    candidates = [n for n in nodes if text[n.at] and (n.name in ("article", "main", "html") or score[n.at] and (n.name in CONTAINERS or n.label))]
+    best = whole(max(candidates, key=net, default=root))
+    kept = [False] * size
+    kept[best.at] = True
+    if best.parent is not None:
         least = max(10.0, 0.2 * net(best))
-        if best.parent is not None:
-            kept = []
-            for c in best.parent.children:
-                if c is best:
-                    kept.append(c)
-                elif isinstance(c, Node) and c in length and not unlikely(c):
-                    both = length[c]
-                    density = both[1] / both[0]
-                    if net(c) >= least or density < 0.25 and (c.name in PROSE or score.get(c)):
-                        kept.append(c)
-    inside = set(map(id, kept))
-
-    def within(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in inside:
-                return True
-            n = n.parent
-        return False
-
-    known: dict[int, bool] = {}
-    out = []
-    for owner, text, _ in found:
-        if (k := known.get(id(owner))) is None:
-            k = known[id(owner)] = within(owner)
-        if k:
-            out.append(text)
-    return "\n".join(out)
+        for c in best.parent.children:
+            if isinstance(c, Node) and text[c.at] and not gone[c.at]:
+                few_links = linked[c.at] < 0.25 * text[c.at]
+                if net(c) >= least or few_links and (c.name in PROSE or score[c.at]):
+                    kept[c.at] = True
+    for n in nodes[1:]:
+        kept[n.at] = kept[n.at] or kept[n.parent.at]
+    return "\n".join(t for owner, t, _ in found if kept[owner.at])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -15,3 +15,57 @@ def test_wrapped_bodies(n):
     for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div>", "</div>")):
         page = around.format(f"{open_}<h1>Title</h1>{long}{rest}<div class=sidebar><p>Elsewhere, a long text, with commas, too.</p></div>{close}")
         assert html_text.main_text(page) == "\n".join(["Title", *prose, *tail])
+
+
+PROSE = ["The council met on Tuesday, as planned, and agreed on the new bridge, after a long debate.", "Work begins in spring, said the mayor, and will take two years, if the money lasts.", "Some neighbours, who fear the noise, want a tunnel instead."]
+ARTICLE = "<h1>A bridge</h1>" + "".join(f"<p>{p}</p>" for p in PROSE)
+SIDE = "<div class='sidebar'><p>Elsewhere, a long text, in a side bar, which is no part of it.</p></div><div class='comments'>" + "<p>I think, as a reader, that this is wrong, and I say so at length, again and again.</p>" * 30 + "</div>"
+
+
+@pytest.mark.parametrize("label", ["layout sidebar-right", "page nav-fixed", "wrap header-sticky", "site header-dark", "col-main related-open", "comments-open", "nav-fixed"])
+def test_wrappers_by_misleading_names(label):
+    """A whole page is not lost to the name of the element around it."""
+    want = "\n".join(["A bridge", *PROSE])
+    for inner in (ARTICLE, ARTICLE + SIDE, f"<article>{ARTICLE}</article>{SIDE}", f"<div class=content>{ARTICLE}</div>"):
+        page = f"<body><nav><a href=/>Home</a></nav><div class='{label}'>{inner}</div><footer>Imprint</footer></body>"
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<form id=all>{ARTICLE}<form><input><label>Name</label></form></form>") == want
+
+
+def test_parts_by_name_go():
+    page = f"<div class=page><article>{ARTICLE}<form><p>Your address, please, and your name, for the newsletter.</p></form></article>{SIDE}<div class='related'><p>More of this kind, elsewhere, for you.</p></div><div id='cookie-notice'>We use cookies, as all do.</div></div>"
+    assert html_text.main_text(page) == "\n".join(["A bridge", *PROSE])
+
+
+def test_deep_pages_take_time_by_length():
+    import time
+
+    for n, tag in ((4000, "div"), (4000, "span"), (4000, "li"), (2000, "p><b")):
+        start = time.perf_counter()
+        text = html_text.main_text(f"<{tag}>" * n + "Some prose, long enough to count, at the bottom." + "</i></em>" * n)
+        assert time.perf_counter() - start < 0.25 and text == "Some prose, long enough to count, at the bottom."
+
+
+def plain_score(html_page):
+    """The containers' scores by walking up from every block, as the method is worded."""
+    nodes = html_text.tree(html_page)
+    gone = html_text.left_out(nodes)
+    score = dict.fromkeys(range(len(nodes)), 0.0)
+    for owner, t, _ in html_text.blocks(nodes, gone):
+        if len(t) >= 25:
+            up, share = owner.parent if owner.name in html_text.PARAGRAPH and owner.parent else owner, 1.0
+            while up is not None:
+                score[up.at] += share * (1 + t.count(",") + min(len(t) / 100, 3))
+                up, share = up.parent, share / 2
+    return nodes, score
+
+
+def test_best_container_by_hand(spark):
+    """Of every page, what is kept holds the container with the highest score that is not discounted for links."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(60).collect():
+        nodes, score = plain_score(r.html)
+        best = max((n for n in nodes if score[n.at] and n.name in ("article", "main", "div", "section")), key=lambda n: score[n.at] * 1.25 + 25 if html_text.likely(n) else score[n.at], default=None)
+        text = html_text.main_text(r.html)
+        if best is not None:
+            own = [" ".join("".join(c for c in p.children if isinstance(c, str)).split()) for p in nodes if p.parent is best and p.name == "p" and all(isinstance(c, str) for c in p.children)]
+            assert all(x in text for x in own)
