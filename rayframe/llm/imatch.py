@@ -7,14 +7,15 @@ probability 1/4, 1/8, ... 1/512, 16 subsets each, so that some suit short and so
 of two fingerprints is the share of equal hashes among the subsets that keep a term of either, taken over the
 sparser subsets from the density on that gives the largest share.
 
-The lexicon's size is bounded: the lower edge of the band is ``low`` of all documents, or as much more as it takes
-that no more than ``terms`` terms can reach it, given how many distinct terms documents have on average.
+The lexicon's size is bounded: the lower edge of the band is ``low`` of all documents, or the mean number of distinct
+terms of a document over ``terms`` if that is more, as no more than ``terms`` terms can reach that share; either
+is a share, whatever the corpus's size.
 
 Terms are runs of anything but ASCII white space, punctuation and control characters, A-Z in lower case.
 A document without lexicon terms is fingerprinted by all its terms. Edge cases: null text is empty; a text without
 terms has the fingerprint of zeros, which is like itself only; ties of ids follow the texts' lengths, then their
-compressed bytes; null ids come first; a single row is its own next; an empty table yields no row; repeated rows
-yield a row each.
+compressed bytes; null ids come first, in the order of their texts' hashes, so that many of them are spread over
+tasks; a single row is its own next; an empty table yields no row; repeated rows yield a row each.
 """
 
 from __future__ import annotations
@@ -167,10 +168,12 @@ def fingerprint_edits(docs: DataFrame, low: float = 1e-3, high: float = 0.2, ter
 
         of, pack = printer(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            bucket = pa.array(bucket_of(batch.column(0), batch.column(1)))
+            for first, texts in slices(batch.column(2)):
                 fps = [of(t).tobytes() for t in texts]
                 packed = [pack(t.encode("utf-8", "surrogatepass")) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(list(map(len, texts)), pa.int64()), pa.array(fps, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n_chars", "fp", "packed"])
+                own = [x.slice(first, len(texts)) for x in (bucket, *batch.columns[:2])]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(list(map(len, texts)), pa.int64()), pa.array(fps, pa.binary()), pa.array(packed, pa.binary())], ["bucket", "doc_id", "tie", "n_chars", "fp", "packed"])
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -205,27 +208,35 @@ def fingerprint_edits(docs: DataFrame, low: float = 1e-3, high: float = 0.2, ter
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    # Null ids are ordered by a hash of their texts and have buckets of their own, as many as the other ids.
+    tie = F.when(F.col(id_col).cast("long").isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tie.alias("tie"), F.col(text_col).alias("text"))
+    ids = rows.select("doc_id", "tie")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = F.coalesce(F.size(F.filter(F.lit([int(e) for e in edges]).cast("array<bigint>"), lambda e: e <= F.col("doc_id"))), F.lit(0))
-    if not edges:
-        bucket = F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)
+    edges = np.array(edges, np.int64)
+
+    def bucket_of(doc_id: pa.Array, tie: pa.Array) -> np.ndarray:
+        known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+        own = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(), "right") + parts
+        return np.where(known, own, ((tie.to_numpy() / 2.0**64 + 0.5) * parts).astype(np.int64).clip(0, parts - 1)).astype(np.int32)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0), batch.column(1))), *batch.columns], ["bucket", "doc_id", "tie"])
+
     # The first document of each bucket also ends the bucket before it; the first of all ends the last.
-    firsts = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")).orderBy("bucket").collect()
-    if not firsts:
-        firsts = [(0, 0)]
-    before = [(firsts[i][0], firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
-    before = F.broadcast(spark.createDataFrame(before, "bucket int, first_id long, previous int"))  # one row per bucket
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(first_pass), "doc_id long, n_chars long, fp binary, packed binary")
-    rows = rows.withColumn("bucket", bucket.cast("int")).join(before, "bucket")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "tie"))
+    firsts = ids.mapInArrow(tidy(bucketed), "bucket int, doc_id long, tie long").groupBy("bucket").agg(least.alias("least")).select("bucket", "least.*").orderBy("bucket").collect() or [(0, 0, 0)]
+    before = [(*firsts[i], firsts[i - 1][0]) for i in range(len(firsts))]
+    before = F.broadcast(spark.createDataFrame(before, "bucket int, first_id long, first_tie long, previous int"))  # one row per bucket
+
+    rows = rows.mapInArrow(tidy(first_pass), "bucket int, doc_id long, tie long, n_chars long, fp binary, packed binary").join(before, "bucket")
     own = F.struct(F.col("bucket"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("tail"))
-    is_first = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first_id")
-    rows = rows.withColumn("at", F.explode(F.when(is_first, F.array(own, tail)).otherwise(F.array(own)))).select("at.bucket", "at.tail", "doc_id", "fp", "packed", "n_chars")
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_first("doc_id"), "n_chars", "packed")
+    is_first = (F.coalesce("doc_id", F.lit(0).cast("long")) == F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    rows = rows.withColumn("at", F.explode(F.when(is_first, F.array(own, tail)).otherwise(F.array(own)))).select("at.bucket", "at.tail", "doc_id", "tie", "fp", "packed", "n_chars")
+    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_first("doc_id"), "tie", "n_chars", "packed")
     return rows.select("bucket", "tail", "doc_id", "fp", "packed").mapInArrow(tidy(second_pass), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

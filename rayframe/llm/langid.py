@@ -7,9 +7,10 @@ the least wins. Transitions that end a phrase lead to states of their own, so th
 many texts through all automata at once. Texts are parsed whole, in blocks of ``BLOCK`` symbols, each of which
 starts a phrase.
 
-The sample is bounded: per language at most ``sample_texts`` distinct texts, those with the least hashes, each
-with its first ``sample_chars // 4`` characters, and ``sample_chars`` symbols together; at most ``languages``
-languages, those with most rows. Sample sizes and the broadcast model follow from these parameters alone.
+The sample is bounded: per language ``sample_texts`` distinct texts, those with the least hashes, each with its first
+``sample_chars // 4`` characters, and ``sample_chars`` symbols together, or fewer where there are so many languages
+that all samples would pass ``model_chars``. Every label is a language, but for null and ``und``. Sample sizes and
+the broadcast model follow from these parameters alone. A forced end of a phrase adds at most one phrase a block.
 
 Edge cases: null text, or none with letters, gives ``und`` and score 0; of equal entropies the language first
 in order wins; without labelled rows all is ``und``; copies count once in a sample; repeated rows yield a row each.
@@ -104,8 +105,7 @@ def train(texts: dict[str, list[str]], sample_chars: int) -> Model:
         text: list[int] = [0]
         for t in texts[name]:
             s = symbols(t, lookup).tolist()
-            if len(text) + len(s) < sample_chars:
-                text += [*s, 0]
+            text += [*s[: max(0, sample_chars - len(text))], 0]
         rows = suffix_automaton(text, size)
         model.bits[k] = log2(max(2, len(text)))
         new_phrase = k * size + np.arange(size, dtype=np.int32)
@@ -148,17 +148,14 @@ def phrases(texts: list[str], model: Model, lookup: np.ndarray) -> tuple[np.ndar
 _lookups: dict[str, np.ndarray] = {}
 
 
-def sample(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, languages: int, text_col: str, lang_col: str) -> dict[str, list[str]]:
+def sample(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """The bounded sample, collected: texts by language."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), learn.alias("learn")).filter("learn AND lang IS NOT NULL AND lang <> 'und'")
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not most:
-        return {}
-    named = rows.filter(F.col("lang").isin([r["lang"] for r in most]) & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    named = rows.filter("text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
     # Hashes alone are ranked, each distinct one once, so that copies and long texts cost a language nothing.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     least = named.select("lang", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("lang", "hash")
-    least = docs.sparkSession.createDataFrame([tuple(r) for r in least.collect()], "lang string, hash long")  # at most languages * sample_texts rows
+    least = docs.sparkSession.createDataFrame([tuple(r) for r in least.collect()], "lang string, hash long")  # sample_texts rows a language
     some = named.join(F.broadcast(least), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, sample_chars // 4).alias("text"))
     once = some.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
@@ -167,13 +164,14 @@ def sample(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int,
     return out
 
 
-def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, model_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (1 less the least entropy over the second least, so 0 to 1).
 
     ``learn``: the rows that may be learned from; by default those whose crc32 of the id modulo 4 is not 2.
+    ``model_chars``: most symbols of all languages' samples together.
     """
     learn = crc_mod(F.col(id_col), 4) != 2 if learn is None else learn
-    predict = predictor(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col)
+    predict = predictor(docs, learn, sample_texts, sample_chars, model_chars, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,24 +183,28 @@ def identify(docs: DataFrame, learn: Column | None = None, sample_texts: int = 6
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, min_score: float = 0.0, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``, with all their columns as they are."""
+def identified(docs: DataFrame, accept: list[str] | None = None, min_score: float = 0.0, learn: Column | None = None, sample_texts: int = 64, sample_chars: int = 60_000, model_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with all their columns as they are.
+
+    ``accept``: the languages that stay; by default all. ``min_score``: the least score that stays.
+    """
     learn = crc_mod(F.col(id_col), 4) != 2 if learn is None else learn
-    predict = predictor(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col)
+    predict = predictor(docs, learn, sample_texts, sample_chars, model_chars, text_col, lang_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, score = predict(batch.column(at))
-            yield batch.filter(pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([b != "und" and s >= min_score and (accept is None or b in accept) for b, s in zip(best, score, strict=True)], pa.bool_()))
         predict(pa.array([], pa.string()), done=True)
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def predictor(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, languages: int, text_col: str, lang_col: str):
+def predictor(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int, model_chars: int, text_col: str, lang_col: str):
     """A function for executors, from an Arrow array of texts to (languages, scores), with the model trained on ``docs``."""
-    model = train(sample(docs, learn, sample_texts, sample_chars, languages, text_col, lang_col), sample_chars)
+    texts = sample(docs, learn, sample_texts, sample_chars, text_col, lang_col)
+    model = train(texts, min(sample_chars, model_chars // max(1, len(texts))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array, done: bool = False) -> tuple[list[str], list[float]]:

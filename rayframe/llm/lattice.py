@@ -1,9 +1,10 @@
 """Language-model scoring by subword lattices.
 
 A word's lattice has an edge for every piece of an existing subword vocabulary that fits, and for every byte. The
-vocabulary's scores are ranks of merges, not log probabilities; the pieces' weights start from 1 / (rank + 10) and
-are re-estimated on all distinct training words by expectation maximisation; a log-space forward recursion adds up all segmentations of a word into its marginal
-probability. Word-initial and later pieces are normalised apart, the later ones together with the word's end, so
+vocabulary's scores are ranks of merges, not log probabilities, so they cannot weight segmentations as they are: the
+pieces' weights start from 1 / (rank + 10) and are re-estimated on all distinct training words by expectation
+maximisation. A log-space forward recursion adds up all segmentations of a word, however long, into its marginal
+probability; no probability has a floor. Word-initial and later pieces are normalised apart, the later ones together with the word's end, so
 the probabilities of all words sum to at most 1.
 
 A text is the sequence of its words and an end. A token's probability is its discounted relative frequency, and the
@@ -253,7 +254,7 @@ def score(docs: DataFrame, vocabulary: str, learn: Column | None = None, rounds:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 of probabilities).
 
     ``learn``: the rows to learn from, by default those whose crc32 of the id modulo 7 is not 2. ``languages``: most
-    classes of texts; the rarer languages share the last one.
+    classes of texts; the rarer languages share the last one with the least frequent that has a class.
     """
     learn = crc_mod(F.col(id_col), 7) != 2 if learn is None else learn
     counted = docs.filter(learn).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
@@ -311,7 +312,7 @@ def score(docs: DataFrame, vocabulary: str, learn: Column | None = None, rounds:
             n = batch.column(1).flatten().to_numpy().reshape(-1, k)
             sub = np.stack([_lattice(vocabulary).score(found, *shared.value[c]) for c in range(k)], 1)
             c = n.sum(1)
-            log_p = np.empty((len(found), k), np.float32)
+            log_p = np.empty((len(found), k))
             for i in range(k):
                 if tokens:
                     p = mixed(c, big_n, types, sub[:, i])
@@ -320,10 +321,10 @@ def score(docs: DataFrame, vocabulary: str, learn: Column | None = None, rounds:
                 if class_tokens[i]:
                     p = mixed(n[:, i], class_tokens[i], class_types[i], p)
                 log_p[:, i] = p
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(log_p.ravel()), k).cast(pa.list_(pa.float32()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(log_p.ravel()), k).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), lists], ["word", "c", "log_p"])
 
-    scored = vocabulary_rows.select("word", "n").mapInArrow(tidy(lattices), "word binary, c long, log_p array<float>")
+    scored = vocabulary_rows.select("word", "n").mapInArrow(tidy(lattices), "word binary, c long, log_p array<double>")
     figures = words.select("block", "idx", "word").join(scored, "word").select(F.col("block").alias("given_block"), "idx", "c", "log_p")
     of_texts = rows.filter("word IS NULL").select(F.col("block").alias("own_block"), "doc_id", "held_out", "tokens")
     prior = np.log(np.maximum(np.array(texts, float), 1e-12) / max(1, sum(texts)))
@@ -348,5 +349,8 @@ def score(docs: DataFrame, vocabulary: str, learn: Column | None = None, rounds:
         m = own.num_rows
         return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "train_tokens": pa.array([tokens] * m, pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
 
+    # As many tasks as there are blocks, whose size is bounded, so that no task gets more of them as the corpus grows.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), of_texts.select("own_block").distinct().count())
+    of_texts, figures = of_texts.repartition(parts, "own_block"), figures.repartition(parts, "given_block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return of_texts.groupBy("own_block").cogroup(figures.groupBy("given_block")).applyInArrow(finish, schema)
