@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import cos, pi, sin
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,13 @@ def with_view(projections: DataFrame, view: DataFrame) -> DataFrame:
     return projections.join(view.select("line"), "line", "left_anti").select("line", "value").unionByName(view.select("line", "value"))
 
 
+def zipped(images: list[DataFrame], names: list[str]) -> DataFrame:
+    """voxel and a column for each image, over the voxels of any; what is absent is 0."""
+    rows = [x.select("voxel", F.lit(k).alias("k"), "value") for k, x in enumerate(images)]
+    every = reduce(lambda a, b: a.unionByName(b), rows)
+    return every.groupBy("voxel").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("value"))), F.lit(0.0)).alias(n) for k, n in enumerate(names)])
+
+
 def phantom(spark: SparkSession, volume: Volume, kind: str = "modified", within: Volume | None = None) -> DataFrame:
     """(voxel, value) of every voxel of a 2-D or 3-D phantom that fills ``within``, by default the volume itself.
 

@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import discard, keep
 from . import linop as L
 
 SEQUENTIAL = 20_000_000
@@ -34,7 +34,7 @@ def _simultaneous(matrix, projections, beta, iterations, box, callback, weighted
     if weighted:
         r = keep(L.row_sums(a).select("line", L.inverse(F.col("value")).alias("w")), f"{name}-rows")
         c = keep(L.column_sums(a).select("voxel", L.inverse(F.col("value"), beta).alias("w")), f"{name}-columns")
-    x = None
+    x = last = None
     for k in range(iterations):
         residual = p if x is None else L.combine(p, L.forward(a, x), "line", lambda u, v: u - v)
         if weighted:
@@ -44,9 +44,12 @@ def _simultaneous(matrix, projections, beta, iterations, box, callback, weighted
         x = step if x is None else L.combine(x, step, "voxel", lambda u, v: u + v)
         if box:
             x = x.select("voxel", F.least(F.greatest("value", F.lit(float(box[0]))), F.lit(float(box[1]))).alias("value"))
-        x = keep(x, f"{name}-image")
+        before, x = last, keep(x, f"{name}-image")
+        last = x
         if callback:
             callback(x, k)
+        elif before is not None:
+            discard(before)
     return _vector(matrix.sparkSession, "voxel") if x is None else x
 
 
@@ -122,7 +125,7 @@ def sart(matrix: DataFrame, projections: DataFrame, block, beta: float = 0.5, it
     same iteration begins, so the last block of an iteration takes effect only with the next commit, and the last of
     all does not reach the result unless ``commit_last``.
     """
-    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "sart-matrix")
+    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "sart-matrix", by="block")
     norms = keep(L.square_norms(a).filter(F.col("value") > 1e-5).select("line", F.col("value").alias("norm")), "sart-norms")
     p = projections.select("line", F.col("value").cast("double").alias("value"))
     blocks = [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
@@ -143,7 +146,7 @@ def sart(matrix: DataFrame, projections: DataFrame, block, beta: float = 0.5, it
 
 def sart_cg(matrix: DataFrame, projections: DataFrame, block, iterations: int = 10, step: float = 1.0, callback: Callback | None = None) -> DataFrame:
     """For each block one step of conjugate gradients on A_b A_b^T y = residual; f += step A_b^T y."""
-    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "sart-matrix")
+    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "sart-matrix", by="block")
     p = projections.select("line", F.col("value").cast("double").alias("value"))
     blocks = [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
     f = _vector(matrix.sparkSession, "voxel")
@@ -168,7 +171,7 @@ def column_action_block(matrix: DataFrame, projections: DataFrame, block, beta:
 
     ``block``: a column of ``voxel``; ``order``: the blocks' order, by default ascending.
     """
-    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "column-matrix")
+    a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "column-matrix", by="block")
     norms = keep(L.square_norms(a, "voxel").filter(F.col("value") > 1e-5).select("voxel", F.col("value").alias("norm")), "column-norms")
     blocks = list(order) if order is not None else [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
     r = projections.select("line", F.col("value").cast("double").alias("value"))
@@ -184,20 +187,33 @@ def column_action_block(matrix: DataFrame, projections: DataFrame, block, beta:
     return x
 
 
-def _one_task(matrix: DataFrame, projections: DataFrame, run, name: str, other: str) -> DataFrame:
+def _one_task(matrix: DataFrame, projections: DataFrame, run, rounds: int, callback: Callback | None, name: str, other: str) -> DataFrame:
+    """``run(line, voxel, value, p, n)`` yields the image after every round; a callback sees each, else only the last is written."""
     if (n := matrix.count()) > SEQUENTIAL:
         raise ValueError(f"{name} is sequential and runs in one task; {n} elements are more than {SEQUENTIAL}, use {other}")
-    rows = matrix.select(F.lit(0).alias("g"), "line", "voxel", "value").unionByName(projections.select(F.lit(0).alias("g"), "line", F.lit(-1).cast("long").alias("voxel"), F.col("value").cast("double").alias("value")))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[pdf["voxel"] < 0].groupby("line")["value"].sum()
-        a = pdf[pdf["voxel"] >= 0]
-        n = int(a["voxel"].max()) + 1 if len(a) else 0
-        image = run(a["line"].to_numpy(), a["voxel"].to_numpy(), a["value"].to_numpy(), p, n)
-        at = np.unique(a["voxel"].to_numpy())
-        return pd.DataFrame({"voxel": at, "value": image[at]})
-
-    return rows.groupBy("g").applyInPandas(kernel, "voxel long, value double")
+    rows = matrix.select("line", "voxel", "value").unionByName(projections.select("line", F.lit(-1).cast("long").alias("voxel"), F.col("value").cast("double").alias("value")))
+
+    def kernel(batches):
+        table = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches]
+        if not table:
+            return
+        line, voxel, value = (np.concatenate(x) for x in zip(*table, strict=True))
+        own = voxel >= 0
+        lines, at = np.unique(line[~own], return_inverse=True)
+        p = dict(zip(lines.tolist(), np.bincount(at, value[~own]).tolist(), strict=True))
+        line, voxel, value = line[own], voxel[own], value[own].astype(np.float64)
+        seen = np.unique(voxel)
+        for k, image in enumerate(run(line, voxel, value, p, int(seen[-1]) + 1 if len(seen) else 0)):
+            if callback or k == rounds - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(seen), pa.array(image[seen])], ["k", "voxel", "value"])
+
+    out = rows.repartition(1).mapInArrow(kernel, "k int, voxel long, value double")
+    if not callback:
+        return out.select("voxel", "value")
+    out = keep(out, f"{name}-images")
+    for k in range(rounds):
+        callback(out.filter(F.col("k") == k).select("voxel", "value"), k)
+    return out.filter(F.col("k") == rounds - 1).select("voxel", "value")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -208,21 +224,52 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, dict]:
     return order, {int(sorted_key[s]): (s, e) for s, e in zip(start, end, strict=True)}
 
 
-def art(matrix: DataFrame, projections: DataFrame, beta: float = 0.5, iterations: int = 10) -> DataFrame:
+def _adder(index: np.ndarray):
+    """How to add at places: numpy's plain way where none comes twice."""
+    if len(np.unique(index)) == len(index):
+
+        def plain(x: np.ndarray, at: np.ndarray, step: np.ndarray) -> None:
+            x[at] += step
+
+        return plain
+    return np.add.at
+
+
+def art(matrix: DataFrame, projections: DataFrame, beta: float = 0.5, iterations: int = 10, callback: Callback | None = None) -> DataFrame:
     """Kaczmarz: rows strictly in order. Rows without weight are skipped."""
 
     def run(line, voxel, value, p, n):
         order, runs = _runs(line)
         voxel, value, x = voxel[order], value[order], np.zeros(n)
+        rows = []
+        for row, (s, e) in runs.items():
+            v, a = voxel[s:e], value[s:e]
+            if (size := a @ a) > 0:
+                rows.append((v, a, a * (beta / size), p.get(row, 0.0), _adder(v)))
         for _ in range(iterations):
-            for row, (s, e) in runs.items():
-                v, a = voxel[s:e], value[s:e]
-                size = a @ a
-                if size > 0:
-                    np.add.at(x, v, beta * (p.get(row, 0.0) - a @ x[v]) / size * a)
-        return x
-
-    return _one_task(matrix, projections, run, "art", "sart or sirt")
+            for v, a, step, measured, add in rows:
+                add(x, v, (measured - a @ x[v]) * step)
+            yield x
+
+    return _one_task(matrix, projections, run, iterations, callback, "art", "sart or sirt")
+
+
+def hilbert_order(voxels: np.ndarray) -> np.ndarray:
+    """Voxels of a square image, the least with a power of two a side that holds them, in the order of a Hilbert curve."""
+    order = 0
+    while (1 << order) ** 2 <= int(max(voxels, default=0)):
+        order += 1
+    i = np.arange(4**order)
+    x, y = np.zeros_like(i), np.zeros_like(i)
+    for k in range(order):
+        side, pair = 1 << k, i >> 2 * k & 3
+        right, up = pair >= 2, (pair == 1) | (pair == 2)
+        flip = right & ~up
+        x, y = np.where(flip, side - 1 - x, x), np.where(flip, side - 1 - y, y)
+        x, y = np.where(up, x, y), np.where(up, y, x)
+        x, y = x + side * right, y + side * up
+    curve = x + (y << order)
+    return curve[np.isin(curve, voxels)]
 
 
 #: Orders in which cyclic column action visits the voxels, by sweep.
@@ -230,20 +277,23 @@ ORDERS = {
     "identity": lambda v, sweep: v,
     "reverse": lambda v, sweep: v[::-1],
     "back-forth": lambda v, sweep: v if sweep % 2 == 0 else v[::-1],
+    "hilbert": lambda v, sweep: hilbert_order(v),
     "random": lambda v, sweep: np.random.default_rng(sweep).permutation(v),
 }
 
 
-def column_action_cyclic(matrix: DataFrame, projections: DataFrame, beta: float = 0.5, sweeps: int = 10, order: str | Iterable[int] = "identity") -> DataFrame:
+def column_action_cyclic(matrix: DataFrame, projections: DataFrame, beta: float = 0.5, sweeps: int = 10, order: str | Iterable[int] = "identity", callback: Callback | None = None) -> DataFrame:
     """Voxel by voxel: delta = beta <a_j, r> / |a_j|^2, r -= delta a_j. ``order``: one of ORDERS or voxels one by one."""
     given = None if isinstance(order, str) else list(order)
 
     def run(line, voxel, value, p, n):
-        lines, at = np.unique(np.concatenate([line, p.index.to_numpy(dtype=np.int64)]), return_inverse=True)
+        known = np.fromiter(p, np.int64, len(p))
+        lines, at = np.unique(np.concatenate([line, known]), return_inverse=True)
         at, r = at[: len(line)], np.zeros(len(lines))
-        r[np.searchsorted(lines, p.index.to_numpy(dtype=np.int64))] = p.to_numpy()
+        r[np.searchsorted(lines, known)] = list(p.values())
         rows, runs = _runs(voxel)
         at, value, x = at[rows], value[rows], np.zeros(n)
+        add = {j: _adder(at[s:e]) for j, (s, e) in runs.items()}
         for sweep in range(sweeps):
             for j in given if given is not None else ORDERS[order](np.array(list(runs)), sweep):
                 if int(j) not in runs:
@@ -254,19 +304,20 @@ def column_action_cyclic(matrix: DataFrame, projections: DataFrame, beta: float
                 if size > 1e-5:
                     delta = beta * (a @ r[at[s:e]]) / size
                     x[int(j)] += delta
-                    np.add.at(r, at[s:e], -delta * a)
-        return x
+                    add[int(j)](r, at[s:e], -delta * a)
+            yield x
 
-    return _one_task(matrix, projections, run, "column_action_cyclic", "column_action_block")
+    return _one_task(matrix, projections, run, sweeps, callback, "column_action_cyclic", "column_action_block")
 
 
-def truncated_svd(matrix: DataFrame, rank: int, oversample: int = 4, powers: int = 2, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
+def truncated_svd(matrix: DataFrame, rank: int, oversample: int = 4, powers: int = 2, seed: int = 0, mask=None) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """(singular values, left vectors (k, line, value), right vectors (k, voxel, value)) by a random range finder.
 
     Products with the matrix run in Spark on all columns at once; only Gram matrices of ``rank + oversample`` columns
-    come to the driver, from which tall matrices are orthonormalised where they are.
+    come to the driver, from which tall matrices are orthonormalised where they are. ``mask``: a condition on ``voxel``
+    or ``line``; what it leaves out counts as zero.
     """
-    a, m = keep(matrix.select("line", "voxel", "value"), "svd-matrix"), rank + oversample
+    a, m = keep((matrix if mask is None else matrix.filter(mask)).select("line", "voxel", "value"), "svd-matrix"), rank + oversample
 
     def times(x: DataFrame, on: str, to: str) -> DataFrame:
         return keep(a.join(x.select(on, "k", F.col("value").alias("x")), on).groupBy(to, "k").agg(F.sum(F.col("value") * F.col("x")).alias("value")), "svd-product")

@@ -93,11 +93,11 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
         for k, d, layer, w in weights.select(within.alias("k"), "value", F.explode(by_axis).alias("e")).filter("k IS NOT NULL").groupBy("k", "e.d", "e.layer").agg(F.sum("value")).collect():
             layers[numbers[k]][d][layer] = w
         below: dict[int, tuple[Box, int, float]] = {}
-        split = F.lit(None).cast("array<int>")
+        chosen: dict[int, list[int]] = {}
         for n, (box, p, eps) in nodes.items():
             d, a, _ = best_cut(counts[n], layers[n], box, eps / (p.bit_length() - 1))
             tree[n] = (d, a)
-            split = F.when(F.col("node") == n, F.array(F.lit(d), F.lit(a))).otherwise(split)
+            chosen[n] = [d, a]
             total = sum(layers[n][0].values())
             for child, ends in ((2 * n, (box[d][0], a)), (2 * n + 1, (a + 1, box[d][1]))):
                 own = list(box)
@@ -106,7 +106,9 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
                 below[child] = (own, p // 2, (1 + eps) * (total / p) / weight * p / 2 - 1 if weight else eps)
         # Of both ends along the cut's axis: the lower decides on the left, the upper on the right.
         ends = [F.element_at(F.array(*[V.truncated(F.col(f"{e}{d}")) for d in range(dim)]), F.col("split")[0] + 1) for e in "ab"]
-        cut = cut.withColumn("split", split)
+        # The nodes of a level are numbered without a gap.
+        place = F.col("node") - min(nodes)
+        cut = cut.withColumn("split", F.array(*[F.lit([chosen[n][k] for n in sorted(nodes)])[place] for k in range(2)]))
         go = F.array_compact(F.array(F.when(F.least(*ends) <= F.col("split")[1], 2 * F.col("node")), F.when(F.greatest(*ends) > F.col("split")[1], 2 * F.col("node") + 1)))
         lines = cut.select("line", *V.cols("o", dim), *V.cols("u", dim), F.explode(go.cast("array<int>")).alias("node"))
         nodes = below
@@ -114,11 +116,11 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
 
 
 def partition_trivial(matrix: DataFrame, volume: Volume, parts: int) -> tuple[int, list[Box], int]:
-    """(axis, boxes, communication volume) of the best cut into slabs along one axis."""
-    best = None
-    for d in range(volume.dim):
-        of = blocks(volume, tuple(parts if k == d else 1 for k in range(volume.dim)))
-        cost = statistics.communication_volume(statistics.owners(matrix, volume, of)).first()[0]
-        if best is None or cost < best[2]:
-            best = (d, of, cost)
-    return best
+    """(axis, boxes, communication volume) of the best cut into slabs along one axis, all axes in one job."""
+    rows = V.computed(matrix, ["line"], V.named(volume.unroll(F.col("voxel")), "i"))
+    slabs = F.array(*[F.struct(F.lit(d).alias("axis"), F.floor(F.col(f"i{d}") / F.lit(-(-n // parts))).cast("int").alias("part")) for d, n in enumerate(volume.voxels)])
+    owned = rows.select("line", F.inline(slabs)).distinct()
+    by = owned.groupBy("axis", "line").agg(F.count(F.lit(1)).alias("n")).groupBy("axis").agg(F.sum(F.col("n") - 1).alias("volume"))
+    cost = {r.axis: r.volume for r in by.collect()}  # a row an axis
+    axis = min(range(volume.dim), key=lambda d: (cost.get(d, 0), d))
+    return axis, blocks(volume, tuple(parts if k == axis else 1 for k in range(volume.dim))), cost.get(axis, 0)

@@ -11,35 +11,83 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vec as V
 from ..model import Volume
 from .trees import Box
 
 
+#: Boxes up to which owners are found by one condition each; more are looked up by cuts.
+EXPRESSION_PARTS = 16
+
+
+def cuts(of: list[Box]) -> list[tuple[int, int, int, int]] | None:
+    """A binary tree of cuts that tells the boxes apart: (axis, at, left, right) by node, (-1, box, 0, 0) at a leaf.
+
+    None where no plane separates them, or where they leave gaps.
+    """
+    nodes: list[tuple[int, int, int, int]] = []
+
+    def cells(box: Box) -> int:
+        return reduce(lambda n, e: n * (e[1] - e[0] + 1), box, 1)
+
+    def build(own: list[int]) -> int:
+        k = len(nodes)
+        if len(own) == 1:
+            nodes.append((-1, own[0], 0, 0))
+            return k
+        nodes.append((0, 0, 0, 0))
+        best = None
+        for d in range(len(of[0])):
+            for at in {of[i][d][1] for i in own}:
+                left = [i for i in own if of[i][d][1] <= at]
+                right = [i for i in own if of[i][d][0] > at]
+                if left and right and len(left) + len(right) == len(own):
+                    uneven = abs(len(left) - len(right))
+                    if best is None or (uneven, d, at) < best[:3]:
+                        best = (uneven, d, at, left, right)
+        if best is None:
+            raise ValueError("the boxes interlock")
+        nodes[k] = (best[1], best[2], build(best[3]), build(best[4]))
+        return k
+
+    whole = [(min(b[d][0] for b in of), max(b[d][1] for b in of)) for d in range(len(of[0]))]
+    if sum(map(cells, of)) != cells(whole):
+        return None
+    try:
+        build(list(range(len(of))))
+    except ValueError:
+        return None
+    return nodes
+
+
 def owner(at: list[Column], of: list[Box]) -> Column:
-    """The part whose box a voxel lies in: binary decisions over the boxes, without a join."""
+    """The part whose box a voxel lies in, without a join; ``at`` should be plain columns, as each is used often."""
+    if len(of) > EXPRESSION_PARTS and (nodes := cuts(of)):
+        axis, cut, left, right = (F.lit([int(n[k]) for n in nodes]) for k in range(4))
+        depth = [0] * len(nodes)
+        for k, n in enumerate(nodes):
+            if n[0] >= 0:
+                depth[n[2]] = depth[n[3]] = depth[k] + 1
+        here = F.array(*[x.cast("int") for x in at])
+        whole = [(min(b[d][0] for b in of), max(b[d][1] for b in of)) for d in range(len(at))]
+
+        def step(n: Column, _) -> Column:
+            d = axis[n]
+            return F.when(d < 0, n).when(here[d] <= cut[n], left[n]).otherwise(right[n])
+
+        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, *depth))), F.lit(0), step)
+        inside = reduce(lambda a, b: a & b, [(x >= lo) & (x <= hi) for x, (lo, hi) in zip(at, whole, strict=True)])
+        return F.when(inside, cut[leaf])
     out = F.lit(None).cast("int")
     for k, box in enumerate(of):
         out = F.when(reduce(lambda a, b: a & b, [(x >= lo) & (x <= hi) for x, (lo, hi) in zip(at, box, strict=True)]), k).otherwise(out)
     return out
 
 
-#: Parts up to which owners are found by an expression; more are joined.
-EXPRESSION_PARTS = 128
-
-
 def owners(matrix: DataFrame, volume: Volume, of: list[Box]) -> DataFrame:
     """Distinct (line, part)."""
-    at = volume.unroll(F.col("voxel"))
-    if len(of) <= EXPRESSION_PARTS:
-        return matrix.select("line", owner(at, of).alias("part")).filter("part IS NOT NULL").distinct()
-    # Each voxel of the volume has one owner; a line's distinct voxels are looked up.
-    table = volume.grid(matrix.sparkSession).select("voxel", *[F.col(f"i{d}") for d in range(volume.dim)])
-    from .trees import parts
-
-    box = parts(matrix.sparkSession, of)
-    inside = reduce(lambda a, b: a & b, [(F.col(f"i{d}") >= F.col(f"lo_{d}")) & (F.col(f"i{d}") <= F.col(f"hi_{d}")) for d in range(volume.dim)])
-    table = table.join(F.broadcast(box), inside).select("voxel", "part")  # a row a part
-    return matrix.select("line", "voxel").distinct().join(table, "voxel").select("line", "part").distinct()
+    rows = V.computed(matrix, ["line"], V.named(volume.unroll(F.col("voxel")), "i"))
+    return rows.select("line", owner(V.cols("i", volume.dim), of).alias("part")).filter("part IS NOT NULL").distinct()
 
 
 def communication_volume(owned: DataFrame) -> DataFrame:
@@ -87,7 +135,8 @@ def box_weight(sums: DataFrame, volume: Volume, box: Box) -> DataFrame:
 
 def load_imbalance(weights: DataFrame, volume: Volume, of: list[Box]) -> DataFrame:
     """One row: imbalance, the largest weight of a part over the average, less 1, at least 0."""
-    rows = weights.select(owner(volume.unroll(F.col("voxel")), of).alias("part"), "value").filter("part IS NOT NULL")
+    rows = V.computed(weights, ["value"], V.named(volume.unroll(F.col("voxel")), "i"))
+    rows = rows.select(owner(V.cols("i", volume.dim), of).alias("part"), "value").filter("part IS NOT NULL")
     by = rows.groupBy("part").agg(F.sum("value").alias("w"))
     return by.agg(F.greatest(F.lit(0.0), F.max("w") / (F.sum("w") / F.lit(len(of))) - 1).alias("imbalance"))
 

@@ -239,14 +239,62 @@ def column_action_block(spark, sf_dir):
     return rounded(solvers.column_action_block(matrix(spark, sf_dir), measured(spark, sf_dir), F.floor(F.col("voxel") / (CELLS // 2)), sweeps=1), "voxel")
 
 
-@query()
+def _blocks_sql(iterations: int, blocks: int, conjugate: bool) -> str:
+    """SART, or SART by conjugate gradients, over consecutive blocks of lines, as nested common table expressions."""
+    size = -(-LINES // blocks)
+    out = f"WITH {A}, {P}, n AS (SELECT line, sum(value * value) AS norm FROM a GROUP BY line), b AS (SELECT *, line // {size} AS block FROM a), x0 AS (SELECT DISTINCT voxel, 0.0::DOUBLE AS value FROM a)"
+    held, now = 0, 0  # the image that rows read, and the one with all updates
+    for _ in range(iterations):
+        for k in range(blocks):
+            if k or conjugate:
+                held = now
+            weight = "1.0" if conjugate else "0.5 / norm"
+            out += f", l{now} AS (SELECT line, (p.value - coalesce(t.value, 0)) * {weight} AS value FROM p JOIN n USING (line) LEFT JOIN (SELECT line, sum(b.value * x{held}.value) AS value FROM b JOIN x{held} USING (voxel) WHERE block = {k} GROUP BY line) t USING (line) WHERE line // {size} = {k})"
+            out += f", q{now} AS (SELECT voxel, sum(b.value * l{now}.value) AS value FROM b JOIN l{now} USING (line) GROUP BY voxel)"
+            step = f"(SELECT sum(value * value) FROM l{now}) / (SELECT sum(value * value) FROM q{now})" if conjugate else "1.0"
+            out += f", x{now + 1} AS (SELECT voxel, x{now}.value + coalesce(q{now}.value, 0) * {step} AS value FROM x{now} LEFT JOIN q{now} USING (voxel))"
+            now += 1
+    return out + f" SELECT voxel, round(value, 6) + 0.0 AS value FROM x{now if conjugate else held}"
+
+
+def _third(c: str, n: int) -> Column:
+    return F.floor(F.col(c) / (-(-n // 3)))
+
+
+@query(_blocks_sql(2, 3, False))
+def sart_three_blocks(spark, sf_dir):
+    """Two iterations over three blocks: an update is committed when the next block begins, and not between iterations."""
+    return rounded(solvers.sart(matrix(spark, sf_dir), measured(spark, sf_dir), _third("line", LINES), iterations=2), "voxel")
+
+
+@query(_blocks_sql(2, 3, True))
+def sart_cg_three_blocks(spark, sf_dir):
+    return rounded(solvers.sart_cg(matrix(spark, sf_dir), measured(spark, sf_dir), _third("line", LINES), iterations=2), "voxel")
+
+
+def _rows_in_turn_sql(iterations: int) -> str:
+    """Row action: a fold over dense rows, each followed by its measurement and its square norm."""
+    dense = f"c AS (SELECT line, list(coalesce(value, 0) ORDER BY voxel) AS v FROM (SELECT * FROM range({LINES}) i(line), range({CELLS}) j(voxel)) LEFT JOIN a USING (line, voxel) GROUP BY line), w AS (SELECT list(list_concat(v, [p.value, list_inner_product(v, v)]) ORDER BY line) AS rows FROM c JOIN p USING (line))"
+    step = f"list_transform(list_zip(x[:{CELLS}], r[:{CELLS}], list_resize([]::DOUBLE[], {CELLS}, (r[{CELLS + 1}] - list_inner_product(x[:{CELLS}], r[:{CELLS}])) / r[{CELLS + 2}] * 0.5)), lambda e: e[1] + e[2] * e[3])"
+    every = ", ".join(["rows"] * iterations)
+    return f"WITH {A}, {P}, {dense}, s AS (SELECT list_reduce(list_concat([list_resize([]::DOUBLE[], {CELLS}, 0.0::DOUBLE)], {every}), lambda x, r: {step}) AS x FROM w) SELECT j - 1 AS voxel, round(x[j], 6) + 0.0 AS value FROM s, range(1, {CELLS + 1}) t(j)"
+
+
+def _columns_in_turn_sql(order: str, steps: int) -> str:
+    """Column action: step by step, with the residual as a list."""
+    dense = f"c AS (SELECT voxel, list(coalesce(value, 0) ORDER BY line) AS v FROM (SELECT * FROM range({CELLS}) i(voxel), range({LINES}) j(line)) LEFT JOIN a USING (line, voxel) GROUP BY voxel), w AS (SELECT voxel AS k, v, list_inner_product(v, v) AS size FROM c)"
+    first = f"SELECT 0 AS i, (SELECT list(value ORDER BY line) FROM p) AS x, list_resize([]::DOUBLE[], {CELLS}, 0.0::DOUBLE) AS f"
+    return f"WITH RECURSIVE {A}, {P}, {dense}, s AS ({first} UNION ALL SELECT i + 1, list_transform(list_zip(x, v), lambda e: e[1] - d * e[2]), list_transform(list_zip(f, range({CELLS})), lambda e: e[1] + CASE WHEN e[2] = k THEN d ELSE 0 END) FROM (SELECT s.i, s.x, s.f, w.v, w.k, 0.5 * list_inner_product(v, x) / size AS d FROM s JOIN w ON w.k = {order} WHERE s.i < {steps})) SELECT j - 1 AS voxel, round(f[j], 6) + 0.0 AS value FROM s, range(1, {CELLS + 1}) t(j) WHERE i = {steps}"
+
+
+@query(_rows_in_turn_sql(3))
 def art(spark, sf_dir):
-    return solvers.art(matrix(spark, sf_dir), measured(spark, sf_dir), iterations=3)
+    return rounded(solvers.art(matrix(spark, sf_dir), measured(spark, sf_dir), iterations=3), "voxel")
 
 
-@query()
+@query(_columns_in_turn_sql(f"CASE WHEN s.i < {CELLS} THEN s.i ELSE {2 * CELLS - 1} - s.i END", 2 * CELLS))
 def column_action_cyclic(spark, sf_dir):
-    return solvers.column_action_cyclic(matrix(spark, sf_dir), measured(spark, sf_dir), sweeps=2, order="back-forth")
+    return rounded(solvers.column_action_cyclic(matrix(spark, sf_dir), measured(spark, sf_dir), sweeps=2, order="back-forth"), "voxel")
 
 
 @query()
@@ -493,14 +541,36 @@ def rays_laminography(spark, sf_dir):
     return _ray_rows(G.laminography(nation_views(spark, sf_dir, full_turn()), SPACE, 25, (2.0, 2.0), (4, 4), 1.0, 1.0, 1.0, 0.8))
 
 
-@query()
+def _draw_sql(k: int, seed: int) -> str:
+    x = f"(line % {G.PRIME})"
+    out = f"SELECT line, {x} AS x FROM range(1000) t(line)"
+    for r in range(4):
+        out = f"SELECT line, (x * x + x * 48271 + {(seed * 7919 + k * 104729 + r * 1299709 + 12345) % G.PRIME}) % {G.PRIME} AS x FROM ({out})"
+    return f"SELECT line, (x + 0.5) / {G.PRIME}.0::DOUBLE AS r{k} FROM ({out})"
+
+
+def _random_sql(seed: int) -> str:
+    draws = " JOIN ".join(f"({_draw_sql(k, seed)}) q{k}" + (" USING (line)" if k else "") for k in range(10))
+    normal = [f"sqrt(-2 * ln(r{4 + d})) * cos(r{7 + d} * 2 * pi())" for d in range(3)]
+    start = [f"CASE WHEN f = {2 * d} THEN 0.0 WHEN f = {2 * d + 1} THEN 1.0 ELSE r{1 + d} END" for d in range(3)]
+    way = [f"CASE WHEN f = {2 * d} THEN abs({g}) WHEN f = {2 * d + 1} THEN -abs({g}) ELSE {g} END" for d, g in enumerate(normal)]
+    out = ", ".join(f"round({x}, 6) + 0.0 AS s{d}" for d, x in enumerate(start)) + ", " + ", ".join(f"round({x} + ({w}), 6) + 0.0 AS d{d}" for d, (x, w) in enumerate((f"({s})", w) for s, w in zip(start, way, strict=True)))
+    return f"WITH y AS (SELECT *, CAST(floor(r0 * 6) AS INT) AS f FROM {draws}) SELECT line, {out} FROM y"
+
+
+@query(_random_sql(7))
 def rays_random(spark, sf_dir):
-    return G.random_rays(spark, SPACE, 1000, 7)
+    return rounded(G.random_rays(spark, SPACE, 1000, 7).drop("view", "p0", "p1"), "line")
 
 
-@query()
+CONE = (_about(("-2.0", "0", "0"), 2), _about(("1.5", "0", "0"), 2), [_turned(("0", "1", "0"), 2), ["0", "0", "1"]])
+#: Views of the cone beam with 10 x 10 pixels, as the table w.
+CONE_VIEWS = _trajectory_sql(FULL, *CONE, 2.0, 10).removeprefix("WITH ").split(" SELECT CAST(view")[0]
+
+
+@query(f"WITH {CONE_VIEWS} SELECT CAST(view // 2 AS INT) AS view, " + ", ".join(f"CAST(round({x}{d}{' * 2' if x in 'ab' else ''}, 6) + 0.0 AS DOUBLE) AS {x}{d}" for x in "scab" for d in range(3)) + ", 5 AS n0, 5 AS n1, false AS parallel FROM w WHERE view % 2 = 0")
 def views_rescaled(spark, sf_dir):
-    return G.rescaled(cone_views(spark, sf_dir), 2)
+    return rounded(G.rescaled(cone_views(spark, sf_dir), 2), "view", "n0", "n1", "parallel")
 
 
 # Kernels
@@ -551,24 +621,71 @@ def kernel_joseph(spark, sf_dir):
     return rounded(kernels.joseph(plane_rays(spark, sf_dir), PLANE), "line", "voxel")
 
 
-@query()
+def _space() -> str:
+    """Rays of the cone beam through SPACE that hit it, truncated as ``truncated_rays`` has it in the plane: table o."""
+    d3, n = range(3), 12
+    at = [f"c{d} + (i + 0.5) * a{d} + (j + 0.5) * b{d}" for d in d3]
+    out = f"{CONE_VIEWS}, y AS (SELECT CAST(view AS BIGINT) * 100 + i + 10 * j AS line, " + ", ".join([*[f"s{d}" for d in d3], *[f"{x} AS d{d}" for d, x in enumerate(at)]]) + " FROM w, range(10) p(i), range(10) q(j))"
+    out += ", z AS (SELECT *, " + ", ".join(f"abs(d{d} - s{d}) <= 1e-5 OR abs(d{d} - s{d}) <= 1e-2 * abs(d{d}) AS f{d}" for d in d3) + " FROM y)"
+    low = ", ".join(f"CASE WHEN f{d} THEN 0 ELSE least(-s{d} / (d{d} - s{d}), (1 - s{d}) / (d{d} - s{d})) END" for d in d3)
+    high = ", ".join(f"CASE WHEN f{d} THEN 1e300 ELSE greatest(-s{d} / (d{d} - s{d}), (1 - s{d}) / (d{d} - s{d})) END" for d in d3)
+    inside = " AND ".join(f"(NOT f{d} OR (s{d} >= -1e-5 AND s{d} < 1 + 1e-5))" for d in d3)
+    out += f", h AS (SELECT * FROM (SELECT *, greatest(0, {low}) AS t1, least({high}) AS t2, sqrt({' + '.join(f'pow(d{d} - s{d}, 2)' for d in d3)}) AS long FROM z) WHERE t2 > t1 AND {inside})"
+    out += ", g AS (SELECT *, " + ", ".join(f"(d{d} - s{d}) / long AS u{d}" for d in d3) + f", floor({n} * t1 * long) + 1 AS steps FROM h)"
+    return out + ", o AS (SELECT line, " + ", ".join(f"{n} * s{d} + steps * u{d} AS o{d}, u{d}" for d in d3) + " FROM g)"
+
+
+SPACE_RAYS = _space()
+WITHIN = " AND ".join(f"x{d} BETWEEN 1e-5 AND 12 - 1e-5" for d in range(3))
+NEAR = " AND ".join(f"x{d} >= -1.00001 AND x{d} < 13.00001" for d in range(3))
+
+
+@query(
+    f"WITH {SPACE_RAYS}, c AS (SELECT line, t1 AS t FROM h UNION ALL SELECT line, t2 FROM h"
+    + "".join(f" UNION ALL SELECT line, (k / 12.0 - s{d}) / (d{d} - s{d}) AS t FROM h, range(13) r(k) WHERE abs(d{d} - s{d}) * 12 > 1e-12 AND (k / 12.0 - s{d}) / (d{d} - s{d}) BETWEEN t1 AND t2" for d in range(3))
+    + "), e AS (SELECT line, t, lead(t) OVER (PARTITION BY line ORDER BY t) AS r FROM c), inner_ AS (SELECT line, (r - t) * long AS value, "
+    + ", ".join(f"CAST(floor(12 * (s{d} + (d{d} - s{d}) * (t + r) / 2)) AS BIGINT) AS i{d}" for d in range(3))
+    + " FROM e JOIN h USING (line) WHERE r - t > 1e-9) SELECT line, i0 + 12 * (i1 + 12 * i2) AS voxel, round(value, 6) + 0.0 AS value FROM inner_ WHERE i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11 AND i2 BETWEEN 0 AND 11"
+)
 def kernel_exact(spark, sf_dir):
-    return kernels.exact(cone_rays(spark, sf_dir), SPACE)
+    rays = cone_rays(spark, sf_dir)
+    long = rays.select("line", V.distance(V.cols("s", 3), V.cols("d", 3)).alias("long"))
+    # A corner that a ray touches to rounding is no element.
+    return rounded(kernels.exact(rays, SPACE).join(long, "line").filter("value / long > 1e-9").drop("long"), "line", "voxel")
 
 
-@query()
+@query(
+    f"WITH {SPACE_RAYS}, q AS (SELECT line, k, " + ", ".join(f"o{d} + (k + 0.5) * u{d} AS x{d}" for d in range(3)) + f" FROM o, range(40) r(k)) SELECT line, CAST(floor(x0) + 12 * (floor(x1) + 12 * floor(x2)) AS BIGINT) AS voxel, 1.0::DOUBLE AS value FROM q WHERE {WITHIN} AND line IN (SELECT line FROM q WHERE k = 0 AND {WITHIN})"
+)
 def kernel_closest_space(spark, sf_dir):
     return kernels.closest(cone_rays(spark, sf_dir), SPACE)
 
 
-@query()
+def _joseph_space() -> str:
+    d3 = range(3)
+    pick = lambda xs: "CASE axis " + " ".join(f"WHEN {d} THEN {xs[d]}" for d in d3) + " END"
+    away = lambda x: f"CASE WHEN {x} < 0 THEN -floor(-({x}) + 0.5) ELSE floor({x} + 0.5) END"
+    out = f"WITH {SPACE_RAYS}, j AS (SELECT *, CASE WHEN abs(u2) > greatest(abs(u0), abs(u1)) THEN 2 WHEN abs(u1) > abs(u0) THEN 1 ELSE 0 END AS axis FROM o), main AS (SELECT *, {pick(['o0', 'o1', 'o2'])} AS om, {pick(['u0', 'u1', 'u2'])} AS um FROM j)"
+    out += ", l AS (SELECT line, axis, o0, o1, o2, " + ", ".join(f"u{d} / abs(um) AS h{d}" for d in d3) + f", ({away('om - 0.5')} + 0.5 - om) * sign(um) AS shift FROM main)"
+    out += f", q AS (SELECT * FROM (SELECT line, axis, k - 30 AS k, " + ", ".join(f"o{d} + (shift + k - 30) * h{d} AS x{d}" for d in d3) + f" FROM l, range(90) r(k)) WHERE {NEAR})"
+    out += f", slices AS (SELECT *, {pick(['x0', 'x1', 'x2'])} AS x, CASE axis WHEN 0 THEN x1 ELSE x0 END AS y0, CASE axis WHEN 2 THEN x1 ELSE x2 END AS y1 FROM q WHERE line IN (SELECT line FROM q WHERE k IN (0, -1)))"
+    out += f", c AS (SELECT line, axis, CAST({away('x - 0.5')} AS BIGINT) AS row, y0, y1, CAST({away('y0')} AS BIGINT) - m AS i, CAST({away('y1')} AS BIGINT) - n AS j FROM slices, range(2) a(m), range(2) b(n))"
+    return out + " SELECT line, CASE axis WHEN 0 THEN row + 12 * (i + 12 * j) WHEN 1 THEN i + 12 * (row + 12 * j) ELSE i + 12 * (j + 12 * row) END AS voxel, round((1 - abs(y0 - i - 0.5)) * (1 - abs(y1 - j - 0.5)), 6) + 0.0 AS value FROM c WHERE row BETWEEN 0 AND 11 AND i BETWEEN 0 AND 11 AND j BETWEEN 0 AND 11"
+
+
+@query(_joseph_space())
 def kernel_joseph_space(spark, sf_dir):
-    return kernels.joseph(cone_rays(spark, sf_dir), SPACE)
+    return rounded(kernels.joseph(cone_rays(spark, sf_dir), SPACE), "line", "voxel")
 
 
-@query()
+@query(
+    f"WITH {SPACE_RAYS}, q AS (SELECT * FROM (SELECT line, k - 30 AS k, " + ", ".join(f"o{d} + (k - 30) * u{d} AS x{d}" for d in range(3)) + f" FROM o, range(90) r(k)) WHERE {NEAR}), c AS (SELECT *, "
+    + ", ".join(f"CAST(CASE WHEN x{d} < 0 THEN -floor(-x{d} + 0.5) ELSE floor(x{d} + 0.5) END AS BIGINT) - {m} AS i{d}" for d, m in enumerate("mno"))
+    + " FROM q, range(2) a(m), range(2) b(n), range(2) c(o) WHERE line IN (SELECT line FROM q WHERE k IN (0, -1))) SELECT line, i0 + 12 * (i1 + 12 * i2) AS voxel, round("
+    + " * ".join(f"(1 - abs(x{d} - i{d} - 0.5))" for d in range(3)) + ", 6) + 0.0 AS value FROM c WHERE i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11 AND i2 BETWEEN 0 AND 11"
+)
 def kernel_linear_space(spark, sf_dir):
-    return kernels.linear(cone_rays(spark, sf_dir), SPACE)
+    return rounded(kernels.linear(cone_rays(spark, sf_dir), SPACE), "line", "voxel")
 
 
 EIGHT = CLOSEST.replace("16 * s0", "8 * s0").replace("16 * s1", "8 * s1").replace("64 * t1", "32 * t1").replace("16 - 1e-5", "8 - 1e-5").replace("+ 16 * floor(x1)", "+ 8 * floor(x1)").replace("view * 16 + i", "view * 8 + i").replace("/ 16 AS", "/ 8 AS").replace("range(16) p(i)", "range(8) p(i)")
@@ -663,35 +780,18 @@ def partition_continuous(spark, sf_dir):
     return trees.parts(spark, trees.boxes(trees.to_voxels(tree, SPACE), SPACE))
 
 
-@query(
-    "WITH x AS (SELECT e_value AS y, row_number() OVER (ORDER BY e_value, event_id) AS k, count(*) OVER () AS n, sum(f) OVER (ORDER BY e_value, event_id ROWS UNBOUNDED PRECEDING) AS l, sum(f) OVER () AS total FROM (SELECT event_id, (event_id * 7919 % 10007) / 10007.0 AS e_value, CAST(1 + user_id % 5 AS DOUBLE) AS f FROM events WHERE event_id < 2000)), "
-    "t AS (SELECT *, lead(y) OVER (ORDER BY k) AS r FROM x), b AS (SELECT * FROM t WHERE k < n AND (l / k * r > (total - l) / (n - k) * (1 - r) OR k = n - 1) ORDER BY k LIMIT 1) SELECT round(least(r, greatest(y, ((total - l) / (n - k)) / (l / k + (total - l) / (n - k)))), 6) AS at FROM b"
-)
-def simple_split(spark, sf_dir):
-    return _simple_split(table(spark, sf_dir, "events").filter("event_id < 2000"))
-
-
 @query(
     "WITH x AS (SELECT e_value AS y, row_number() OVER (ORDER BY e_value, event_id) AS k, count(*) OVER () AS n, sum(f) OVER (ORDER BY e_value, event_id ROWS UNBOUNDED PRECEDING) AS l, sum(f) OVER () AS total FROM (SELECT event_id, (event_id * 7919 % 10007) / 10007.0 AS e_value, CAST(1 + user_id % 5 AS DOUBLE) AS f FROM events)), "
     "t AS (SELECT *, lead(y) OVER (ORDER BY k) AS r FROM x), b AS (SELECT * FROM t WHERE k < n AND (l / k * r > (total - l) / (n - k) * (1 - r) OR k = n - 1) ORDER BY k LIMIT 1) SELECT round(least(r, greatest(y, ((total - l) / (n - k)) / (l / k + (total - l) / (n - k)))), 6) AS at FROM b"
 )
-def simple_split_all(spark, sf_dir):
-    return _simple_split(table(spark, sf_dir, "events"))
-
-
-def _simple_split(events: DataFrame) -> DataFrame:
-    rows = events.selectExpr("event_id", "(event_id * 7919 % 10007) / 10007.0D AS y", "CAST(1 + user_id % 5 AS DOUBLE) AS f")
-    return events.sparkSession.createDataFrame([(round(grcb.simple_split_rows(rows, 0.0, 1.0, "event_id"), 6),)], "at double")
+def simple_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "(event_id * 7919 % 10007) / 10007.0D AS y", "CAST(1 + user_id % 5 AS DOUBLE) AS f")
+    return spark.createDataFrame([(round(grcb.simple_split_rows(rows, 0.0, 1.0, "event_id"), 6),)], "at double")
 
 
 # Exchange
 
 
-@query()
-def shadow_overlaps(spark, sf_dir):
-    return exchange.overlaps(_shadows(spark, sf_dir))
-
-
 FOUR = {1: (0, 5), 2: (1, 3), 3: (2, 7)}
 
 
@@ -717,14 +817,25 @@ def shadows(spark, sf_dir):
 
 
 @query(
+    f"WITH s AS ({_shadow_sql()}), o AS (SELECT x.part AS a, y.part AS b, view, greatest(x.min_x, y.min_x) AS min_x, greatest(x.min_y, y.min_y) AS min_y, least(x.max_x, y.max_x) AS max_x, least(x.max_y, y.max_y) AS max_y FROM s x JOIN s y USING (view) WHERE x.part <> y.part) "
+    "SELECT * FROM o WHERE max_x >= min_x AND max_y >= min_y"
+)
+def shadow_overlaps(spark, sf_dir):
+    return exchange.overlaps(_shadows(spark, sf_dir))
+
+
+CONTRIBUTIONS = (
     f"WITH s AS ({_shadow_sql()}), c AS (SELECT view, part, i + 10 * j AS pixel FROM s, range(10) p(i), range(10) q(j) WHERE i BETWEEN min_x AND max_x AND j BETWEEN min_y AND max_y), w AS (SELECT view, pixel, list(part ORDER BY part) AS who FROM c GROUP BY ALL) "
     "SELECT view, pixel, who[(view * 100 + pixel) % len(who) + 1] AS owner, unnest(who) AS target FROM w"
 )
+
+
+@query(CONTRIBUTIONS)
 def contributions(spark, sf_dir):
     return exchange.contributions(_shadows(spark, sf_dir), 10, 10)
 
 
-@query()
+@query(f"SELECT CAST(2 * count(*) AS BIGINT) AS messages FROM (SELECT DISTINCT owner, target FROM ({CONTRIBUTIONS}) WHERE owner <> target)")
 def exchange_messages(spark, sf_dir):
     return exchange.messages(exchange.contributions(_shadows(spark, sf_dir), 10, 10))
 
@@ -744,7 +855,16 @@ def slice_registry(spark, sf_dir):
     return observe.slices(requests)
 
 
-@query()
+def _hilbert_sql(order: int) -> str:
+    out = f"SELECT id, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM range({4**order}) t(id)"
+    for k in range(order):
+        out = f"SELECT *, (id >> {2 * k}) & 3 AS pair FROM ({out})"
+        out = f"SELECT id, pair, CASE WHEN pair = 3 THEN {(1 << k) - 1} - x ELSE x END AS x, CASE WHEN pair = 3 THEN {(1 << k) - 1} - y ELSE y END AS y FROM ({out})"
+        out = f"SELECT id, CASE WHEN pair IN (1, 2) THEN x ELSE y END + CASE WHEN pair >= 2 THEN {1 << k} ELSE 0 END AS x, CASE WHEN pair IN (1, 2) THEN y ELSE x END + CASE WHEN pair IN (1, 2) THEN {1 << k} ELSE 0 END AS y FROM ({out})"
+    return f"SELECT id, x AS h0, y AS h1 FROM ({out})"
+
+
+@query(_hilbert_sql(4))
 def hilbert_curve(spark, sf_dir):
     return spark.range(256).select("id", *V.named(V.hilbert(F.col("id"), 4), "h"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..model import Volume
 from . import geometry as G
 
-#: Fixed value: characters by rising intensity.
-RAMP = " .'`^\",:;Il!i><~+_-?][}{1)(|\\/tfjrxnuvczXYUJCLQ0OZmwqpdbkhao*#MW&8%B@$"
+#: Characters by rising intensity.
+RAMP = " .:-=+*#%@"
 
 
 def read_specification(spark: SparkSession, text: str, resolution: int = -1, dim: int = 3) -> tuple[Volume, DataFrame]:
@@ -61,13 +61,29 @@ def astra_views(spark: SparkSession, kind: str, rows: int, columns: int, vectors
 
 
 def write_matrix_market(matrix: DataFrame, lines: int, cells: int, path: str) -> None:
-    """The header as ``path``/header.txt-like first part and entries in sorted text parts below ``path``."""
+    """One file in coordinate format. Executors write its parts, which are then joined as they are, by their bytes."""
     from ..operators.linop import matrix_market
+    from ..storage import shared_dir
 
-    header, entries = matrix_market(matrix, lines, cells)
     spark = matrix.sparkSession
-    spark.createDataFrame([(x,) for x in header.split("\n")], "value string").coalesce(1).write.text(f"{path}/header")
-    entries.select(F.format_string("%d %d %s", "row", "col", F.col("value").cast("string")).alias("value")).write.text(f"{path}/entries")
+    header, entries = matrix_market(matrix, lines, cells)
+    folder = shared_dir(spark, "matrix-market")
+    entries.select(F.format_string("%d %d %s", "row", "col", F.col("value").cast("string")).alias("value")).write.text(folder)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    to, parts = hadoop.fs.Path(path), hadoop.fs.Path(folder)
+    there = parts.getFileSystem(conf)
+    out = to.getFileSystem(conf).create(to, True)
+    try:
+        out.write(f"{header}\n".encode())
+        for x in sorted(str(f.getPath()) for f in there.listStatus(parts) if f.getPath().getName().startswith("part-")):
+            part = there.open(hadoop.fs.Path(x))
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    there.delete(parts, True)
 
 
 def read_stack(spark: SparkSession, pattern: str) -> DataFrame:

@@ -186,17 +186,31 @@ def rays(views: DataFrame, dim: int, uniform: bool = True) -> DataFrame:
     return V.computed(pixels, ["view"], [(F.col("first") + F.col("q")).alias("line"), i.cast("long").alias("p0"), j.cast("long").alias("p1"), *V.named(source, "s"), *V.named(at, "d")])
 
 
+#: Modulus of the draws, a prime, so that products stay within long.
+PRIME = 2147483647
+
+
+def draw(row: Column, k: int, seed: int) -> Column:
+    """A number between 0 and 1 from a row's number: the same wherever and however often the row is made."""
+    x = F.pmod(row, F.lit(PRIME))
+    for r in range(4):
+        x = (x * x + x * 48271 + (seed * 7919 + k * 104729 + r * 1299709 + 12345) % PRIME) % PRIME
+    return (x + 0.5) / float(PRIME)
+
+
 def random_rays(spark: SparkSession, volume: Volume, n: int, seed: int = 0) -> DataFrame:
     """Rays that start at random places of the boundary and point inwards."""
     dim = volume.dim
-    rows = spark.range(n).withColumnRenamed("id", "line").withColumn("face", F.floor(F.rand(seed) * (2 * dim)).cast("int"))
-    u = [F.rand(seed + 1 + d) for d in range(dim)]
-    g = [F.randn(seed + 10 + d) for d in range(dim)]
+    row = F.col("line")
+    rows = V.computed(spark.range(n).withColumnRenamed("id", "line"), ["line"], [draw(row, k, seed).alias(f"r{k}") for k in range(1 + 3 * dim)])
+    rows = V.computed(rows, ["line", *[f"r{k}" for k in range(1, 1 + 3 * dim)]], [F.floor(F.col("r0") * (2 * dim)).cast("int").alias("face")])
+    # Two uniform numbers make a normal one; its direction does not depend on the axes.
+    g = [F.sqrt(-2 * F.ln(F.col(f"r{1 + dim + d}"))) * F.cos(F.col(f"r{1 + 2 * dim + d}") * (2 * pi)) for d in range(dim)]
     start, way = [], []
     for d, (o, x) in enumerate(zip(volume.origin, volume.lengths, strict=True)):
-        start.append(o + x * F.when(F.col("face") == 2 * d, 0.0).when(F.col("face") == 2 * d + 1, 1.0).otherwise(u[d]))
+        start.append(o + x * F.when(F.col("face") == 2 * d, 0.0).when(F.col("face") == 2 * d + 1, 1.0).otherwise(F.col(f"r{1 + d}")))
         way.append(F.when(F.col("face") == 2 * d, F.abs(g[d])).when(F.col("face") == 2 * d + 1, -F.abs(g[d])).otherwise(g[d]))
-    rows = rows.select("line", *V.named(start, "s"), *V.named(way, "w"))
+    rows = V.computed(rows, ["line"], [*V.named(start, "s"), *V.named(way, "w")])
     return rows.select("line", F.col("line").cast("int").alias("view"), F.lit(0).cast("long").alias("p0"), F.lit(0).cast("long").alias("p1"), *V.cols("s", dim), *[(F.col(f"s{d}") + F.col(f"w{d}")).alias(f"d{d}") for d in range(dim)])
 
 

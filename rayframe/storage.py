@@ -27,11 +27,17 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/rayframe/{what}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
+def keep(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors.
+
+    ``by``: a column with few values, each of which gets a folder, so that a filter on it reads nothing else.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    if by:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept

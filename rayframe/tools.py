@@ -4,6 +4,7 @@
     python -m rayframe.tools stats SPEC.toml TREE.bsp
     python -m rayframe.tools overlap SPEC.toml
     python -m rayframe.tools volumes SPEC.toml -p 4 8
+    python -m rayframe.tools messages SPEC.toml -p 4 8 16
     python -m rayframe.tools reconstruct SPEC.toml --iterations 10
 """
 
@@ -14,6 +15,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import kernels
 from .model import Volume
@@ -32,10 +34,20 @@ def evaluated(rays: DataFrame, volume: Volume, boxes: list[trees.Box]) -> dict[s
         "Vg": statistics.regularizer_volume(volume, boxes),
         "epsilon": statistics.load_imbalance(statistics.voxel_weights(matrix), volume, boxes).first()[0],
         "messages": statistics.message_count(owned, len(boxes)).first()[0],
-        "pairs": sum(r.partners for r in exchange.count_messages(owned).collect()),  # a row a part
     }
 
 
+def counted_messages(views: DataFrame, volume: Volume, boxes: list[trees.Box]) -> dict[str, int]:
+    """Of an iteration: messages between parts, detector pixels they carry, and the most messages of one part."""
+    shadow = exchange.shadows(trees.parts(views.sparkSession, boxes), views, volume)
+    size = views.agg(F.max("n0"), F.max("n1")).first()
+    pairs = keep(exchange.contributions(shadow, size[0], size[1]).filter("owner <> target").groupBy("owner", "target").agg(F.count(F.lit(1)).alias("pixels")), "pairs")
+    total = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("pixels"), F.lit(0))).first()
+    both = pairs.select(F.col("owner").alias("part")).unionByName(pairs.select(F.col("target").alias("part")))
+    most = both.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return {"messages": 2 * total[0], "pixels": 2 * total[1], "most": most}
+
+
 def partition(rays: DataFrame, views: DataFrame, volume: Volume, parts: int, method: str, **options) -> trees.Tree:
     """A neutral tree by ``grcb`` or ``bisection``."""
     if method == "grcb":
@@ -63,7 +75,7 @@ def communication_table(rays: DataFrame, volume: Volume, counts: list[int]) -> s
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="rayframe.tools")
-    parser.add_argument("tool", choices=["partition", "stats", "overlap", "volumes", "reconstruct"])
+    parser.add_argument("tool", choices=["partition", "stats", "overlap", "volumes", "messages", "reconstruct"])
     parser.add_argument("spec")
     parser.add_argument("tree", nargs="?")
     parser.add_argument("-p", type=int, nargs="+", default=[4])
@@ -101,6 +113,13 @@ def main(args: list[str] | None = None) -> None:
             for view in views.limit(8).collect():
                 outlines = [[tuple(map(float, q)) for q in grcb.hull(grcb.projected(view.asDict(), grcb.corners(h)))] for h in halves]
                 Path(a.out, f"overlap_{axis}_{view.view}.svg").write_text(formats.polygon_svg(outlines))
+    elif a.tool == "messages":
+        rows = {}
+        for p in a.p:
+            tree = partition(rays, views, volume, p, a.method)
+            for k, v in counted_messages(views, volume, trees.boxes(trees.to_voxels(tree, volume), volume)).items():
+                rows[str(p), k] = v
+        print(formats.report([str(p) for p in a.p], ["messages", "pixels", "most"], rows))
     elif a.tool == "volumes":
         print(communication_table(rays, volume, a.p))
     else:

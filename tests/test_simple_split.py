@@ -21,4 +21,4 @@ def test_all_events(spark):
     assert len(rows) > 2000
     samples = sorted(((r.event_id * 7919 % 10007) / 10007.0, r.event_id, 1.0 + r.user_id % 5) for r in rows)
     want = grcb.simple_split([(y, f) for y, _, f in samples], 0.0, 1.0)
-    assert math.isclose(Q.simple_split_all(spark, SF).first()["at"], round(want, 6), abs_tol=1e-9)
+    assert math.isclose(Q.simple_split(spark, SF).first()["at"], round(want, 6), abs_tol=1e-9)

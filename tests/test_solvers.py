@@ -165,3 +165,27 @@ def test_phantoms(spark):
     assert np.allclose(whole.reshape(32, 32)[:16, :16], corner)
     with pytest.raises(ValueError):
         image.phantom(spark, Volume.cube(4), "original")
+
+
+def test_callbacks_of_sequential_solvers(spark):
+    a = spark.createDataFrame([(i, j, float(1 + (i * 7 + j * 3) % 5)) for i in range(6) for j in range(4)], "line long, voxel long, value double")
+    p = spark.createDataFrame([(i, float(i + 1)) for i in range(6)], "line long, value double")
+    for solve, rounds in ((solvers.art, "iterations"), (solvers.column_action_cyclic, "sweeps")):
+        seen = []
+        last = {r.voxel: r.value for r in solve(a, p, **{rounds: 3}, callback=lambda x, k: seen.append((k, {r.voxel: r.value for r in x.collect()}))).collect()}  # noqa: B023
+        assert [k for k, _ in seen] == [0, 1, 2] and seen[2][1] == last
+        for k, image in seen:
+            assert image == {r.voxel: r.value for r in solve(a, p, **{rounds: k + 1}).collect()}
+
+
+def test_hilbert_order():
+    at = solvers.hilbert_order(np.arange(64))
+    x, y = at % 8, at // 8
+    assert sorted(at) == list(range(64)) and (np.abs(np.diff(x)) + np.abs(np.diff(y)) == 1).all()
+    assert sorted(solvers.ORDERS["hilbert"](np.array([3, 5, 60]), 0)) == [3, 5, 60]
+
+
+def test_masked_svd(spark):
+    a = spark.createDataFrame([(i, j, float((i * 5 + j * j) % 7)) for i in range(9) for j in range(6)], "line long, voxel long, value double")
+    whole = solvers.truncated_svd(a.filter("voxel < 4"), 2)[0]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(whole, solvers.truncated_svd(a, 2, mask=F.col("voxel") < 4)[0], strict=True))
