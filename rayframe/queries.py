@@ -872,3 +872,6 @@ def hilbert_curve(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: three iterations of SIRT."""
     return sirt(spark, sf_dir)
+
+
+from . import point_queries  # noqa: E402, F401  its queries use the tables and SQL above
