@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import runs, tidy
@@ -249,10 +249,41 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
     """Pieces of all documents with their places in sequences; see the module's text for the method.
 
     ``batch_bytes``: of text whose distinct words are encoded together; fewer take less memory and more time.
-
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss. All tokens of a
     document bear loss. ``sequence_id`` is the partition's number times 2^33 plus the bin's.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tidy(_packer(vocabulary, end_id, limits, batch_bytes)), SCHEMA)
+
+
+def pack_examples(examples: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits = Limits(4096, 32, 2048), batch_bytes: int = BATCH_BYTES, id_col: str = "example_id", prompt_col: str = "prompt", answer_col: str = "answer") -> DataFrame:
+    """The same for instruction data: a prompt's tokens bear no loss, an answer's and the end's do.
+
+    An example is its prompt's tokens, its answer's, and the end; null counts as empty. Columns as those of ``pack_documents``.
+    """
+    rows = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(answer_col).alias("text"), F.col(prompt_col).alias("prompt"))
+    return rows.mapInArrow(tidy(_packer(vocabulary, end_id, limits, batch_bytes)), SCHEMA)
+
+
+def examples(conversations: DataFrame, answers: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """example_id, conv_id, prompt, answer: one for each answer, with the turns since the one before as its prompt.
+
+    Turns after the last answer make an example without an answer. Turns without a number come first; a turn without
+    a conversation is one of its own. One task reads a conversation, whatever the number of conversations.
+    """
+    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
+    turns = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), (role == answers).alias("answers"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    turns = turns.withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "answers", "text")).otherwise(0))
+    in_turn = Window.partitionBy("conv_id", "own").orderBy(F.asc_nulls_first("turn"), "answers", "text").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = turns.withColumn("part", F.coalesce(F.sum(F.col("answers").cast("long")).over(in_turn), F.lit(0)))
+    said = F.array_sort(F.collect_list(F.when(~F.col("answers"), F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "text"))))
+    grouped = numbered.groupBy("conv_id", "own", "part").agg(F.array_join(F.transform(said, lambda t: t["text"]), "\n").alias("prompt"), F.max(F.when(F.col("answers"), F.col("text"))).alias("answer"))
+    number = F.when(F.col("conv_id").isNull(), F.col("own").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("conv_id").cast("long") * F.lit(1 << 20) + F.col("part"))
+    return grouped.select(number.alias("example_id"), "conv_id", "prompt", "answer")
+
+
+def _packer(vocabulary: str, end_id: int, limits: Limits, batch_bytes: int):
+    """For mapInArrow over (doc_id, text), or (doc_id, answer, prompt): rows of SCHEMA."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -280,14 +311,18 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, limits: Li
             ids = batch.column(0).to_pylist()
             for first, texts in runs(batch.column(1), batch_bytes):
                 done = []
+                prompts = words.encode(batch.column(2).slice(first, len(texts))) if batch.num_columns > 2 else None
                 for k, data in enumerate(words.encode(texts)):
                     data += end
+                    loss = len(data) // 4
+                    if prompts:
+                        data = prompts[k] + data
                     held[serial] = (ids[first + k], data, len(data) // 4)
-                    done += packer.add(serial, len(data) // 4, len(data) // 4)
+                    done += packer.add(serial, len(data) // 4, loss)
                     serial += 1
                 if done:
                     yield rows(done)
         if done := packer.close():
             yield rows(done)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(pack), SCHEMA)
+    return pack

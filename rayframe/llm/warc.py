@@ -6,7 +6,10 @@ in the record with the largest id; the others are revisit records that refer to
 
 Reading groups continuation records by origin identifier, orders them by segment number, checks that the numbers
 are gapless and the lengths add up to the total that the last segment states, then takes off the chunked
-framing and compares the payload with its digest. A record that fails says so in ``problem``.
+framing and compares the payload with its digest. A record that fails says so in ``problem``; where a file is broken,
+a row of type ``broken`` says why, and reading goes on at the next place that looks like a record. Archives may be
+compressed with gzip, whole or record by record. Files are read once for whole records, whose payloads are never
+shuffled, and once for segments.
 
 Archives are written by Spark's text writer: a record's closing blank lines are its line separator, and binary
 content passes through it unchanged. So any file system that Spark writes to will do, and a lost task's files are
@@ -19,14 +22,16 @@ any other; an empty table gives an archive without records; segments may lie in
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, tidy
+from .common import located, shared_dir, tidy
 
 #: Most bytes of one archive file, if no record is larger.
 FILE_BYTES = 64 << 20
@@ -36,7 +41,7 @@ BROADCAST_KEYS = 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Fixed value of the WARC 1.1 standard.
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, page_id long, url string, refers_to string, payload_digest string, segment long, origin_id string, total_length long, block binary"
+RECORD = "record_id string, record_type string, page_id long, url string, refers_to string, payload_digest string, segment long, origin_id string, total_length long, block binary, problem string"
 PAYLOAD = "record_id string, record_type string, page_id long, url string, refers_to string, payload_digest string, payload binary, problem string"
 
 
@@ -91,7 +96,10 @@ def records(page_id, record_id: str, url: str | None, payload: bytes, refers_to:
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 20, min_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """Writes ``pages`` as WARC files below ``path``."""
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
+    # A row is named by its place in the input's files, which stays the same whenever it is read again.
+    pages, place = located(pages, "warc-input")
+    row = F.concat(F.lower(F.hex(F.xxhash64(place[0]))), F.lit("-"), F.col(place[1]).cast("string"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"), row.alias("row"))
     rows = rows.withColumn("equal", F.unhex(F.sha2("body", 256)))
     counted = rows.filter(F.octet_length("body") >= min_revisit).groupBy("equal")
     top = counted.agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "page_id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
@@ -127,26 +135,51 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 20, mi
 
 def parse(data: bytes) -> Iterator[tuple]:
     """Rows of RECORD of one archive file."""
+    if data[:2] == b"\x1f\x8b":
+        try:
+            data = gzip.decompress(data)
+        except (OSError, EOFError, zlib.error) as e:
+            yield (*_broken(f"the file cannot be decompressed: {e}"),)
+            return
     at = 0
     while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head_end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = head_end + 4
-        end = start + int(head["content-length"])
-        if end > len(data):
-            raise ValueError(f"the record at byte {at} is longer than the file")
-
-        def bare(k, head=head):
-            return head[k].strip("<>") if k in head else None
-
-        number = lambda k, head=head: int(head[k]) if head.get(k) else None
-        yield (bare("warc-record-id"), head["warc-type"], number("page-id"), head.get("warc-target-uri"), bare("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("warc-segment-number"), bare("warc-segment-origin-id"), number("warc-segment-total-length"), data[start:end])
+        try:
+            row, end = _record_at(data, at)
+        except (ValueError, KeyError) as e:
+            yield _broken(f"the record at byte {at} is broken: {e}")
+            again = data.find(b"\r\n\r\nWARC/", at)
+            if again < 0:
+                return
+            at = again + 4
+            continue
+        yield row
         at = end + 4
 
 
+def _broken(problem: str) -> tuple:
+    return (None, "broken", *[None] * 8, problem)
+
+
+def _record_at(data: bytes, at: int) -> tuple[tuple, int]:
+    """(row of RECORD, where its block ends)."""
+    if data[at : at + 5] != b"WARC/":
+        raise ValueError("no record starts here")
+    head_end = data.index(b"\r\n\r\n", at)
+    head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:head_end].decode().split("\r\n")[1:])}
+    start = head_end + 4
+    end = start + int(head["content-length"])
+    if end > len(data):
+        raise ValueError("it is longer than the file")
+
+    def bare(k):
+        return head[k].strip("<>") if k in head else None
+
+    def number(k):
+        return int(head[k]) if head.get(k) else None
+
+    return (bare("warc-record-id"), head["warc-type"], number("page-id"), head.get("warc-target-uri"), bare("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("warc-segment-number"), bare("warc-segment-origin-id"), number("warc-segment-total-length"), data[start:end], None), end
+
+
 def payload_of(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
@@ -154,15 +187,15 @@ def payload_of(block: bytes) -> bytes:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of PAYLOAD from (record_id, record_type, page_id, url, refers_to, payload_digest, block, problem)."""
+    """Rows of PAYLOAD from (record_id, record_type, page_id, url, refers_to, payload_digest, blocks, problem)."""
     names = [x.split()[0] for x in PAYLOAD.split(", ")]
     for batch in batches:
         payloads, problems = [], []
-        for kind, want, block, problem in zip(*(batch.column(i).to_pylist() for i in (1, 5, 6, 7)), strict=True):
+        for kind, want, parts, problem in zip(*(batch.column(i).to_pylist() for i in (1, 5, 6, 7)), strict=True):
             payload = None
             if kind == "response" and problem is None:
                 try:
-                    payload = payload_of(block)
+                    payload = payload_of(b"".join(parts))
                     if want is not None and base32_sha1(payload) != want:
                         problem = "the payload does not match its digest"
                 except ValueError as e:
@@ -175,7 +208,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row of PAYLOAD per response or revisit; a revisit has no payload of its own."""
     names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def parsed(segmented: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +216,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for content in batch.column(0):
                     out, held = [], 0
                     for r in parse(content.as_buffer().to_pybytes()):
-                        if (r[6] is not None) != segmented or r[1] not in ("response", "revisit", "continuation"):
+                        if (r[6] is not None) != segmented or r[1] not in ("response", "revisit", "continuation", "broken"):
                             continue
                         out.append(r)
-                        held += len(r[-1])
+                        held += len(r[9] or b"")
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                             out, held = [], 0
@@ -195,20 +228,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 
-    fields = ["record_id", "record_type", "page_id", "url", "refers_to", "payload_digest", "block"]
-    whole = parsed(False).select(*fields, F.lit(None).cast("string").alias("problem"))
+    fields = ["record_id", "record_type", "page_id", "url", "refers_to", "payload_digest"]
+    whole = parsed(False).select(*fields, F.array("block").alias("blocks"), "problem")
     segments = parsed(True).withColumn("origin", F.coalesce("origin_id", "record_id"))
     first = F.col("segment") == 1
     grouped = segments.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment", "total_length", "block"))).alias("parts"),
-        *[F.max(F.when(first, F.col(c))).alias(c) for c in fields[1:-1]],
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in fields[1:]],
     )
     lengths = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
     gapless = F.transform(F.col("parts"), lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
     stated = F.element_at("parts", -1)["total_length"]
     problem = F.when(F.col("record_type").isNull() | ~gapless, "segments are missing or repeated").when(stated.isNull() | (stated != lengths), "the segments' lengths do not add up to the total")
-    block = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))")
-    whole = whole.unionByName(grouped.select(F.col("origin").alias("record_id"), *fields[1:-1], block.alias("block"), problem.alias("problem")))
+    blocks = F.transform("parts", lambda p: p["block"])  # joined by the task that opens them
+    whole = whole.unionByName(grouped.select(F.col("origin").alias("record_id"), *fields[1:], blocks.alias("blocks"), problem.alias("problem")))
     return whole.mapInArrow(tidy(_opened), PAYLOAD)
 
 
@@ -225,5 +258,7 @@ def round_trip(pages: DataFrame, segment_bytes: int = 1 << 14) -> DataFrame:
     if bad := rows.filter("problem IS NOT NULL").first():
         raise ValueError(f"record {bad.record_id}: {bad.problem}")
     there = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("there_id"), F.col("payload_bytes").alias("there_bytes"))
-    joined = rows.join(there, "refers_to", "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "there_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("there_id").alias("refers_to"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = rows.filter("record_type = 'response'").select(*out, F.lit(None).cast("long").alias("refers_to"))
+    revisits = rows.filter("record_type = 'revisit'").drop("payload_bytes").join(there.withColumnRenamed("there_bytes", "payload_bytes"), "refers_to")
+    return responses.unionByName(revisits.select(*out, F.col("there_id").alias("refers_to")))

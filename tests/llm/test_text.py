@@ -246,3 +246,18 @@ def test_memberships():
     share = bits.mean(0).reshape(8, 16).mean(1)
     assert bits.shape == (4000, 128) and bits[:, 0].all()
     assert all(abs(s - 2.0 ** -(g + 2)) < 0.3 * 2.0 ** -(g + 2) for g, s in enumerate(share) if g)
+
+
+def test_broken_archives(spark, tmp_path):
+    """What is broken is reported, and what is whole is read."""
+    import gzip
+
+    good = [b"".join(x + b"\r\n\r\n" for x in warc.records(i, f"urn:{i}", "u", b"payload %d" % i, None, 1 << 20)) for i in range(4)]
+    wrong = good[1].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    (tmp_path / "a.warc").write_bytes(good[0] + wrong + good[2])
+    (tmp_path / "b.warc").write_bytes(b"nonsense" + good[3][:-30])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(good[1]) + gzip.compress(good[3]))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(good[1])[:-10])
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got if r.problem is None) == [(0, b"payload 0"), (1, b"payload 1"), (2, b"payload 2"), (3, b"payload 3")]
+    assert [r.record_type for r in got if r.problem] == ["broken"] * sum(bool(r.problem) for r in got) and sum(bool(r.problem) for r in got) == 3
