@@ -152,9 +152,12 @@ def sample(docs: DataFrame, learn: Column, sample_texts: int, sample_chars: int,
     """The bounded sample, collected: texts by language."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), learn.alias("learn")).filter("learn AND lang IS NOT NULL AND lang <> 'und'")
     named = rows.filter("text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
-    # Hashes alone are ranked, each distinct one once, so that copies and long texts cost a language nothing.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    least = named.select("lang", "hash").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("lang", "hash")
+    # Hashes alone are ranked, each distinct one once, so that copies and long texts cost a language nothing; first
+    # within 32 shares of a language, as one language may have most rows.
+    least = named.select("lang", "hash").distinct()
+    for by in (["lang", F.pmod("hash", F.lit(32))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+        least = least.withColumn("rank", rank).filter(F.col("rank") <= sample_texts).select("lang", "hash")
     least = docs.sparkSession.createDataFrame([tuple(r) for r in least.collect()], "lang string, hash long")  # sample_texts rows a language
     some = named.join(F.broadcast(least), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, sample_chars // 4).alias("text"))
     once = some.groupBy("lang", "hash").agg(F.min("text").alias("text"))

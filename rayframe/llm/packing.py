@@ -15,7 +15,6 @@ table yields no piece; long documents are cut; equal scores go to the item in th
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -163,9 +162,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        #: For words that the normaliser would leave as they are.
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        self.normalizer = self.tokenizer.normalizer
         self.whole = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         # White space to the splitter but not to the tokeniser's pattern.
         self.whole += ["\x1c", "\x1d", "\x1e", "\x1f", "\u180e"]
@@ -189,7 +186,11 @@ class WordIds:
         flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            self.tokenizer.normalizer = None  # it would leave these words as they are
+            try:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            finally:
+                self.tokenizer.normalizer = self.normalizer
             size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(size) != len(part):
                 ids, size = self._lists(part)
