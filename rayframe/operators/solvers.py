@@ -207,7 +207,8 @@ def _one_task(matrix: DataFrame, projections: DataFrame, run, rounds: int, callb
             if callback or k == rounds - 1:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(seen), pa.array(image[seen])], ["k", "voxel", "value"])
 
-    out = rows.repartition(1).mapInArrow(kernel, "k int, voxel long, value double")
+    # By a constant: dealt out in turn, rows would be sorted first.
+    out = rows.repartition(1, F.lit(0)).mapInArrow(kernel, "k int, voxel long, value double")
     if not callback:
         return out.select("voxel", "value")
     out = keep(out, f"{name}-images")
@@ -224,6 +225,13 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, dict]:
     return order, {int(sorted_key[s]): (s, e) for s, e in zip(start, end, strict=True)}
 
 
+def _repeated(line: np.ndarray, voxel: np.ndarray) -> set[int]:
+    """Lines that have a voxel more than once."""
+    order = np.lexsort((voxel, line))
+    a, b = line[order], voxel[order]
+    return set(a[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])].tolist())
+
+
 def _adder(index: np.ndarray):
     """How to add at places: numpy's plain way where none comes twice."""
     if len(np.unique(index)) == len(index):
@@ -241,14 +249,20 @@ def art(matrix: DataFrame, projections: DataFrame, beta: float = 0.5, iterations
     def run(line, voxel, value, p, n):
         order, runs = _runs(line)
         voxel, value, x = voxel[order], value[order], np.zeros(n)
+        twice = _repeated(line[order], voxel)
         rows = []
         for row, (s, e) in runs.items():
             v, a = voxel[s:e], value[s:e]
             if (size := a @ a) > 0:
-                rows.append((v, a, a * (beta / size), p.get(row, 0.0), _adder(v)))
+                rows.append((v, a, a * (beta / size), p.get(row, 0.0), row not in twice))
         for _ in range(iterations):
-            for v, a, step, measured, add in rows:
-                add(x, v, (measured - a @ x[v]) * step)
+            for v, a, step, measured, once in rows:
+                own = x[v]
+                step = (measured - a @ own) * step
+                if once:
+                    x[v] = own + step
+                else:
+                    np.add.at(x, v, step)
             yield x
 
     return _one_task(matrix, projections, run, iterations, callback, "art", "sart or sirt")
