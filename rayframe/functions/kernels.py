@@ -32,13 +32,18 @@ def truncated(rays: DataFrame, volume: Volume) -> DataFrame:
 
 
 def _interval(o: V.Vec, u: V.Vec, volume: Volume, margin: float) -> tuple[Column, Column]:
-    """Bounds of the steps k for which o + k u may lie within a margin of the volume."""
-    low, high = F.lit(-1e6), F.lit(1e6)
+    """Bounds of the steps k for which o + k u may lie within a margin of the volume.
+
+    ``o`` is within a step of the volume's border or margin, and u a step of one voxel or more along the ray, so the
+    sum of all sides, and as much to spare, is beyond any step that counts.
+    """
+    far = 4.0 * sum(volume.voxels) + 16
+    low, high = F.lit(-far), F.lit(far)
     for x, d, n in zip(o, u, volume.voxels, strict=True):
         safe = F.when(F.abs(d) > 1e-12, d)
         t1, t2 = (-margin - x) / safe, (n + margin - x) / safe
-        low = F.greatest(low, F.coalesce(F.least(t1, t2), F.lit(-1e6)))
-        high = F.least(high, F.coalesce(F.greatest(t1, t2), F.lit(1e6)))
+        low = F.greatest(low, F.coalesce(F.least(t1, t2), F.lit(-far)))
+        high = F.least(high, F.coalesce(F.greatest(t1, t2), F.lit(far)))
     return (F.floor(low) - 1).cast("long"), (F.ceil(high) + 1).cast("long")
 
 
