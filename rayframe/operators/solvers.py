@@ -1,8 +1,10 @@
 """Iterative reconstruction.
 
 Every solver takes a matrix (line, voxel, value) and projections (line, value) and returns an image (voxel, value).
-The matrix is written once; each iteration reads it, joins and aggregates twice, and writes its vectors, so that
-plans don't grow. ``callback(image, k)`` sees the image after iteration k.
+The matrix is written first; each iteration reads it, joins and aggregates twice, and writes its vectors, so that
+plans don't grow. While vectors are below Spark's limit for broadcasts, one copy of the matrix is enough; beyond it
+there are two, in buckets by voxel and by line, so that products shuffle vectors and partial sums, never the matrix.
+``callback(image, k)`` sees the image after iteration k.
 
 Simultaneous methods run over any number of executors. Row- and column-action methods (art, column_action_cyclic)
 are sequential by definition: each step reads what the last one wrote. They run in one task, refuse matrices above
@@ -12,13 +14,14 @@ are sequential by definition: each step reads what the last one wrote. They run
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, keep
+from ..storage import bucketed, discard, keep, size_of
 from . import linop as L
 
 SEQUENTIAL = 20_000_000
@@ -29,17 +32,47 @@ def _vector(spark, key: str) -> DataFrame:
     return spark.createDataFrame([], f"{key} long, value double")
 
 
+class Copies(NamedTuple):
+    """A matrix for products with images (joined by voxel) and with projections (joined by line)."""
+
+    voxel: DataFrame
+    line: DataFrame
+
+    def forward(self, image: DataFrame) -> DataFrame:
+        return L.forward(self.voxel, image)
+
+    def back(self, projections: DataFrame) -> DataFrame:
+        return L.back(self.line, projections)
+
+
+#: Bytes of a matrix, as it is stored, in a bucket.
+BUCKET = 64 << 20
+
+
+def copies(matrix: DataFrame, name: str) -> Copies:
+    """One copy if its longest vector can be broadcast, by the largest numbers in it, else two in buckets."""
+    spark = matrix.sparkSession
+    a = keep(matrix.select("line", "voxel", "value"), f"{name}-matrix")
+    longest = max((x or 0) for x in a.agg(F.max("line"), F.max("voxel")).first()) + 1
+    if 16 * longest <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return Copies(a, a)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of(a) // BUCKET))
+    both = Copies(*(bucketed(a, f"{name}-by-{by}", by, n) for by in ("voxel", "line")))
+    discard(a)
+    return both
+
+
 def _simultaneous(matrix, projections, beta, iterations, box, callback, weighted: bool, name: str) -> DataFrame:
-    a, p = keep(matrix.select("line", "voxel", "value"), f"{name}-matrix"), projections.select("line", F.col("value").cast("double").alias("value"))
+    a, p = copies(matrix, name), projections.select("line", F.col("value").cast("double").alias("value"))
     if weighted:
-        r = keep(L.row_sums(a).select("line", L.inverse(F.col("value")).alias("w")), f"{name}-rows")
-        c = keep(L.column_sums(a).select("voxel", L.inverse(F.col("value"), beta).alias("w")), f"{name}-columns")
+        r = keep(L.row_sums(a.line).select("line", L.inverse(F.col("value")).alias("w")), f"{name}-rows")
+        c = keep(L.column_sums(a.voxel).select("voxel", L.inverse(F.col("value"), beta).alias("w")), f"{name}-columns")
     x = last = None
     for k in range(iterations):
-        residual = p if x is None else L.combine(p, L.forward(a, x), "line", lambda u, v: u - v)
+        residual = p if x is None else L.combine(p, a.forward(x), "line", lambda u, v: u - v)
         if weighted:
             residual = residual.join(r, "line").select("line", (F.col("value") * F.col("w")).alias("value"))
-        step = L.back(a, residual)
+        step = a.back(residual)
         step = step.join(c, "voxel").select("voxel", (F.col("value") * F.col("w")).alias("value")) if weighted else step.select("voxel", (F.col("value") * beta).alias("value"))
         x = step if x is None else L.combine(x, step, "voxel", lambda u, v: u + v)
         if box:
@@ -50,6 +83,7 @@ def _simultaneous(matrix, projections, beta, iterations, box, callback, weighted
             callback(x, k)
         elif before is not None:
             discard(before)
+    discard(*a, *([r, c] if weighted else []))
     return _vector(matrix.sparkSession, "voxel") if x is None else x
 
 
@@ -65,30 +99,31 @@ def landweber(matrix: DataFrame, projections: DataFrame, beta: float = 1.0, iter
 
 def cgls(matrix: DataFrame, projections: DataFrame, iterations: int = 10, callback: Callback | None = None, preconditioned: bool = False) -> DataFrame:
     """Conjugate gradients on A^T A f = A^T p; preconditioned by the inverse column sums (cgls2) if asked."""
-    a = keep(matrix.select("line", "voxel", "value"), "cgls-matrix")
+    a = copies(matrix, "cgls")
     d = projections.select("line", F.col("value").cast("double").alias("value"))
     if preconditioned:
-        c = keep(L.column_sums(a).select("voxel", L.inverse(F.col("value")).alias("w")), "cgls-columns")
+        c = keep(L.column_sums(a.voxel).select("voxel", L.inverse(F.col("value")).alias("w")), "cgls-columns")
     weigh = (lambda r: r.join(c, "voxel").select("voxel", (F.col("value") * F.col("w")).alias("value"))) if preconditioned else (lambda r: r)
-    r = keep(L.back(a, d), "cgls-r")
+    r = keep(a.back(d), "cgls-r")
     z = keep(weigh(r), "cgls-z") if preconditioned else r
     p, gamma = z, L.inner(z, r, "voxel")
     x = _vector(matrix.sparkSession, "voxel")
     for k in range(iterations):
-        t = keep(L.forward(a, p), "cgls-t")
+        t = keep(a.forward(p), "cgls-t")
         size = L.square(t)
         if gamma == 0.0 or size == 0.0:
             break
         alpha = gamma / size
         x = keep(L.combine(x, p, "voxel", lambda u, v: u + v * F.lit(alpha)), "cgls-image")  # noqa: B023
         d = keep(L.combine(d, t, "line", lambda u, v: u - v * F.lit(alpha)), "cgls-d")  # noqa: B023
-        r = keep(L.back(a, d), "cgls-r")
+        r = keep(a.back(d), "cgls-r")
         z = keep(weigh(r), "cgls-z") if preconditioned else r
         after = L.inner(z, r, "voxel")
         beta, gamma = after / gamma, after
         p = keep(L.combine(z, p, "voxel", lambda u, v: u + v * F.lit(beta)), "cgls-p")  # noqa: B023
         if callback:
             callback(x, k)
+    discard(*a)
     return x
 
 
@@ -98,24 +133,26 @@ def cgls2(matrix: DataFrame, projections: DataFrame, iterations: int = 10, callb
 
 def cg(matrix: DataFrame, projections: DataFrame, iterations: int = 10, callback: Callback | None = None) -> DataFrame:
     """Conjugate gradients on A A^T y = p; the image is A^T y."""
-    a = keep(matrix.select("line", "voxel", "value"), "cg-matrix")
+    a = copies(matrix, "cg")
     r = projections.select("line", F.col("value").cast("double").alias("value"))
     y = _vector(matrix.sparkSession, "line")
     p, gamma = r, L.square(r)
     for k in range(iterations):
-        q = keep(L.back(a, p), "cg-q")
+        q = keep(a.back(p), "cg-q")
         size = L.square(q)
         if gamma == 0.0 or size == 0.0:
             break
         alpha = gamma / size
         y = keep(L.combine(y, p, "line", lambda u, v: u + v * F.lit(alpha)), "cg-y")  # noqa: B023
-        r = keep(L.combine(r, L.forward(a, q), "line", lambda u, v: u - v * F.lit(alpha)), "cg-r")  # noqa: B023
+        r = keep(L.combine(r, a.forward(q), "line", lambda u, v: u - v * F.lit(alpha)), "cg-r")  # noqa: B023
         after = L.square(r)
         beta, gamma = after / gamma, after
         p = keep(L.combine(r, p, "line", lambda u, v: u + v * F.lit(beta)), "cg-p")  # noqa: B023
         if callback:
-            callback(L.back(a, y), k)
-    return L.back(a, y)
+            callback(keep(a.back(y), "cg-image"), k)
+    x = keep(a.back(y), "cg-image")
+    discard(*a)
+    return x
 
 
 def sart(matrix: DataFrame, projections: DataFrame, block, beta: float = 0.5, iterations: int = 10, commit_last: bool = False, callback: Callback | None = None) -> DataFrame:

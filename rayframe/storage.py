@@ -43,6 +43,24 @@ def keep(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     return kept
 
 
+def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
+    """``df`` in the shared folder as a table with a file for each bucket of ``by``: joins on ``by`` don't shuffle it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, what)
+    name = f"rayframe_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(name)
+    kept = spark.table(name)
+    kept._kept_at, kept._kept_as = path, name
+    return kept
+
+
+def size_of(kept: DataFrame) -> int:
+    """Bytes of a table from ``keep``."""
+    spark = kept.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at ``path``, on whatever file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,8 +68,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def discard(*kept: DataFrame) -> None:
-    """Deletes the folders of tables from ``keep`` that nothing will read any more."""
+    """Deletes the folders of tables from ``keep`` and ``bucketed`` that nothing will read any more."""
     for df in kept:
+        if name := getattr(df, "_kept_as", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := getattr(df, "_kept_at", None):
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

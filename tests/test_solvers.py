@@ -189,3 +189,24 @@ def test_masked_svd(spark):
     a = spark.createDataFrame([(i, j, float((i * 5 + j * j) % 7)) for i in range(9) for j in range(6)], "line long, voxel long, value double")
     whole = solvers.truncated_svd(a.filter("voxel < 4"), 2)[0]
     assert all(abs(x - y) < 1e-9 for x, y in zip(whole, solvers.truncated_svd(a, 2, mask=F.col("voxel") < 4)[0], strict=True))
+
+
+@pytest.mark.parametrize("solver", [solvers.sirt, solvers.cgls, solvers.cgls2, solvers.cg])
+def test_vectors_beyond_broadcasts(spark, system, solver):
+    """Two copies in buckets give the same image, and products shuffle no matrix."""
+    _, _, _, matrix, proj = system
+    few = dense(solver(matrix, proj, iterations=2), M)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = {t.name for t in spark.catalog.listTables()}
+        assert np.allclose(dense(solver(matrix, proj, iterations=2), M), few)
+        assert {t.name for t in spark.catalog.listTables()} == before
+        a = solvers.copies(matrix, "test")
+        for product, key in ((a.forward(proj.withColumnRenamed("line", "voxel")), "voxel"), (a.back(proj), "line")):
+            plan = product._jdf.queryExecution().executedPlan().toString()
+            scan = plan[: plan.index("Bucketed: true")].rsplit("Join", 1)[1]
+            assert "Exchange" not in scan and f"hashpartitioning({key}" in plan
+        solvers.discard(*a)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
