@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tomllib
-from math import pi
+from math import cos, pi, sin
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,17 @@ def astra_views(spark: SparkSession, kind: str, rows: int, columns: int, vectors
     return G.custom(views)
 
 
+def astra_angles(kind: str, spacing: tuple[float, float], angles: list[float], source: float = 0.0, detector: float = 0.0) -> list[list[float]]:
+    """The 12-number vectors of ``cone`` and ``parallel3d`` geometries given by angles about the third axis.
+
+    ``spacing``: of columns and of rows; ``source``, ``detector``: distances from the origin, for ``cone`` alone.
+    """
+    if kind not in ("cone", "parallel3d"):
+        raise ValueError(f"geometries of type {kind!r} are not given by angles")
+    near, far = (source, detector) if kind == "cone" else (1.0, 0.0)
+    return [[near * sin(a), -near * cos(a), 0.0, -far * sin(a), far * cos(a), 0.0, spacing[0] * cos(a), spacing[0] * sin(a), 0.0, 0.0, 0.0, spacing[1]] for a in angles]
+
+
 def write_matrix_market(matrix: DataFrame, lines: int, cells: int, path: str) -> None:
     """One file in coordinate format. Executors write its parts, which are then joined as they are, by their bytes."""
     from ..operators.linop import matrix_market
