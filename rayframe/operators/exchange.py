@@ -52,10 +52,15 @@ def shadows(parts: DataFrame, views: DataFrame, volume: Volume, few_parts: bool
     return V.computed(rows, ["part", "view"], [*[F.greatest(x - 1, F.lit(0)).alias(n) for x, n in zip(low, ("min_x", "min_y"), strict=True)], *[F.least(x + 1, e).alias(n) for x, e, n in zip(high, edge, ("max_x", "max_y"), strict=True)]])
 
 
-def overlaps(shadow: DataFrame) -> DataFrame:
-    """a, b, view, min_x, .. of the non-empty intersections of two parts' shadows (a <> b)."""
-    a, b = (shadow.select("view", *[F.col(c).alias(f"{x}_{c}") for c in ("part", "min_x", "min_y", "max_x", "max_y")]) for x in "ab")
-    both = a.join(b, "view").filter("a_part <> b_part")
+def overlaps(shadow: DataFrame, band: int = 256) -> DataFrame:
+    """a, b, view, min_x, .. of the non-empty intersections of two parts' shadows (a <> b).
+
+    Shadows meet in bands of ``band`` rows of a view; a pair counts in the band where its intersection begins.
+    """
+    rows = shadow.filter("max_x >= min_x AND max_y >= min_y")
+    rows = rows.withColumn("band", F.explode(F.sequence(F.floor(F.col("min_y") / band), F.floor(F.col("max_y") / band))))
+    a, b = (rows.select("view", "band", *[F.col(c).alias(f"{x}_{c}") for c in ("part", "min_x", "min_y", "max_x", "max_y")]) for x in "ab")
+    both = a.join(b, ["view", "band"]).filter("a_part <> b_part").filter(F.floor(F.greatest("a_min_y", "b_min_y") / band) == F.col("band"))
     ends = [f("a_" + c, "b_" + c).alias(c) for c, f in (("min_x", F.greatest), ("min_y", F.greatest), ("max_x", F.least), ("max_y", F.least))]
     return both.select(F.col("a_part").alias("a"), F.col("b_part").alias("b"), "view", *ends).filter("max_x >= min_x AND max_y >= min_y")
 
