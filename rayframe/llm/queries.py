@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, imatch, langid, lattice, packing, pieces, simhash, token_counts, warc
+from . import chat, exact_dedup, html_text, imatch, infill, kmeans, langid, lattice, packing, pieces, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,21 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_table(table(spark, sf_dir, "conversations"))
+
+
+def op12_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_language, op5_main_text, op6_packing, op7_lattice, op8_pieces, op9_token_counts, op10_imatch)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_language, op5_main_text, op6_packing, op7_lattice, op8_pieces, op9_token_counts, op10_imatch, op11_reply_trees, op12_kd_clusters, op13_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op11_reply_trees": chat.SQL, "op12_kd_clusters": kmeans.SQL, "op13_infill": infill.SQL}
