@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..functions.kernels import joseph_value
 from ..model import Volume
+from ..sources.geometry import pixel_ray
 
 
 def local_volumes(parts: DataFrame, volume: Volume) -> DataFrame:
@@ -33,19 +35,28 @@ def shadows(parts: DataFrame, views: DataFrame, volume: Volume, few_parts: bool
     s, c, a, b = (V.cols(x, 3) for x in "scab")
     names = [x for x in rows.columns if x not in ("view", "part")]
     rows = V.computed(rows, ["part", "view", *names], V.named(V.normalize(V.cross(a, b)), "w"))
-    normal, way, start = V.cols("w", 3), [], []
-    for k in range(8):
-        x = [F.col(f"origin_{d}") + (F.col(f"length_{d}") if k >> d & 1 else 0.0) for d in range(3)]
-        # For parallel views rays run along the line from the source to the detector's corner.
-        way.append([F.when(F.col("parallel"), m - q).otherwise(p - q) for p, q, m in zip(x, s, c, strict=True)])
-        start.append([F.when(F.col("parallel"), p).otherwise(q) for p, q in zip(x, s, strict=True)])
-    rows = V.computed(rows, ["part", "view", *names], [x.alias(f"{n}{k}") for k in range(8) for n, x in (("k", V.dot(normal, way[k])), ("g", V.dot(V.sub(c, start[k]), normal)))])
+    # Corners differ by sides of the box, so products with them are sums of a few numbers; eight corners stay short code.
+    parts_of = []
+    for f, e in (("w", V.cols("w", 3)), ("a", a), ("b", b)):
+        parts_of += [V.dot(V.cols("origin_", 3), e).alias(f"{f}_o"), V.dot(s, e).alias(f"{f}_s"), V.dot(c, e).alias(f"{f}_c"), V.dot(e, e).alias(f"{f}_n")]
+        parts_of += [(e[d] * F.col(f"length_{d}")).alias(f"{f}_{d}") for d in range(3)]
+    rows = V.computed(rows, ["part", "view", "n0", "n1", "parallel"], parts_of)
+
+    def corner(f: str, k: int) -> Column:
+        return reduce(lambda x, d: x + F.col(f"{f}_{d}") if k >> d & 1 else x, range(3), F.col(f"{f}_o"))
+
+    # For parallel views rays run along the line from the source to the detector's corner.
+    held = rows.columns
+    way = [F.when(F.col("parallel"), F.col("w_c") - F.col("w_s")).otherwise(corner("w", k) - F.col("w_s")) for k in range(8)]
+    left = [F.when(F.col("parallel"), F.col("w_c") - corner("w", k)).otherwise(F.col("w_c") - F.col("w_s")) for k in range(8)]
+    rows = V.computed(rows, held, [(g / F.when(F.abs(x) >= 1e-3, x)).alias(f"t{k}") for k, (x, g) in enumerate(zip(way, left, strict=True))])
     pixels = []
     for k in range(8):
-        t = F.col(f"g{k}") / F.when(F.abs(f"k{k}") >= 1e-3, F.col(f"k{k}"))
-        at = [p + t * q - m for p, q, m in zip(start[k], way[k], c, strict=True)]
-        pixels.append([V.truncated(V.dot(at, e) / V.dot(e, e) + 0.5) for e in (a, b)])
-    rows = V.computed(rows, ["part", "view", "n0", "n1"], [p[i].alias(f"q{k}_{i}") for k, p in enumerate(pixels) for i in range(2)])
+        for i, e in enumerate("ab"):
+            at, t = corner(e, k), F.col(f"t{k}")
+            place = F.when(F.col("parallel"), at + t * (F.col(f"{e}_c") - F.col(f"{e}_s"))).otherwise(F.col(f"{e}_s") + t * (at - F.col(f"{e}_s")))
+            pixels.append(V.truncated((place - F.col(f"{e}_c")) / F.col(f"{e}_n") + 0.5).alias(f"q{k}_{i}"))
+    rows = V.computed(rows, ["part", "view", "n0", "n1"], pixels)
     low = [F.least(*[F.col(f"q{k}_{i}") for k in range(8)]) for i in range(2)]
     high = [F.greatest(*[F.col(f"q{k}_{i}") for k in range(8)]) for i in range(2)]
     edge = [F.col(n).cast("long") - 1 for n in ("n0", "n1")]
@@ -123,3 +134,19 @@ def column_shadow(voxels: DataFrame, volume: Volume, views: DataFrame) -> DataFr
     i = volume.unroll(F.col("voxel"))
     boxes = voxels.select(F.col("voxel").alias("part"), *reduce(lambda out, d: [*out, i[d].alias(f"lo_{d}"), i[d].alias(f"hi_{d}")], range(3), []))
     return shadows(boxes, views, volume, few_parts=False).withColumnRenamed("part", "voxel")
+
+
+def columns(voxels: DataFrame, volume: Volume, views: DataFrame, value=joseph_value) -> DataFrame:
+    """The matrix by its columns: line, voxel, value of every pixel in the shadow of each of ``voxels``, zeros included.
+
+    A voxel's shadow names its pixels, from which their rays follow, so no table of rays is made or joined; ``value``
+    is a kernel of one voxel and one line (origin, direction in voxel coordinates). Views have equal shapes.
+    """
+    shade = column_shadow(voxels, volume, views).filter("max_x >= min_x AND max_y >= min_y")
+    rows = shade.join(views, "view").withColumn("p1", F.explode(F.sequence("min_y", "max_y"))).withColumn("p0", F.explode(F.sequence("min_x", "max_x")))
+    line = F.col("view").cast("long") * F.col("n0") * F.col("n1") + F.col("p0") + F.col("p1") * F.col("n0")
+    source, at = pixel_ray(F.col("p0"), F.col("p1"), 3)
+    o, d = V.to_voxel(source, volume), V.to_voxel(at, volume)
+    rows = V.computed(rows, ["voxel"], [line.alias("line"), *V.named(o, "o"), *V.named(d, "d")])
+    rows = V.computed(rows, ["line", "voxel", *V.cols("o", 3)], [*V.named(V.normalize(V.sub(V.cols("d", 3), V.cols("o", 3))), "u"), *V.named(volume.unroll(F.col("voxel")), "i")])
+    return V.computed(rows, ["line", "voxel"], [value(V.cols("o", 3), V.cols("u", 3), V.cols("i", 3)).alias("value")])

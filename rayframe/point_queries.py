@@ -10,7 +10,7 @@ from .functions import vec as V
 from .model import Volume
 from .operators import exchange, image
 from .plans import statistics, trees
-from .queries import FIG, FOUR, FULL, GOODS_SQL, PART, PLANE, RAY_16, SECOND, SPACE, TREE, TURN, _shadow_sql, _shadows, cone_rays, cone_views, goods, goods_weights, picture, plane_rays, query, rounded, table
+from .queries import CONE_VIEWS, FIG, FOUR, FULL, GOODS_SQL, PART, PLANE, RAY_16, SECOND, SPACE, TREE, TURN, _shadow_sql, _shadows, cone_rays, cone_views, goods, goods_weights, picture, plane_rays, query, rounded, table
 from .sources import geometry as G
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -292,3 +292,26 @@ def column_shadows(spark, sf_dir):
     voxels = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 67).cast("long").alias("voxel"))
     return exchange.column_shadow(voxels, SPACE, cone_views(spark, sf_dir))
 
+
+def _columns_sql() -> str:
+    """Shadows as in ``column_shadows`` for the voxels of line items; rays of their pixels; weights in the voxel's own slice."""
+    d3 = range(3)
+    shade = _column_sql().split(", c AS (SELECT voxel", 1)[1]
+    first = f"{CONE_VIEWS}, b AS (SELECT DISTINCT voxel, voxel % 12 AS x, voxel // 12 % 12 AS y, voxel // 144 AS z FROM (SELECT (l_orderkey * 7 + l_partkey * 31) % 1728 AS voxel FROM lineitem))"
+    out = f"WITH {first}, sh AS (WITH c AS (SELECT voxel{shade})"
+    out += ", px AS (SELECT voxel, view, x, y, z, i, j FROM sh JOIN b USING (voxel), range(10) p(i), range(10) q(j) WHERE i BETWEEN min_x AND max_x AND j BETWEEN min_y AND max_y)"
+    out += ", r AS (SELECT voxel, x, y, z, CAST(view AS BIGINT) * 100 + i + 10 * j AS line, " + ", ".join(f"12 * s{d} AS o{d}, 12 * (c{d} + (i + 0.5) * a{d} + (j + 0.5) * b{d} - s{d}) AS u{d}" for d in d3) + " FROM px JOIN w USING (view))"
+    out += ", e AS (SELECT *, CASE WHEN abs(u2) > greatest(abs(u0), abs(u1)) THEN 2 WHEN abs(u1) > abs(u0) THEN 1 ELSE 0 END AS axis FROM r)"
+    out += ", met AS (SELECT *, CASE axis WHEN 0 THEN (x + 0.5 - o0) / u0 WHEN 1 THEN (y + 0.5 - o1) / u1 ELSE (z + 0.5 - o2) / u2 END AS t FROM e)"
+    near = [f"CASE axis WHEN {d} THEN 1.0 ELSE greatest(0.0, 1 - abs(o{d} + t * u{d} - {n} - 0.5)) END" for d, n in enumerate("xyz")]
+    out += ", g AS (SELECT voxel, line, " + " * ".join(near) + " AS value FROM met)"
+    return out + " SELECT voxel, count(*) AS entries, sum(CASE WHEN value > 1e-9 THEN 1 ELSE 0 END)::BIGINT AS positive, round(sum(value), 6) + 0.0 AS total, round(sum(value * (line % 97)), 4) + 0.0 AS by_line FROM g GROUP BY voxel"
+
+
+@query(_columns_sql())
+def column_values(spark, sf_dir):
+    """Columns of the matrix, zeros included, of all voxels that line items name: their entries and sums."""
+    voxels = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 7 + F.col("l_partkey") * 31) % SPACE.cells).alias("voxel")).distinct()
+    rows = exchange.columns(voxels, SPACE, cone_views(spark, sf_dir)).groupBy("voxel")
+    rows = rows.agg(F.count(F.lit(1)).alias("entries"), F.sum((F.col("value") > 1e-9).cast("long")).alias("positive"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("line") % 97)).alias("by_line"))
+    return rows.select("voxel", "entries", "positive", (F.round("total", 6) + F.lit(0.0)).alias("total"), (F.round("by_line", 4) + F.lit(0.0)).alias("by_line"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import kernels
 from .functions import vec as V
 from .model import Volume
-from .operators import exchange, image, linop, solvers
+from .operators import distributed, exchange, image, linop, solvers
 from .plans import bisection, grcb, statistics, trees
 from .sources import geometry as G
 from .streaming import observe
@@ -152,11 +152,11 @@ def matrix_market_entries(spark, sf_dir):
 # Solvers
 
 
-def _iterations(k: int, beta: float, weighted: bool) -> str:
+def _iterations(k: int, beta: float, weighted: bool, tables: str = f"{A}, {P}") -> str:
     """SIRT or Landweber as nested common table expressions."""
     r = "CASE WHEN abs(s) > 1e-5 THEN 1.0 / s ELSE 0 END" if weighted else "1.0"
     c = f"CASE WHEN abs(s) > 1e-5 THEN {beta!r} / s ELSE 0 END" if weighted else repr(beta)
-    out = f"WITH {A}, {P}, r AS (SELECT line, {r} AS w FROM (SELECT line, sum(value) AS s FROM a GROUP BY line)), c AS (SELECT voxel, {c} AS w FROM (SELECT voxel, sum(value) AS s FROM a GROUP BY voxel)), x0 AS (SELECT DISTINCT voxel, 0.0::DOUBLE AS value FROM a)"
+    out = f"WITH {tables}, r AS (SELECT line, {r} AS w FROM (SELECT line, sum(value) AS s FROM a GROUP BY line)), c AS (SELECT voxel, {c} AS w FROM (SELECT voxel, sum(value) AS s FROM a GROUP BY voxel)), x0 AS (SELECT DISTINCT voxel, 0.0::DOUBLE AS value FROM a)"
     for i in range(k):
         out += f", s{i} AS (SELECT line, (p.value - coalesce(q.value, 0)) * r.w AS value FROM p JOIN r USING (line) LEFT JOIN (SELECT line, sum(a.value * x{i}.value) AS value FROM a JOIN x{i} USING (voxel) GROUP BY line) q USING (line))"
         out += f", x{i + 1} AS (SELECT voxel, x{i}.value + c.w * b.value AS value FROM x{i} JOIN c USING (voxel) JOIN (SELECT voxel, sum(a.value * s{i}.value) AS value FROM a JOIN s{i} USING (line) GROUP BY voxel) b USING (voxel))"
@@ -168,6 +168,17 @@ def sirt(spark, sf_dir):
     return rounded(solvers.sirt(matrix(spark, sf_dir), measured(spark, sf_dir), iterations=3), "voxel")
 
 
+ORDERS = f"{GOODS_SQL}, a AS (SELECT line, voxel, CAST(count(*) AS DOUBLE) AS value FROM v GROUP BY ALL), p AS (SELECT l_orderkey AS line, CAST(sum(l_linenumber) AS DOUBLE) AS value FROM lineitem GROUP BY 1)"
+
+
+@query(_iterations(2, 1.0, True, ORDERS))
+def sirt_of_parts(spark, sf_dir):
+    """Orders as lines through the four parts of GOODS: local products and an exchange of shared lines."""
+    a = goods(spark, sf_dir).groupBy("line", "voxel").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line")).agg(F.sum("l_linenumber").cast("double").alias("value"))
+    return rounded(distributed.sirt(a, p, GOODS, trees.boxes(TREE, GOODS), iterations=2), "voxel")
+
+
 @query(_iterations(2, 1e-9, False))
 def landweber(spark, sf_dir):
     return rounded(solvers.landweber(matrix(spark, sf_dir), measured(spark, sf_dir), beta=1e-9, iterations=2), "voxel")

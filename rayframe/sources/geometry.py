@@ -169,6 +169,14 @@ def offsets(views: DataFrame) -> DataFrame:
     return views.select("view", F.coalesce(before, F.lit(0)).cast("long").alias("first"))
 
 
+def pixel_ray(i: Column, j: Column, dim: int) -> tuple[list[Column], list[Column]]:
+    """(source, detector point) of the ray through the middle of pixel (i, j), from a view's columns."""
+    at = [c + (i + 0.5) * a for c, a in zip(V.cols("c", dim), V.cols("a", dim), strict=True)]
+    if dim == 3:
+        at = [x + (j + 0.5) * b for x, b in zip(at, V.cols("b", dim), strict=True)]
+    return [F.when(F.col("parallel"), s + p - c).otherwise(s) for s, p, c in zip(V.cols("s", dim), at, V.cols("c", dim), strict=True)], at
+
+
 def rays(views: DataFrame, dim: int, uniform: bool = True) -> DataFrame:
     """line, view, p0, p1 (pixel), s0.. (source), d0.. (detector point) of every pixel of every view.
 
@@ -181,8 +189,7 @@ def rays(views: DataFrame, dim: int, uniform: bool = True) -> DataFrame:
         numbered = views.join(offsets(views), "view")
     pixels = numbered.filter(per > 0).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
     i, j = F.pmod(F.col("q"), F.col("n0")), F.floor(F.col("q") / F.col("n0"))
-    at = [c + (i + 0.5) * a + (j + 0.5) * b for c, a, b in zip(*(V.cols(x, dim) for x in "cab"), strict=True)] if dim == 3 else [c + (i + 0.5) * a for c, a in zip(V.cols("c", dim), V.cols("a", dim), strict=True)]
-    source = [F.when(F.col("parallel"), s + p - c).otherwise(s) for s, p, c in zip(V.cols("s", dim), at, V.cols("c", dim), strict=True)]
+    source, at = pixel_ray(i, j, dim)
     return V.computed(pixels, ["view"], [(F.col("first") + F.col("q")).alias("line"), i.cast("long").alias("p0"), j.cast("long").alias("p1"), *V.named(source, "s"), *V.named(at, "d")])
 
 

@@ -43,12 +43,15 @@ def keep(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     return kept
 
 
-def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
-    """``df`` in the shared folder as a table with a file for each bucket of ``by``: joins on ``by`` don't shuffle it."""
+def bucketed(df: DataFrame, what: str, by: str, buckets: int, placed: bool = False) -> DataFrame:
+    """``df`` in the shared folder as a table with a file for each bucket of ``by``: joins on ``by`` don't shuffle it.
+
+    ``placed``: the rows lie in these buckets already, as they come from such a table, and are written where they are.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     name = f"rayframe_{uuid.uuid4().hex}"
-    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(name)
+    (df if placed else df.repartition(buckets, by)).write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(name)
     kept = spark.table(name)
     kept._kept_at, kept._kept_as = path, name
     return kept

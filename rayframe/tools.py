@@ -6,6 +6,7 @@
     python -m rayframe.tools volumes SPEC.toml -p 4 8
     python -m rayframe.tools messages SPEC.toml -p 4 8 16
     python -m rayframe.tools reconstruct SPEC.toml --iterations 10
+    python -m rayframe.tools measure SPEC.toml [TREE.bsp] -p 4 8 --iterations 10 --out DIR
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .functions import kernels
 from .model import Volume
-from .operators import exchange, image, linop, solvers
+from .operators import distributed, exchange, image, linop, solvers
 from .plans import bisection, grcb, statistics, trees
-from .sources import formats, geometry
-from .storage import keep
+from .sources import formats, geometry, images
+from .storage import discard, keep
 
 
 def evaluated(rays: DataFrame, volume: Volume, boxes: list[trees.Box]) -> dict[str, float]:
@@ -73,9 +74,28 @@ def communication_table(rays: DataFrame, volume: Volume, counts: list[int]) -> s
     return formats.report([str(p) for p in counts], ["V_b", "V_t", "V_reg", "gain", "V_c"], cells)
 
 
+def measured(views: DataFrame, volume: Volume, boxes: list[trees.Box], iterations: int) -> tuple[DataFrame, dict[str, str]]:
+    """The phantom reconstructed over parts, and mean seconds of an iteration, its exchange, and its forward products.
+
+    Forward products are timed part by part: their mean, the slowest, and by how much the slowest exceeds the mean.
+    """
+    shape = views.agg(F.max("n0"), F.max("n1")).first()
+    matrix = keep(kernels.joseph(geometry.rays(views, 3), volume), "joseph")
+    projections = linop.forward(matrix, image.phantom(views.sparkSession, volume))
+    shadow = exchange.shadows(trees.parts(views.sparkSession, boxes), views, volume)
+    shared = distributed.contributed(exchange.contributions(shadow, *shape), views, *shape)
+    rounds: list[distributed.Round] = []
+    found = distributed.sirt(matrix, projections, volume, boxes, iterations=iterations, shared=shared, rounds=rounds)
+    discard(matrix)
+    mean = lambda xs: sum(xs) / max(1, len(xs))
+    average, most = mean([mean([*r.forward.values()]) for r in rounds]), mean([max(r.forward.values(), default=0.0) for r in rounds])
+    times = {"": mean([r.seconds for r in rounds]), " (com)": mean([r.exchange for r in rounds]), " (avg fp)": average, " (max fp)": most}
+    return found, {k: f"{v:.2f} s" for k, v in times.items()} | {" (avg eps)": f"{most / average - 1 if average else 0:.2f}"}
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="rayframe.tools")
-    parser.add_argument("tool", choices=["partition", "stats", "overlap", "volumes", "messages", "reconstruct"])
+    parser.add_argument("tool", choices=["partition", "stats", "overlap", "volumes", "messages", "reconstruct", "measure"])
     parser.add_argument("spec")
     parser.add_argument("tree", nargs="?")
     parser.add_argument("-p", type=int, nargs="+", default=[4])
@@ -120,6 +140,20 @@ def main(args: list[str] | None = None) -> None:
             for k, v in counted_messages(views, volume, trees.boxes(trees.to_voxels(tree, volume), volume)).items():
                 rows[str(p), k] = v
         print(formats.report([str(p) for p in a.p], ["messages", "pixels", "most"], rows))
+    elif a.tool == "measure":
+        rows, columns = {}, []
+        for p in a.p:
+            matrix = kernels.closest(rays, volume)
+            ways = {"trivial": bisection.partition_trivial(matrix, volume, p)[1], "bisected": trees.boxes(bisection.partition_bisection(rays, volume, p), volume)}
+            if a.tree:
+                ways = {"tree": trees.load_partitioning(Path(a.tree).read_text(), volume, p.bit_length() - 1)}
+            for way, boxes in ways.items():
+                found, times = measured(views, volume, boxes, a.iterations)
+                rows |= {(str(p), way + k): v for k, v in times.items()}
+                columns += [way + k for k in times if way + k not in columns]
+                for name, picture in zip(("yz", "xz", "xy"), images.png(found, volume), strict=True):
+                    Path(a.out, f"{Path(a.spec).stem}_{way}_{p}_slice_{name}.png").write_bytes(picture)
+        print(formats.report([str(p) for p in a.p], columns, rows))
     elif a.tool == "volumes":
         print(communication_table(rays, volume, a.p))
     else:
