@@ -21,10 +21,10 @@ def truncated(rays: DataFrame, volume: Volume) -> DataFrame:
     """Rays that hit the volume, with o0.. (first whole step inside) and u0.. (unit direction) in voxel coordinates."""
     dim = volume.dim
     s, d = V.cols("s", dim), V.cols("d", dim)
-    hit, t_in, _ = V.slab(s, d, V.lit(volume.lengths), V.lit(volume.origin))
-    entry = [a + (b - a) * t_in for a, b in zip(s, d, strict=True)]
+    hits = V.clipped(rays, ["line", *V.names("s", dim), *V.names("d", dim)], s, d, V.lit(volume.lengths), V.lit(volume.origin))
+    entry = [a + (b - a) * F.col("t_in") for a, b in zip(s, d, strict=True)]
     vs, vd, ve = (V.to_voxel(x, volume) for x in (s, d, entry))
-    hits = V.computed(rays.filter(hit), ["line"], [*V.named(vs, "v"), *V.named(ve, "e"), *V.named(V.sub(vd, vs), "w")])
+    hits = V.computed(hits, ["line"], [*V.named(vs, "v"), *V.named(ve, "e"), *V.named(V.sub(vd, vs), "w")])
     v, e, w = (V.cols(x, dim) for x in "vew")
     hits = V.computed(hits, ["line", *v], [*V.named(V.normalize(w), "u"), (F.floor(V.distance(v, e)) + 1).alias("steps")])
     u = V.cols("u", dim)
@@ -143,8 +143,8 @@ def exact(rays: DataFrame, volume: Volume) -> DataFrame:
     """Lengths of a ray within each voxel, by its sorted crossings with the planes between voxels."""
     dim = volume.dim
     s, d = V.cols("s", dim), V.cols("d", dim)
-    hit, t_in, t_out = V.slab(s, d, V.lit(volume.lengths), V.lit(volume.origin))
-    rows = V.computed(rays.filter(hit), ["line"], [t_in.alias("t_in"), t_out.alias("t_out"), *V.named(V.to_voxel(s, volume), "v"), *V.named(V.to_voxel(d, volume), "w"), V.distance(s, d).alias("length")])
+    hits = V.clipped(rays, ["line", *V.names("s", dim), *V.names("d", dim)], s, d, V.lit(volume.lengths), V.lit(volume.origin))
+    rows = V.computed(hits, ["line", "t_in", "t_out"], [*V.named(V.to_voxel(s, volume), "v"), *V.named(V.to_voxel(d, volume), "w"), V.distance(s, d).alias("length")])
     v, w = V.cols("v", dim), V.cols("w", dim)
     crossings = [F.array(F.col("t_in"), F.col("t_out"))]
     for a, b, n in zip(v, w, volume.voxels, strict=True):

@@ -20,6 +20,10 @@ def cols(name: str, dim: int) -> Vec:
     return [F.col(f"{name}{d}") for d in range(dim)]
 
 
+def names(name: str, dim: int) -> list[str]:
+    return [f"{name}{d}" for d in range(dim)]
+
+
 def named(v: Vec, name: str) -> list[Column]:
     return [x.alias(f"{name}{d}") for d, x in enumerate(v)]
 
@@ -28,9 +32,10 @@ def computed(df: DataFrame, keys: list, expressions: list[Column]) -> DataFrame:
     """``keys`` and named expressions as columns that are computed once.
 
     Catalyst moves filters below projections by putting expressions in place of columns; chains of vector
-    arithmetic would be repeated without end. It does not look into the rows a generator makes.
+    arithmetic would be repeated without end. It does not look into the rows a generator makes. The generator itself
+    would compute what expressions share once for each; so a projection below it does, in compiled code, where shared parts count once.
     """
-    return df.select(*keys, F.inline(F.array(F.struct(*expressions))))
+    return df.select(*keys, F.struct(*expressions).alias("_computed")).select(*keys, F.inline(F.array("_computed")))
 
 
 def add(a: Vec, b: Vec) -> Vec:
@@ -154,6 +159,22 @@ def slab(a: Vec, b: Vec, sides: Vec, origin: Vec) -> tuple[Column, Column, Colum
     return ok & (t_out > t_in), t_in, t_out
 
 
+def clipped(df: DataFrame, keys: list[str], a: Vec, b: Vec, sides: Vec, origin: Vec) -> DataFrame:
+    """The rows whose line meets the box, as ``slab`` has it: ``keys``, t_in and t_out, in two short steps."""
+    d = range(len(a))
+    ends = [(p - o, q - o, s) for p, q, s, o in zip(a, b, sides, origin, strict=True)]
+    axes = []
+    for k, (p, q, s) in enumerate(ends):
+        flat = approx_equal(p, q)
+        delta = F.when(flat, F.lit(1.0)).otherwise(q - p)
+        axes += [flat.alias(f"_f{k}"), (-p / delta).alias(f"_x{k}"), ((s - p) / delta).alias(f"_y{k}"), ((p >= -EPSILON) & (p < s + EPSILON)).alias(f"_w{k}")]
+    rows = computed(df, keys, axes)
+    t_in = F.greatest(F.lit(2.2250738585072014e-308), *[F.when(~F.col(f"_f{k}"), F.least(f"_x{k}", f"_y{k}")) for k in d])
+    t_out = F.least(F.lit(1.7976931348623157e308), *[F.when(~F.col(f"_f{k}"), F.greatest(f"_x{k}", f"_y{k}")) for k in d])
+    ok = reduce(lambda x, y: x & y, [~F.col(f"_f{k}") | F.col(f"_w{k}") for k in d])
+    return computed(rows, keys, [t_in.alias("t_in"), t_out.alias("t_out"), ok.alias("_ok")]).where("_ok AND t_out > t_in").drop("_ok")
+
+
 def segment_intersection(p: Vec, p2: Vec, q: Vec, q2: Vec) -> Vec:
     """Where two plane segments meet, else nulls; only for a positive cross product of their directions."""
     r, s, d = sub(p2, p), sub(q2, q), sub(q, p)

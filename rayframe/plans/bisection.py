@@ -1,22 +1,19 @@
 """Recursive bisection of the volume by the lines that a cut crosses.
 
-One level of the tree is one job, whatever the number of nodes in it: lines are cut at their nodes' boxes, their entries
-and exits counted by node, axis and voxel layer, and only these counts (a row a layer) come to the driver, where each
-node's best cut is chosen. Lines then go to the left, the right, or both.
+A level of the tree is the same jobs, whatever the number of nodes in it: lines are cut at their nodes' boxes, their
+entries and exits counted by node, axis and voxel layer, and a sweep over each axis's layers, as running sums, finds each
+node's best cut. The driver sees a row a node. Lines then go to the left, the right, or both.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import accumulate
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import vec as V
 from ..model import Volume
-from ..storage import keep
+from ..storage import discard, keep
 from . import statistics
 from .trees import Box, Tree, blocks
 
@@ -35,34 +32,44 @@ def bounded(lines: DataFrame, dim: int) -> DataFrame:
     sides = [h + 1 - x for h, x in zip(hi, lo, strict=True)]
     far = F.col("far")
     reach = 2 * V.distance(o, [x + 0.5 * s for x, s in zip(lo, sides, strict=True)])
-    end = [x + far * d for x, d in zip(o, u, strict=True)]
     kept, lines = lines.columns, V.computed(lines, lines.columns, [reach.alias("far")])
-    hit, t_in, t_out = V.slab(o, end, sides, lo)
-    a, b = ([x + (y - x) * t for x, y in zip(o, end, strict=True)] for t in (t_in, t_out))
-    return V.computed(lines.filter(hit), kept, [*V.named(a, "a"), *V.named(b, "b")])
+    ends, end = V.names("end", dim), V.cols("end", dim)
+    lines = V.computed(lines, kept, V.named([x + far * d for x, d in zip(o, u, strict=True)], "end"))
+    hits = V.clipped(lines, [*kept, *ends], o, end, sides, lo)
+    a, b = ([x + (y - x) * F.col(t) for x, y in zip(o, end, strict=True)] for t in ("t_in", "t_out"))
+    return V.computed(hits, kept, [*V.named(a, "a"), *V.named(b, "b")])
 
 
-def best_cut(counts: dict[int, dict[int, int]], weights: list[dict[int, float]], box: Box, epsilon: float) -> tuple[int, int, int]:
-    """(axis, at, lines cut) from counts[axis][layer] of entries less exits and weights[axis][layer] of the box.
+def best_cuts(counts: DataFrame, weights: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """node, d, at, crossed, left, total of every node: the best cut, the lines it crosses, the weight before it and in all.
 
-    Going through the layers in order, a cut midway between two layers with events crosses the lines that have
-    been entered and not left; the least number wins, then the least imbalance, which must stay below epsilon.
+    ``counts`` (node, d, layer, way): entries less exits. ``weights`` (node, d, layer, weight). ``nodes`` (node, lo_0,
+    hi_0, .., epsilon), a row a node. Going through the layers in order, a cut midway between two layers with events
+    crosses the lines that have been entered and not left; the least number wins, then the least imbalance, which must stay
+    below epsilon, then the first axis and layer. Nodes without such a cut are halved along the first axis.
     """
-    average = 0.5 * sum(weights[0].values())
-    best, least, level = None, None, epsilon
-    for d, (lo, hi) in enumerate(box):
-        left = list(accumulate(weights[d].get(i, 0.0) for i in range(lo, hi + 1)))
-        crossed, last = 0, lo
-        for layer in sorted(counts.get(d, {})):
-            if layer != last and layer > lo:
-                at, last = int((layer - 1 + last) / 2), layer
-                if at >= hi:
-                    break
-                heavy = max(left[at - lo], left[-1] - left[at - lo]) / average - 1 if average else 0.0
-                if (least is None or crossed < least) and heavy < epsilon or crossed == least and heavy < level:
-                    best, least, level = (d, at), crossed, heavy
-            crossed += counts[d][layer]
-    return (*best, least) if best else (0, int(0.5 * sum(box[0])), 0)
+    nodes = F.broadcast(nodes)
+    own = lambda x: F.element_at(F.array(*[F.col(f"{x}_{d}") for d in range(dim)]), F.col("d") + 1)
+    axis = Window.partitionBy("node", "d")
+    before = axis.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = counts.join(nodes, "node").select("node", "d", "layer", "way", own("lo").alias("lo"), own("hi").alias("hi"), "epsilon")
+    cuts = cuts.withColumns({"crossed": F.coalesce(F.sum("way").over(before), F.lit(0)), "last": F.greatest("lo", F.max("layer").over(before))})
+    cuts = cuts.where("layer > lo").withColumn("at", F.floor((F.col("layer") - 1 + F.col("last")) / 2).cast("int")).where("at < hi")
+    # Weights and cuts in one order, weights first, so that a running sum is the weight up to each cut.
+    both = cuts.select("node", "d", F.col("at").alias("place"), "layer", "crossed", "epsilon", F.lit(0.0).alias("weight"))
+    both = both.unionByName(weights.select("node", "d", F.col("layer").alias("place"), "weight"), allowMissingColumns=True)
+    so_far = axis.orderBy("place", F.col("crossed").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"left": F.sum("weight").over(so_far), "total": F.sum("weight").over(axis)}).where("crossed IS NOT NULL")
+    heavy = F.when(F.col("total") > 0, F.greatest("left", F.col("total") - F.col("left")) / (0.5 * F.col("total")) - 1).otherwise(0.0)
+    both = both.withColumn("heavy", heavy).where("heavy < epsilon")
+    best = both.groupBy("node").agg(F.min_by(F.struct("d", F.col("place").alias("at"), "crossed", "left"), F.struct("crossed", "heavy", "d", "layer")).alias("best"))
+    middle = F.floor((F.col("lo_0") + F.col("hi_0")) / 2).cast("int")
+    halves = weights.where("d = 0").join(nodes, "node").groupBy("node").agg(F.sum(F.when(F.col("layer") <= middle, F.col("weight")).otherwise(0.0)).alias("half"), F.sum("weight").alias("total"))
+    rows = nodes.join(best, "node", "left").join(halves, "node", "left")
+    return rows.select(
+        "node", F.coalesce("best.d", F.lit(0)).alias("d"), F.coalesce("best.at", middle).alias("at"), F.coalesce("best.crossed", F.lit(0)).alias("crossed"),
+        F.coalesce("best.left", "half", F.lit(0.0)).alias("left"), F.coalesce("total", F.lit(0.0)).alias("total"),
+    )
 
 
 def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: float = 0.2) -> Tree:
@@ -77,33 +84,36 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
     lines = voxel_lines(rays, volume).withColumn("node", F.lit(1))
     nodes: dict[int, tuple[Box, int, float]] = {1: ([(0, n - 1) for n in volume.voxels], parts, epsilon)}
     tree: Tree = {}
+    before = None
     for _ in range(depth):
-        table = spark.createDataFrame([(k, *[x for ends in b for x in ends]) for k, (b, _, _) in nodes.items()], "node int, " + ", ".join(f"lo_{d} int, hi_{d} int" for d in range(dim)))
-        table = F.broadcast(table)  # a row a node of the level
-        cut = keep(bounded(lines.join(table, "node"), dim).drop(*[f"{x}_{d}" for x in ("lo", "hi") for d in range(dim)]), "bisection-lines")
+        table = spark.createDataFrame(
+            [(k, *[x for ends in b for x in ends], e / (p.bit_length() - 1)) for k, (b, p, e) in nodes.items()],
+            "node int, " + ", ".join(f"lo_{d} int, hi_{d} int" for d in range(dim)) + ", epsilon double",
+        )
+        bounds = F.broadcast(table)  # a row a node of the level
+        cut = keep(bounded(lines.join(bounds, "node"), dim).drop("epsilon", *[f"{x}_{d}" for x in ("lo", "hi") for d in range(dim)]), "bisection-lines")
         sign = [V.sign(F.col(f"b{d}") - F.col(f"a{d}")) for d in range(dim)]
         events = F.array(*[F.struct(F.lit(d).alias("d"), V.truncated(F.col(f"{e}{d}")).cast("int").alias("layer"), (sign[d] if e == "a" else -sign[d]).alias("way")) for d in range(dim) for e in "ab"])
-        counts: dict = defaultdict(lambda: defaultdict(dict))
-        for n, d, layer, way in cut.select("node", F.explode(events).alias("e")).groupBy("node", "e.d", "e.layer").agg(F.sum("e.way")).collect():
-            counts[n][d][layer] = way
-        layers: dict = defaultdict(lambda: [defaultdict(float) for _ in range(dim)])
-        within = statistics.owner([F.col(f"i{d}") for d in range(dim)], [b for b, _, _ in nodes.values()])
-        numbers = list(nodes)
+        counts = cut.select("node", F.explode(events).alias("e")).groupBy("node", "e.d", "e.layer").agg(F.sum("e.way").alias("way"))
+        numbers = F.lit(list(nodes))
+        k = statistics.owner([F.col(f"i{d}") for d in range(dim)], [b for b, _, _ in nodes.values()])
         by_axis = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"i{d}").alias("layer")) for d in range(dim)])
-        for k, d, layer, w in weights.select(within.alias("k"), "value", F.explode(by_axis).alias("e")).filter("k IS NOT NULL").groupBy("k", "e.d", "e.layer").agg(F.sum("value")).collect():
-            layers[numbers[k]][d][layer] = w
+        layers = weights.select(k.alias("k"), "value", F.explode(by_axis).alias("e")).where("k IS NOT NULL")
+        layers = layers.groupBy(numbers[F.col("k")].alias("node"), "e.d", "e.layer").agg(F.sum("value").alias("weight"))
         below: dict[int, tuple[Box, int, float]] = {}
         chosen: dict[int, list[int]] = {}
-        for n, (box, p, eps) in nodes.items():
-            d, a, _ = best_cut(counts[n], layers[n], box, eps / (p.bit_length() - 1))
-            tree[n] = (d, a)
-            chosen[n] = [d, a]
-            total = sum(layers[n][0].values())
-            for child, ends in ((2 * n, (box[d][0], a)), (2 * n + 1, (a + 1, box[d][1]))):
+        for r in best_cuts(counts, layers, table, dim).collect():
+            box, p, eps = nodes[r.node]
+            d, a = r.d, r.at
+            tree[r.node] = (d, a)
+            chosen[r.node] = [d, a]
+            for child, ends, weight in ((2 * r.node, (box[d][0], a), r.left), (2 * r.node + 1, (a + 1, box[d][1]), r.total - r.left)):
                 own = list(box)
                 own[d] = ends
-                weight = sum(w for layer, w in layers[n][d].items() if ends[0] <= layer <= ends[1])
-                below[child] = (own, p // 2, (1 + eps) * (total / p) / weight * p / 2 - 1 if weight else eps)
+                below[child] = (own, p // 2, (1 + eps) * (r.total / p) / weight * p / 2 - 1 if weight else eps)
+        if before is not None:
+            discard(before)
+        before = cut
         # Of both ends along the cut's axis: the lower decides on the left, the upper on the right.
         ends = [F.element_at(F.array(*[V.truncated(F.col(f"{e}{d}")) for d in range(dim)]), F.col("split")[0] + 1) for e in "ab"]
         # The nodes of a level are numbered without a gap.
@@ -111,7 +121,8 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
         cut = cut.withColumn("split", F.array(*[F.lit([chosen[n][k] for n in sorted(nodes)])[place] for k in range(2)]))
         go = F.array_compact(F.array(F.when(F.least(*ends) <= F.col("split")[1], 2 * F.col("node")), F.when(F.greatest(*ends) > F.col("split")[1], 2 * F.col("node") + 1)))
         lines = cut.select("line", *V.cols("o", dim), *V.cols("u", dim), F.explode(go.cast("array<int>")).alias("node"))
-        nodes = below
+        nodes = dict(sorted(below.items()))
+    discard(before, weights)
     return tree
 
 

@@ -632,12 +632,10 @@ def kernel_joseph(spark, sf_dir):
     return rounded(kernels.joseph(plane_rays(spark, sf_dir), PLANE), "line", "voxel")
 
 
-def _space() -> str:
-    """Rays of the cone beam through SPACE that hit it, truncated as ``truncated_rays`` has it in the plane: table o."""
+def _truncated_sql(y: str) -> str:
+    """Rays of the table y that hit SPACE, truncated as ``truncated_rays`` has it in the plane: table o."""
     d3, n = range(3), 12
-    at = [f"c{d} + (i + 0.5) * a{d} + (j + 0.5) * b{d}" for d in d3]
-    out = f"{CONE_VIEWS}, y AS (SELECT CAST(view AS BIGINT) * 100 + i + 10 * j AS line, " + ", ".join([*[f"s{d}" for d in d3], *[f"{x} AS d{d}" for d, x in enumerate(at)]]) + " FROM w, range(10) p(i), range(10) q(j))"
-    out += ", z AS (SELECT *, " + ", ".join(f"abs(d{d} - s{d}) <= 1e-5 OR abs(d{d} - s{d}) <= 1e-2 * abs(d{d}) AS f{d}" for d in d3) + " FROM y)"
+    out = y + ", z AS (SELECT *, " + ", ".join(f"abs(d{d} - s{d}) <= 1e-5 OR abs(d{d} - s{d}) <= 1e-2 * abs(d{d}) AS f{d}" for d in d3) + " FROM y)"
     low = ", ".join(f"CASE WHEN f{d} THEN 0 ELSE least(-s{d} / (d{d} - s{d}), (1 - s{d}) / (d{d} - s{d})) END" for d in d3)
     high = ", ".join(f"CASE WHEN f{d} THEN 1e300 ELSE greatest(-s{d} / (d{d} - s{d}), (1 - s{d}) / (d{d} - s{d})) END" for d in d3)
     inside = " AND ".join(f"(NOT f{d} OR (s{d} >= -1e-5 AND s{d} < 1 + 1e-5))" for d in d3)
@@ -646,6 +644,13 @@ def _space() -> str:
     return out + ", o AS (SELECT line, " + ", ".join(f"{n} * s{d} + steps * u{d} AS o{d}, u{d}" for d in d3) + " FROM g)"
 
 
+def _space() -> str:
+    """Rays of the cone beam through SPACE."""
+    at = [f"c{d} + (i + 0.5) * a{d} + (j + 0.5) * b{d}" for d in range(3)]
+    y = "y AS (SELECT CAST(view AS BIGINT) * 100 + i + 10 * j AS line, " + ", ".join([*[f"s{d}" for d in range(3)], *[f"{x} AS d{d}" for d, x in enumerate(at)]]) + " FROM w, range(10) p(i), range(10) q(j))"
+    return f"{CONE_VIEWS}, {_truncated_sql(y)}"
+
+
 SPACE_RAYS = _space()
 WITHIN = " AND ".join(f"x{d} BETWEEN 1e-5 AND 12 - 1e-5" for d in range(3))
 NEAR = " AND ".join(f"x{d} >= -1.00001 AND x{d} < 13.00001" for d in range(3))
@@ -666,7 +671,7 @@ def kernel_exact(spark, sf_dir):
 
 
 @query(
-    f"WITH {SPACE_RAYS}, q AS (SELECT line, k, " + ", ".join(f"o{d} + (k + 0.5) * u{d} AS x{d}" for d in range(3)) + f" FROM o, range(40) r(k)) SELECT line, CAST(floor(x0) + 12 * (floor(x1) + 12 * floor(x2)) AS BIGINT) AS voxel, 1.0::DOUBLE AS value FROM q WHERE {WITHIN} AND line IN (SELECT line FROM q WHERE k = 0 AND {WITHIN})"
+    f"WITH {SPACE_RAYS}, q AS (SELECT line, k, " + ", ".join(f"o{d} + (k + 0.5) * u{d} AS x{d}" for d in range(3)) + f" FROM o, range(40) r(k)) SELECT line, CAST(floor(x0) + 12 * (floor(x1) + 12 * floor(x2)) AS BIGINT) AS voxel, 1.0::DOUBLE AS value FROM (SELECT *, bool_or(k = 0) OVER (PARTITION BY line) AS starts FROM q WHERE {WITHIN}) WHERE starts"
 )
 def kernel_closest_space(spark, sf_dir):
     return kernels.closest(cone_rays(spark, sf_dir), SPACE)
@@ -679,7 +684,7 @@ def _joseph_space() -> str:
     out = f"WITH {SPACE_RAYS}, j AS (SELECT *, CASE WHEN abs(u2) > greatest(abs(u0), abs(u1)) THEN 2 WHEN abs(u1) > abs(u0) THEN 1 ELSE 0 END AS axis FROM o), main AS (SELECT *, {pick(['o0', 'o1', 'o2'])} AS om, {pick(['u0', 'u1', 'u2'])} AS um FROM j)"
     out += ", l AS (SELECT line, axis, o0, o1, o2, " + ", ".join(f"u{d} / abs(um) AS h{d}" for d in d3) + f", ({away('om - 0.5')} + 0.5 - om) * sign(um) AS shift FROM main)"
     out += f", q AS (SELECT * FROM (SELECT line, axis, k - 30 AS k, " + ", ".join(f"o{d} + (shift + k - 30) * h{d} AS x{d}" for d in d3) + f" FROM l, range(90) r(k)) WHERE {NEAR})"
-    out += f", slices AS (SELECT *, {pick(['x0', 'x1', 'x2'])} AS x, CASE axis WHEN 0 THEN x1 ELSE x0 END AS y0, CASE axis WHEN 2 THEN x1 ELSE x2 END AS y1 FROM q WHERE line IN (SELECT line FROM q WHERE k IN (0, -1)))"
+    out += f", slices AS (SELECT *, {pick(['x0', 'x1', 'x2'])} AS x, CASE axis WHEN 0 THEN x1 ELSE x0 END AS y0, CASE axis WHEN 2 THEN x1 ELSE x2 END AS y1 FROM (SELECT *, bool_or(k IN (0, -1)) OVER (PARTITION BY line) AS starts FROM q) WHERE starts)"
     out += f", c AS (SELECT line, axis, CAST({away('x - 0.5')} AS BIGINT) AS row, y0, y1, CAST({away('y0')} AS BIGINT) - m AS i, CAST({away('y1')} AS BIGINT) - n AS j FROM slices, range(2) a(m), range(2) b(n))"
     return out + " SELECT line, CASE axis WHEN 0 THEN row + 12 * (i + 12 * j) WHEN 1 THEN i + 12 * (row + 12 * j) ELSE i + 12 * (j + 12 * row) END AS voxel, round((1 - abs(y0 - i - 0.5)) * (1 - abs(y1 - j - 0.5)), 6) + 0.0 AS value FROM c WHERE row BETWEEN 0 AND 11 AND i BETWEEN 0 AND 11 AND j BETWEEN 0 AND 11"
 
@@ -692,7 +697,7 @@ def kernel_joseph_space(spark, sf_dir):
 @query(
     f"WITH {SPACE_RAYS}, q AS (SELECT * FROM (SELECT line, k - 30 AS k, " + ", ".join(f"o{d} + (k - 30) * u{d} AS x{d}" for d in range(3)) + f" FROM o, range(90) r(k)) WHERE {NEAR}), c AS (SELECT *, "
     + ", ".join(f"CAST(CASE WHEN x{d} < 0 THEN -floor(-x{d} + 0.5) ELSE floor(x{d} + 0.5) END AS BIGINT) - {m} AS i{d}" for d, m in enumerate("mno"))
-    + " FROM q, range(2) a(m), range(2) b(n), range(2) c(o) WHERE line IN (SELECT line FROM q WHERE k IN (0, -1))) SELECT line, i0 + 12 * (i1 + 12 * i2) AS voxel, round("
+    + " FROM (SELECT *, bool_or(k IN (0, -1)) OVER (PARTITION BY line) AS starts FROM q), range(2) a(m), range(2) b(n), range(2) c(o) WHERE starts) SELECT line, i0 + 12 * (i1 + 12 * i2) AS voxel, round("
     + " * ".join(f"(1 - abs(x{d} - i{d} - 0.5))" for d in range(3)) + ", 6) + 0.0 AS value FROM c WHERE i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11 AND i2 BETWEEN 0 AND 11"
 )
 def kernel_linear_space(spark, sf_dir):
@@ -780,9 +785,61 @@ def trivial_axis(spark, sf_dir):
     return spark.createDataFrame([(axis, volume)], "axis int, volume long")
 
 
-@query()
+def listed_rays(spark, sf_dir) -> DataFrame:
+    """A ray for every line item, along one of the axes or across it; coordinates by divisions only, so that SQL has the same bits."""
+    rows = table(spark, sf_dir, "lineitem")
+    line, turn = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_linenumber") % 3
+    at = [F.lit(-1.0), (F.col("l_partkey") * 17 % 101) / F.lit(101.0), (F.col("l_suppkey") * 29 % 103) / F.lit(103.0)]
+    to = [F.lit(2.0), (F.col("l_orderkey") * 31 % 107) / F.lit(107.0), (F.col("l_partkey") * 37 % 109) / F.lit(109.0)]
+    turned = lambda xs, d: F.when(turn == 0, xs[d]).when(turn == 1, xs[(d + 2) % 3]).otherwise(xs[(d + 1) % 3])
+    return rows.select(line.alias("line"), *V.named([turned(at, d) for d in range(3)], "s"), *V.named([turned(to, d) for d in range(3)], "d"))
+
+
+def _bisection_sql(levels: int, epsilon: float) -> str:
+    """Level by level: lines at their nodes' boxes, events by layer, candidates with weights by subqueries, the first in order."""
+    d3 = range(3)
+    at, to = ["-1.0::DOUBLE", "(l_partkey * 17 % 101) / 101.0::DOUBLE", "(l_suppkey * 29 % 103) / 103.0::DOUBLE"], ["2.0::DOUBLE", "(l_orderkey * 31 % 107) / 107.0::DOUBLE", "(l_partkey * 37 % 109) / 109.0::DOUBLE"]
+    turned = lambda xs, d: f"CASE l_linenumber % 3 WHEN 0 THEN {xs[d]} WHEN 1 THEN {xs[(d + 2) % 3]} ELSE {xs[(d + 1) % 3]} END"
+    y = "y AS (SELECT l_orderkey * 8 + l_linenumber AS line, " + ", ".join([f"{turned(xs, d)} AS {n}{d}" for n, xs in (("s", at), ("d", to)) for d in d3]) + " FROM lineitem)"
+    samples = "q AS (SELECT line, k, " + ", ".join(f"o{d} + (k + 0.5) * u{d} AS x{d}" for d in d3) + " FROM o, range(40) r(k))"
+    hits = f"hits AS MATERIALIZED (SELECT i0, i1, i2, count(*)::DOUBLE AS v FROM (SELECT CAST(floor(x0) AS BIGINT) AS i0, CAST(floor(x1) AS BIGINT) AS i1, CAST(floor(x2) AS BIGINT) AS i2, bool_or(k = 0) OVER (PARTITION BY line) AS starts FROM q WHERE {WITHIN}) WHERE starts GROUP BY ALL)"
+    out = f"WITH {_truncated_sql(y)}, {samples}, {hits}"
+    out += ", m0 AS (SELECT line, " + ", ".join(f"s{d} * 12 AS o{d}, d{d} * 12 - s{d} * 12 AS w{d}" for d in d3) + " FROM y)"
+    out += ", l0 AS (SELECT line, o0, o1, o2, " + ", ".join(f"w{d} / sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS u{d}" for d in d3) + " , 1 AS node FROM m0)"
+    out += ", n0 AS (SELECT 1 AS node, " + ", ".join(f"0 AS lo{d}, 11 AS hi{d}" for d in d3) + f", {1 << levels} AS p, {epsilon!r}::DOUBLE AS eps)"
+    for i in range(levels):
+        flat = [f"(abs(o{d} - lo{d} - (e{d} - lo{d})) <= 1e-5 OR abs(o{d} - lo{d} - (e{d} - lo{d})) <= 1e-2 * abs(e{d} - lo{d}))" for d in d3]
+        t = [f"((-(o{d} - lo{d})) / (e{d} - lo{d} - (o{d} - lo{d})))" for d in d3], [f"((hi{d} + 1 - lo{d} - (o{d} - lo{d})) / (e{d} - lo{d} - (o{d} - lo{d})))" for d in d3]
+        low = ", ".join(f"CASE WHEN {flat[d]} THEN 0 ELSE least({t[0][d]}, {t[1][d]}) END" for d in d3)
+        high = ", ".join(f"CASE WHEN {flat[d]} THEN 1e300 ELSE greatest({t[0][d]}, {t[1][d]}) END" for d in d3)
+        ok = " AND ".join(f"(NOT {flat[d]} OR (o{d} - lo{d} >= -1e-5 AND o{d} - lo{d} < hi{d} + 1 - lo{d} + 1e-5))" for d in d3)
+        middle = [f"(o{d} - (lo{d} + 0.5::DOUBLE * (hi{d} + 1 - lo{d})))" for d in d3]
+        out += f", f{i} AS (SELECT *, 2 * sqrt({' + '.join(f'{m} * {m}' for m in middle)}) AS far FROM l{i} JOIN n{i} USING (node)), e{i} AS (SELECT *, " + ", ".join(f"o{d} + far * u{d} AS e{d}" for d in d3) + f" FROM f{i})"
+        out += f", t{i} AS (SELECT *, greatest(2.2250738585072014e-308, {low}) AS t1, least({high}) AS t2 FROM e{i} WHERE {ok})"
+        out += f", b{i} AS MATERIALIZED (SELECT line, node, o0, o1, o2, u0, u1, u2, " + ", ".join(f"o{d} + (e{d} - o{d}) * t1 AS a{d}, o{d} + (e{d} - o{d}) * t2 AS b{d}" for d in d3) + f" FROM t{i} WHERE t2 > t1)"
+        sign = [f"CASE WHEN abs(b{d} - a{d}) <= 1e-5 THEN 0 WHEN b{d} > a{d} THEN 1 ELSE -1 END" for d in d3]
+        events = " UNION ALL ".join(f"SELECT node, {d} AS d, CAST(trunc({e}{d}) AS INT) AS layer, {'' if e == 'a' else '-'}({sign[d]}) AS way FROM b{i}" for d in d3 for e in "ab")
+        out += f", g{i} AS (SELECT node, d, layer, sum(way) AS way FROM ({events}) GROUP BY ALL)"
+        out += f", w{i} AS MATERIALIZED (SELECT node, i0, i1, i2, v FROM hits JOIN n{i} ON i0 BETWEEN lo0 AND hi0 AND i1 BETWEEN lo1 AND hi1 AND i2 BETWEEN lo2 AND hi2), k{i} AS (SELECT node, sum(v) AS total FROM w{i} GROUP BY node)"
+        own = lambda x: f"CASE d WHEN 0 THEN {x}0 WHEN 1 THEN {x}1 ELSE {x}2 END"
+        out += f", c{i} AS (SELECT node, d, layer, {own('lo')} AS lo, {own('hi')} AS hi, eps / log2(p) AS eps, coalesce(sum(way) OVER (PARTITION BY node, d ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS crossed, lag(layer) OVER (PARTITION BY node, d ORDER BY layer) AS last FROM g{i} JOIN n{i} USING (node))"
+        out += f", a{i} AS (SELECT node, d, layer, (layer - 1 + greatest(lo, coalesce(last, lo))) // 2 AS pos, crossed, eps, hi FROM c{i} WHERE layer > lo)"
+        out += f", s{i} AS (SELECT a.*, total, (SELECT coalesce(sum(v), 0) FROM w{i} w WHERE w.node = a.node AND CASE a.d WHEN 0 THEN i0 WHEN 1 THEN i1 ELSE i2 END <= a.pos) AS lower FROM a{i} a JOIN k{i} USING (node) WHERE pos < hi)"
+        out += f", r{i} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY crossed, heavy, d, layer) AS place FROM (SELECT *, greatest(lower, total - lower) / (0.5 * total) - 1 AS heavy FROM s{i}) WHERE heavy < eps)"
+        out += f", h{i} AS MATERIALIZED (SELECT n.*, coalesce(d, 0) AS d, coalesce(pos, (lo0 + hi0) // 2) AS pos, k.total, coalesce(lower, (SELECT sum(v) FROM w{i} w WHERE w.node = n.node AND i0 <= (lo0 + hi0) // 2)) AS lower FROM n{i} n JOIN k{i} k USING (node) LEFT JOIN (SELECT node, d, pos, lower FROM r{i} WHERE place = 1) USING (node))"
+        sides = []
+        for child, weight, ends in (("2 * node", "lower", ["lo{d}", "CASE d WHEN {d} THEN pos ELSE hi{d} END"]), ("2 * node + 1", "(total - lower)", ["CASE d WHEN {d} THEN pos + 1 ELSE lo{d} END", "hi{d}"])):
+            sides.append(f"SELECT {child} AS node, " + ", ".join(f"{ends[0].format(d=d)} AS lo{d}, {ends[1].format(d=d)} AS hi{d}" for d in d3) + f", p // 2 AS p, (1 + eps) * (total / p) / {weight} * p / 2 - 1 AS eps FROM h{i}")
+        out += f", n{i + 1} AS MATERIALIZED ({' UNION ALL '.join(sides)})"
+        end = {e: f"trunc(CASE d WHEN 0 THEN {e}0 WHEN 1 THEN {e}1 ELSE {e}2 END)" for e in "ab"}
+        go = [f"SELECT line, o0, o1, o2, u0, u1, u2, {child} AS node FROM b{i} JOIN h{i} USING (node) WHERE {f}({end['a']}, {end['b']}) {op} pos" for child, f, op in (("2 * node", "least", "<="), ("2 * node + 1", "greatest", ">"))]
+        out += f", l{i + 1} AS ({' UNION ALL '.join(go)})"
+    return out + f" SELECT node - {1 << levels} AS part, " + ", ".join(f"lo{d} AS lo_{d}, hi{d} AS hi_{d}" for d in d3) + f" FROM n{levels}"
+
+
+@query(_bisection_sql(3, 0.2))
 def partition_bisection(spark, sf_dir):
-    return trees.parts(spark, trees.boxes(bisection.partition_bisection(cone_rays(spark, sf_dir), SPACE, 4), SPACE))
+    return trees.parts(spark, trees.boxes(bisection.partition_bisection(listed_rays(spark, sf_dir), SPACE, 8), SPACE))
 
 
 @query()

@@ -79,12 +79,42 @@ def test_weights(scan):
     assert statistics.box_weight(sums, V8, box).first()[0] == direct
 
 
-def test_best_cut():
-    # Two lines cross layers 0 to 3 and 6 to 9 of axis 0; between them nothing is cut.
-    counts = {0: {0: 1, 3: -1, 6: 1, 9: -1}, 1: {0: 2, 9: -2}}
-    weights = [{i: 1.0 for i in range(10)}, {i: 1.0 for i in range(10)}]
-    assert bisection.best_cut(counts, weights, [(0, 9), (0, 9)], 0.5)[::2] == (0, 0)
-    assert bisection.best_cut({}, weights, [(0, 9), (0, 9)], 0.5) == (0, 4, 0)
+def best_cut(counts, weights, box, epsilon):
+    """The rule by a plain loop over axes and layers."""
+    total = sum(weights[0].values())
+    best, least, level = None, None, epsilon
+    for d, (lo, hi) in enumerate(box):
+        crossed, last = 0, lo
+        for layer in sorted(counts.get(d, {})):
+            if layer != last and layer > lo:
+                at, last = (layer - 1 + last) // 2, layer
+                if at >= hi:
+                    break
+                left = sum(w for i, w in weights[d].items() if i <= at)
+                heavy = max(left, total - left) / (0.5 * total) - 1 if total else 0.0
+                if (least is None or crossed < least) and heavy < epsilon or crossed == least and heavy < level:
+                    best, least, level = (d, at), crossed, heavy
+            crossed += counts[d][layer]
+    d, at = best or (0, sum(box[0]) // 2)
+    left = sum(w for i, w in weights[d].items() if i <= at)
+    return d, at, least if best else 0, float(left), float(total)
+
+
+def test_best_cuts(spark):
+    """All nodes in one sweep against the loop: lone layers, ties, no events, no weight, bounds that no cut meets."""
+    rng = np.random.default_rng(11)
+    nodes, counts, weights = {}, {}, {}
+    for n in range(40):
+        nodes[n] = ([(int(lo), int(lo + size)) for lo, size in zip(rng.integers(0, 5, 3), rng.integers(0, 9, 3), strict=True)], float(rng.choice([0.0, 0.1, 0.4, 3.0])))
+        counts[n] = {d: {int(k): int(rng.integers(-2, 4)) for k in rng.choice(14, rng.integers(0, 9), False)} for d in range(3)}
+        cells = rng.integers(0, 3, [hi - lo + 1 for lo, hi in nodes[n][0]]) * (n % 7 > 0)
+        weights[n] = [{lo + i: float(w) for i, w in enumerate(cells.sum(tuple(x for x in range(3) if x != d))) if w} for d, (lo, _) in enumerate(nodes[n][0])]
+    table = spark.createDataFrame([(n, *[x for e in b for x in e], eps) for n, (b, eps) in nodes.items()], "node int, lo_0 int, hi_0 int, lo_1 int, hi_1 int, lo_2 int, hi_2 int, epsilon double")
+    events = spark.createDataFrame([(n, d, k, w) for n, c in counts.items() for d, e in c.items() for k, w in e.items()], "node int, d int, layer int, way int")
+    load = spark.createDataFrame([(n, d, k, w) for n, c in weights.items() for d, e in enumerate(c) for k, w in e.items()], "node int, d int, layer int, weight double")
+    got = {r.node: (r.d, r["at"], r.crossed, r.left, r.total) for r in bisection.best_cuts(events, load, table, 3).collect()}
+    assert got == {n: best_cut(counts[n], weights[n], b, eps) for n, (b, eps) in nodes.items()}
+    assert len({x[:2] for x in got.values()}) > 10
 
 
 @pytest.mark.parametrize("parts", [2, 8])
