@@ -8,7 +8,8 @@ kept, menus, headers, footers, sidebars, notices, adverts, forms, scripts, style
 
 What an element is called is weighed against what it holds: one that is named like a sidebar, menu, header or form but
 has nine tenths of the page's prose is a wrapper and stays; half will do if it has a neutral name beside that one.
-Reader comments go however long they are.
+Reader comments go however long they are; what is only named like them, has nine tenths of the prose and the page's
+first heading, which does not speak of comments, is a wrapper too.
 
 Blocks come in page order, one per line, white space inside a block as one space, character references decoded.
 
@@ -20,6 +21,7 @@ nests; repeated rows yield a row each; an empty table yields no row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -71,30 +73,46 @@ WRAPPER, MISNAMED = 0.5, 0.9
 LIKELY = frozenset("article main content post entry story main-content article-body article-content post-body post-content entry-content story-body page-content hentry".split())
 #: A container that says which parts it has beside its text.
 BESIDE = re.compile(r"(?:has|with|without|no)[_-]", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-LABEL = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Words in a heading that tell a section of readers' comments.
+REMARKS = re.compile(r"\b(?:comments?|repl(?:y|ies)|responses?|respond|discussion|conversation|thoughts)\b", re.I)
+HEADING = frozenset("h1 h2 h3".split())
+CLOSING = {name: re.compile(f"</{name}", re.I) for name in LITERAL}
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|!--|[!?/])")
 BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("at", "block", "children", "hidden", "label", "name", "parent")
+    __slots__ = ("at", "block", "children", "depth", "hidden", "label", "name", "parent")
 
     def __init__(self, nodes: list[Node], name: str, parent: Node | None, hidden: bool = False, label: str = ""):
         self.name, self.parent, self.hidden, self.label = name, parent, hidden, label
-        self.at, self.children = len(nodes), []
+        self.at, self.children, self.depth = len(nodes), [], 0 if parent is None else parent.depth + 1
         #: The nearest block element, itself included.
         self.block: Node = self if parent is None or name in BLOCK else parent.block
         nodes.append(self)
 
 
+def attributes_of(raw: str) -> tuple[str, bool]:
+    """(class, id and role names, whether it is hidden) by a tag's attributes: by their names, never by words in other values."""
+    labels, hidden = [], False
+    for name, a, b, c in ATTRIBUTE.findall(raw):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            labels.append(value)
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSEEN.search(value):
+            hidden = True
+    return " ".join(x for x in labels if x), hidden
+
+
 def tree(html: str) -> list[Node]:
     """The page's elements in page order, its root first; texts are strings among the children, references decoded."""
     nodes: list[Node] = []
     root = node = Node(nodes, "html", None)
     at, end = 0, len(html)
-    opened: dict[str, int] = {}  # numbers of open elements by name, so that no tag looks for what is not there
+    opened: dict[str, list[Node]] = {}  # open elements by name, outermost first, so that no tag walks up to find one
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -104,7 +122,7 @@ def tree(html: str) -> list[Node]:
         """Closes all elements below ``to``."""
         nonlocal node
         while node is not to:
-            opened[node.name] -= 1
+            opened[node.name].pop()
             node = node.parent
 
     while at < end:
@@ -132,41 +150,31 @@ def tree(html: str) -> list[Node]:
         name = m[2].lower()
         if m[1]:
             if opened.get(name):
-                up = node
-                while up.name != name:
-                    up = up.parent
-                leave(up.parent)
+                leave(opened[name][-1].parent)
             continue
-        if name in CLOSES_P and opened.get("p"):
-            up = node
-            while up is not root and up.name not in BLOCK:
-                up = up.parent
-            if up.name == "p":
-                leave(up.parent)
-        if (rule := IMPLIED.get(name)) and any(opened.get(x) for x in rule[0]):
-            up, found = node, None
-            while up is not root and up.name not in rule[1]:
-                if up.name in rule[0]:
-                    found = up
-                up = up.parent
-            if found is not None:
-                leave(found.parent)
+        if name in CLOSES_P and node.block.name == "p":
+            leave(node.block.parent)
+        if rule := IMPLIED.get(name):
+            # Of the elements that it ends, the outermost one below the nearest element that it does not reach past.
+            scope = max((opened[x][-1].depth for x in rule[1] if opened.get(x)), default=0)
+            ends = [o[i] for x in rule[0] if (o := opened.get(x)) and (i := bisect_right(o, scope, key=lambda n: n.depth)) < len(o)]
+            if ends:
+                leave(min(ends, key=lambda n: n.depth).parent)
         attributes = m[3]
         if name in LITERAL and not attributes.endswith("/"):
-            close = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
-            at = end if close is None else close.end()
+            close = CLOSING[name].search(html, at)
+            at = end if close is None or (gt := html.find(">", close.end())) < 0 else gt + 1
             continue
         if name == "body" or name == "html":
             continue
         label, hidden = "", False
         if attributes:
-            label = " ".join(a or b or c for a, b, c in LABEL.findall(attributes))
-            hidden = HIDDEN.search(attributes) is not None
+            label, hidden = attributes_of(attributes)
         child = Node(nodes, name, node, hidden or name in RAW, label)
         node.children.append(child)
         if name not in VOID and not attributes.endswith("/"):
             node = child
-            opened[name] = opened.get(name, 0) + 1
+            opened.setdefault(name, []).append(child)
     return nodes
 
 
@@ -174,12 +182,46 @@ def likely(n: Node) -> bool:
     return n.name in ("article", "main") or bool(n.label) and not LIKELY.isdisjoint(n.label.lower().split())
 
 
+def wrappers(nodes: list[Node], gone: list[bool], remarks: list[Node]) -> list[Node]:
+    """Of elements named like readers' comments, those that hold nearly all prose and the page's first heading.
+
+    A heading over comments says so; then they are comments.
+    """
+    if not remarks:
+        return []
+    named = {n.at for n in remarks}
+    size, last = [0] * len(nodes), list(range(len(nodes)))
+    for n in reversed(nodes):
+        if gone[n.at] and n.at not in named:
+            size[n.at] = 0
+        elif n.name == "a":
+            size[n.at] = 0
+        else:
+            size[n.at] += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        if n.parent is not None:
+            size[n.parent.at] += size[n.at]
+            last[n.parent.at] = max(last[n.parent.at], last[n.at])
+    out_of = -1  # the end of the last element that goes for another reason
+    for n in nodes:
+        if n.at <= out_of:
+            continue
+        if gone[n.at] and n.at not in named:
+            out_of = last[n.at]
+        elif n.name in HEADING:
+            title = " ".join(c for x in nodes[n.at : last[n.at] + 1] for c in x.children if isinstance(c, str))
+            if REMARKS.search(title):
+                return []
+            return [r for r in remarks if r.at < n.at <= last[r.at] and size[r.at] >= MISNAMED * size[0] > 0]
+    return []
+
+
 def left_out(nodes: list[Node]) -> list[bool]:
     """Of each element, whether it is no main text by what it is, is called and holds; what lies below is not marked."""
     size = len(nodes)
     inside = [False] * size  # an article or main element
     gone = [False] * size  # for certain
     doubtful = [0.0] * size  # unless it has such a share of the prose
+    remarks: list[Node] = []  # named like readers' comments
     for n in nodes[1:]:
         up, k = n.parent.at, n.at
         inside[k] = inside[up] or n.name in ("article", "main")
@@ -191,8 +233,11 @@ def left_out(nodes: list[Node]) -> list[bool]:
             names = [x for x in n.label.split() if not BESIDE.search(x)]
             if any(COMMENTS.search(x) and not STATE.search(x) for x in names):
                 gone[k] = True
+                remarks.append(n)
             elif odd := [x for x in names if UNLIKELY.search(x)]:
                 doubtful[k] = WRAPPER if len(odd) < len(names) else MISNAMED
+    for n in wrappers(nodes, gone, remarks):
+        gone[n.at] = False
     if any(doubtful):
         # Text outside links of each element, without that of elements that go for certain.
         prose = [0] * size

@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ BROADCAST_KEYS = 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Fixed value of the WARC 1.1 standard.
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digits alone: no sign, space or underscore, and no more than any size needs.
+HEX, DECIMAL = re.compile(rb"[0-9A-Fa-f]{1,16}"), re.compile(r"[0-9]{1,19}")
 RECORD = "record_id string, record_type string, page_id long, url string, refers_to string, payload_digest string, segment long, origin_id string, total_length long, block binary, problem string"
 PAYLOAD = "record_id string, record_type string, page_id long, url string, refers_to string, payload_digest string, payload binary, problem string"
 
@@ -59,7 +62,10 @@ def dechunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].partition(b";")[0].strip(b" \t")
+        if not HEX.fullmatch(digits):
+            raise ValueError("a chunk's size is no number")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             return b"".join(out)
@@ -167,6 +173,8 @@ def _record_at(data: bytes, at: int) -> tuple[tuple, int]:
     head_end = data.index(b"\r\n\r\n", at)
     head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:head_end].decode().split("\r\n")[1:])}
     start = head_end + 4
+    if not DECIMAL.fullmatch(head.get("content-length", "")):
+        raise ValueError("its length is no number")
     end = start + int(head["content-length"])
     if end > len(data):
         raise ValueError("it is longer than the file")
@@ -175,7 +183,11 @@ def _record_at(data: bytes, at: int) -> tuple[tuple, int]:
         return head[k].strip("<>") if k in head else None
 
     def number(k):
-        return int(head[k]) if head.get(k) else None
+        if not head.get(k):
+            return None
+        if not DECIMAL.fullmatch(head[k].removeprefix("-")) or not -(1 << 63) <= int(head[k]) < 1 << 63:
+            raise ValueError(f"its {k} is no number")
+        return int(head[k])
 
     return (bare("warc-record-id"), head["warc-type"], number("page-id"), head.get("warc-target-uri"), bare("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("warc-segment-number"), bare("warc-segment-origin-id"), number("warc-segment-total-length"), data[start:end], None), end
 

@@ -1,5 +1,7 @@
 """Main text does not depend on how long its longest part is."""
 
+import time
+
 import pytest
 
 from rayframe.llm import html_text
@@ -69,3 +71,63 @@ def test_best_container_by_hand(spark):
         if best is not None:
             own = [" ".join("".join(c for c in p.children if isinstance(c, str)).split()) for p in nodes if p.parent is best and p.name == "p" and all(isinstance(c, str) for c in p.children)]
             assert all(x in text for x in own)
+
+
+STORY = "".join(f"<p>The {w} of the valley kept their ledgers, their lamps and their silence, and wrote down every load of coal.</p>" for w in ("miners", "drivers", "keepers", "clerks"))
+TEXT = "\n".join(f"The {w} of the valley kept their ledgers, their lamps and their silence, and wrote down every load of coal." for w in ("miners", "drivers", "keepers", "clerks"))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<article aria-label="The hidden cost of coal">{}</article>', '<div data-title="a hidden gem">{}</div>', "<div title='display : none'>{}</div>", '<div class="page-comments-template">{}</div>',
+        '<div class="wp-respond">{}</div>', '<div class="comments"><div id="respond">{}</div></div>', '<div data-hidden="hidden" aria-hidden="false">{}</div>', "<div data-x=hidden>{}</div>",
+    ],
+)
+def test_no_article_is_lost(wrap):
+    page = "<html><body><nav><a href=/>home</a></nav>" + wrap.format("<h1>Coal</h1>" + STORY) + "<footer>imprint</footer></body></html>"
+    assert html_text.main_text(page) == "Coal\n" + TEXT
+
+
+@pytest.mark.parametrize("off", ["hidden", "hidden=''", "HIDDEN", "aria-hidden=true", 'aria-hidden = "TRUE"', 'style="color:red; display : none"', "style='visibility:hidden'"])
+def test_hidden_goes(off):
+    assert html_text.main_text(f"<body><h1>Coal</h1>{STORY}<div {off}><p>{'unseen words, ' * 30}</p></div></body>") == "Coal\n" + TEXT
+
+
+@pytest.mark.parametrize("title", ["<h2>12 comments</h2>", "<h3>Leave a reply</h3>", "<p>Readers</p>"])
+def test_comments_go(title):
+    """However long they are, and whether or not the article has a heading."""
+    remarks = f"<section class=comments>{title}" + "<p>I was there, and I saw it, and it was not so at all, whatever they say.</p>" * 60 + "</section>"
+    assert html_text.main_text(f"<body><article><h1>Coal</h1>{STORY}</article>{remarks}</body>") == "Coal\n" + TEXT
+    assert html_text.main_text(f"<body><article>{STORY}</article>{remarks}</body>") == TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<ul>" + "<div>" * 8000 + "<li>x" * 8000, "<p><td>" + "<b>" * 8000 + "<div>y" * 8000, "<script>" + "</script" * 32000, "<dl>" + "<b>" * 8000 + "<dt>t<dd>d" * 8000, "<table>" + "<tr><td><b>" * 8000,
+        "<div class=comments>" * 8000 + "z", "<a " + "b " * 8000 + ">", "<a" + " " * 30000 + "x>", "<i " * 8000, "</b" * 8000, "<select>" + "<i>" * 8000 + "<option>" * 8000,
+    ],
+    ids=range(11),
+)
+def test_hostile_pages(page):
+    """Time grows with the length: sixteen times in a row takes no more than some sixty times as long."""
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 1.5
+
+
+def test_tags_that_end_others():
+    """Open elements by name end as a walk up the tree would end them."""
+    cases = {
+        "<ul><li>a<ul><li>b<li>c</ul><li>d</ul>": "a\nb\nc\nd",
+        "<table><tr><td>a<table><tr><td>b<td>c</table><td>d<tr><td>e</table>": "a\nb\nc\nd\ne",
+        "<dl><dt>a<dd>b<dl><dt>c</dl><dt>d</dl>": "a\nb\nc\nd",
+    }
+    for html, want in cases.items():
+        nodes = html_text.tree(html)
+        assert "\n".join(t for _, t, _ in html_text.blocks(nodes, [False] * len(nodes))) == want
+    top = html_text.tree("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")
+    assert [n.depth for n in top if n.name == "li"] == [2, 4, 4, 2]
+    rows = html_text.tree("<table><tr><td>a<td>b<tr><td>c</table>")
+    assert [(n.name, n.depth) for n in rows if n.name in ("tr", "td")] == [("tr", 2), ("td", 3), ("td", 3), ("tr", 2), ("td", 3)]
