@@ -1,21 +1,23 @@
 """Continuous recursive bisection: cuts where the shadows of both halves overlap least on the detectors.
 
-Boxes are pairs (low, high) of corners. Views are rows; hulls and their intersections are convex polygons computed by
-numpy on Arrow batches of views, so a level costs one job over the views, whatever their number. Samples are drawn by
-hash of their number: the same seed gives the same partitioning, also when a task is run again.
+Boxes are pairs (low, high) of corners. Views are rows; hulls and their intersections are convex polygons, computed by
+array functions. A level of the tree costs the same few jobs over the views, whatever the number of its nodes: overlaps of
+all of its cuts are one job, and a search for cuts goes through all nodes and axes at once, three halvings a job. Samples
+are drawn by hash of their number: the same seed gives the same partitioning, also when a task is run again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import polygon
 from ..functions import vec as V
 from ..model import Volume
+from ..storage import keep
 from .trees import Tree
 
 Cube = tuple[tuple[float, ...], tuple[float, ...]]
@@ -24,10 +26,6 @@ SAMPLES = {"low": 100, "medium": 1000, "high": 10_000}
 SPLIT_SAMPLES = {"low": 100_000, "medium": 1_000_000, "high": 10_000_000}
 
 
-def corners(v: Cube) -> np.ndarray:
-    return np.array([[v[i >> d & 1][d] for d in range(3)] for i in range(8)])
-
-
 def cross_section_area(v: Cube, axis: int) -> float:
     return float(np.prod([v[1][d] - v[0][d] for d in range(3) if d != axis]))
 
@@ -38,85 +36,72 @@ def split_at(v: Cube, c: float, axis: int) -> tuple[Cube, Cube]:
     return (v[0], tuple(high)), (tuple(low), v[1])
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise (monotone chain)."""
-    pts = sorted(set(map(tuple, points.tolist())))
-    if len(pts) < 3:
-        return np.array(pts)
-
-    def half(order):
-        out: list = []
-        for p in order:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out
-
-    return np.array(half(pts)[:-1] + half(pts[::-1])[:-1])
-
-
-def clipped(polygon: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon inside another (counter-clockwise), edge by edge."""
-    out = polygon
-    for a, b in zip(by, np.roll(by, -1, 0), strict=True):
-        if len(out) < 3:
-            return out[:0]
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        new = []
-        for p, q, s, t in zip(out, np.roll(out, -1, 0), side, np.roll(side, -1), strict=True):
-            if s >= 0:
-                new.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                new.append(p + (q - p) * (s / (s - t)))
-        out = np.array(new).reshape(-1, 2)
-    return out
+VIEW_COLUMNS = [f"{x}{d}" for x in "scab" for d in range(3)] + ["n0", "n1"]
 
 
-def area(polygon: np.ndarray) -> float:
-    if len(polygon) < 3:
-        return 0.0
-    x, y = polygon.T
-    return 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1)))
+def _boxes(of: list[Cube]) -> Column:
+    """(k, l0, h0, ..) of each box, as an array for explode; there are a few for each node of a level."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(v[i][d])).alias(f"{n}{d}") for d in range(3) for i, n in enumerate("lh")]) for k, v in enumerate(of)])
 
 
-def projected(view: dict, points: np.ndarray) -> np.ndarray:
-    """Detector coordinates of points, from the detector's centre; rays along the detector give nan."""
-    s, c, a, b = (np.array([view[f"{x}{d}"] for d in range(3)]) for x in "scab")
-    u, v = a / np.linalg.norm(a), b / np.linalg.norm(b)
-    normal, way = np.cross(u, v), points - s
-    k = way @ normal
-    at = s + way * ((c - s) @ normal / np.where(np.abs(k) < 1e-3, np.nan, k))[:, None] - (c + 0.5 * (view["n0"] * a + view["n1"] * b))
-    return np.stack([at @ u, at @ v], 1)
+def _corners(prefix: str) -> Column:
+    """A box's corners on the detector, from its centre; null where a ray runs along the detector.
 
+    Reads a box's columns (``prefix``l0, h0, ..) and what ``_framed`` has put beside a view's.
+    """
 
-def detector(view: dict) -> np.ndarray:
-    x, y = (0.5 * view[n] * float(np.linalg.norm([view[f"{e}{d}"] for d in range(3)])) for n, e in (("n0", "a"), ("n1", "b")))
-    return np.array([[-x, -y], [x, -y], [x, y], [-x, y]])
+    def at(k: int) -> Column:
+        x = [F.col(f"{prefix}{'h' if k >> d & 1 else 'l'}{d}") for d in range(3)]
+        way = [p - F.col(f"s{d}") for d, p in enumerate(x)]
+        along = V.dot(way, V.cols("w", 3))
+        t = F.col("reach") / F.when(F.abs(along) >= 1e-3, along)
+        hit = [F.col(f"s{d}") + q * t - F.col(f"m{d}") for d, q in enumerate(way)]
+        x, y = V.dot(hit, V.cols("u", 3)), V.dot(hit, V.cols("v", 3))
+        return F.when(x.isNotNull() & y.isNotNull(), polygon.point(x, y))
 
+    return F.array(*[at(k) for k in range(8)])
 
-def overlap(view: dict, left: Cube, right: Cube) -> float:
-    """The area on the detector that lies in the shadows of both boxes."""
-    shadows = [projected(view, corners(v)) for v in (left, right)]
-    if any(not np.isfinite(s).all() for s in shadows):
-        return 0.0
-    return area(clipped(clipped(hull(shadows[0]), hull(shadows[1])), detector(view)))
 
+def _shadow(corners: str) -> Column:
+    return F.when(~F.exists(corners, lambda p: p.isNull()), polygon.hull(F.col(corners)))
 
-VIEW_COLUMNS = [f"{x}{d}" for x in "scab" for d in range(3)] + ["n0", "n1"]
 
+def _framed(views: DataFrame) -> DataFrame:
+    """Views with their detector's unit axes u and v, normal w, centre m, distance from the source, and half sizes."""
+    s, c, a, b = (V.cols(x, 3) for x in "scab")
+    keep_ = ["view", *V.names("s", 3)]
+    middle = [p + 0.5 * (F.col("n0") * q + F.col("n1") * r) for p, q, r in zip(c, a, b, strict=True)]
+    half = [0.5 * F.col(n) * V.norm(e) for n, e in (("n0", a), ("n1", b))]
+    rows = V.computed(views, [*keep_, *V.names("c", 3)], [*V.named(V.normalize(a), "u"), *V.named(V.normalize(b), "v"), *V.named(middle, "m"), half[0].alias("half0"), half[1].alias("half1")])
+    own = [*keep_, *V.names("u", 3), *V.names("v", 3), *V.names("m", 3), "half0", "half1"]
+    rows = V.computed(rows, [*own, *V.names("c", 3)], V.named(V.cross(V.cols("u", 3), V.cols("v", 3)), "w"))
+    return V.computed(rows, [*own, *V.names("w", 3)], [V.dot(V.sub(c, s), V.cols("w", 3)).alias("reach")])
 
-def overlaps(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> list[float]:
-    """The overlaps of pairs of boxes, each summed over all views."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pairs))
-        for batch in batches:
-            for view in batch.to_pylist():
-                total += [overlap(view, *p) for p in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), pa.array(total)], ["k", "area"])
+def outlines(views: DataFrame, of: list[Cube]) -> DataFrame:
+    """(view, k, outline): the shadow of each box on each detector, null where a ray runs along it."""
+    rows = V.computed(_framed(views).select("*", F.inline(_boxes(of))), ["view", "k"], [_corners("").alias("corners")])
+    return V.computed(rows, ["view", "k"], [_shadow("corners").alias("outline")])
+
 
+def overlap_areas(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> DataFrame:
+    """(view, k, area): the detector's area that lies in the shadows of both boxes of pair k, 0 where one has none."""
+    both = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(p[j][i][d])).alias(f"{x}{n}{d}") for j, x in enumerate("xy") for d in range(3) for i, n in enumerate("lh")]) for k, p in enumerate(pairs)])
+    rows = _framed(views).select("*", F.inline(both))
+    x, y = F.col("half0"), F.col("half1")
+    screen = F.array(polygon.point(-x, -y), polygon.point(x, -y), polygon.point(x, y), polygon.point(-x, y))
+    # Step by step: an array function's lambda would compute an argument that is no column again and again.
+    rows = V.computed(rows, ["view", "k"], [_corners("x").alias("x"), _corners("y").alias("y"), screen.alias("screen")])
+    rows = V.computed(rows, ["view", "k", "screen"], [_shadow("x").alias("left"), _shadow("y").alias("right")])
+    rows = V.computed(rows, ["view", "k", "screen"], [polygon.clipped(F.col("left"), F.col("right")).alias("both")])
+    rows = V.computed(rows, ["view", "k"], [polygon.clipped(F.col("both"), F.col("screen")).alias("both")])
+    return rows.select("view", "k", F.coalesce(polygon.area(F.col("both")), F.lit(0.0)).alias("area"))
+
+
+def overlaps(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> list[float]:
+    """The overlaps of pairs of boxes, each summed over all views."""
     out = [0.0] * len(pairs)
-    for k, x in views.select(*VIEW_COLUMNS).mapInArrow(run, "k int, area double").groupBy("k").agg(F.sum("area")).collect():
+    for k, x in overlap_areas(views, pairs).groupBy("k").agg(F.sum("area")).collect():
         out[k] = x
     return out
 
@@ -126,9 +111,14 @@ def shadow_areas(views: DataFrame, of: list[Cube]) -> list[float]:
     return overlaps(views, [(v, v) for v in of])
 
 
+def _uniform(seed: int) -> list[Column]:
+    """Three numbers between 0 and 1 by hash of ``id``."""
+    return [(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(d)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for d in range(3)]
+
+
 def points(spark: SparkSession, v: Cube, n: int, seed: int) -> DataFrame:
     """x0, x1, x2 of n uniform points of a box."""
-    u = [(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(d)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for d in range(3)]
+    u = _uniform(seed)
     return spark.range(n).select("id", *[(v[0][d] + (v[1][d] - v[0][d]) * u[d]).alias(f"x{d}") for d in range(3)])
 
 
@@ -153,55 +143,100 @@ def weighted(samples: DataFrame, views: DataFrame, cone: bool) -> DataFrame:
     return rows.withColumn("v", value).groupBy("id", "x0", "x1", "x2").agg(F.sum("v").alias("f"))
 
 
-def load(views: DataFrame, v: Cube, precision: str = "low", method: str = "two_dim", seed: int = 0) -> float:
-    """The integral of the ray density over a box: analytic along axis 2, or 1 / r^2, or that within the cones."""
+def loads(views: DataFrame, of: list[Cube], precision: str = "low", method: str = "two_dim", seed: int = 0) -> list[float]:
+    """The integral of the ray density over each box: analytic along axis 2, or 1 / r^2, or that within the cones.
+
+    A view makes its own share of every sample, so that nothing is joined and sums are all that moves; all boxes are one job.
+    """
     n = SAMPLES[precision]
-    p = points(views.sparkSession, v, n, seed)
+    rows = views.select(*VIEW_COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("id"))
+    rows = V.computed(rows, VIEW_COLUMNS, [x.alias(f"r{d}") for d, x in enumerate(_uniform(seed))])
+    rows = rows.select("*", F.inline(_boxes(of)))
+    rows = V.computed(rows, [*VIEW_COLUMNS, "k", "l2", "h2"], [(F.col(f"l{d}") + (F.col(f"h{d}") - F.col(f"l{d}")) * F.col(f"r{d}")).alias(f"x{d}") for d in range(3)])
     if method == "two_dim":
-        rows = p.join(views.select("s0", "s1", "s2"), F.lit(True), "inner")
         r = V.distance([F.col("x0"), F.col("x1")], [F.col("s0"), F.col("s1")])
-        f = (F.atan2(F.lit(v[1][2]) - F.col("s2"), r) - F.atan2(F.lit(v[0][2]) - F.col("s2"), r)) / r
-        return cross_section_area(v, 2) * rows.agg(F.sum(f)).first()[0] / n
-    size = float(np.prod(np.subtract(v[1], v[0])))
-    return size * weighted(p, views, method == "cone").agg(F.sum("f")).first()[0] / n
+        value = (F.atan2(F.col("h2") - F.col("s2"), r) - F.atan2(F.col("l2") - F.col("s2"), r)) / r
+        size = [cross_section_area(v, 2) for v in of]
+    else:
+        d = V.sub(V.cols("x", 3), V.cols("s", 3))
+        value = 1 / V.dot(d, d)
+        value = F.when(seen(rows), value).otherwise(0.0) if method == "cone" else value
+        size = [float(np.prod(np.subtract(v[1], v[0]))) for v in of]
+    out = [0.0] * len(of)
+    for k, x in rows.groupBy("k").agg(F.sum(value)).collect():
+        out[k] = size[k] * x / n
+    return out
+
+
+def load(views: DataFrame, v: Cube, precision: str = "low", method: str = "two_dim", seed: int = 0) -> float:
+    return loads(views, [v], precision, method, seed)[0]
 
 
 def split_midway(views: DataFrame, v: Cube, axis: int) -> float:
     return 0.5 * (v[0][axis] + v[1][axis])
 
 
-def _halving(v: Cube, axis: int, steps: int, tolerance: float, heavier: Callable[[float], float]) -> float:
-    low, high = v[0][axis], v[1][axis]
-    for _ in range(steps):
-        c = 0.5 * (low + high)
-        if high - low < tolerance:
-            break
-        if heavier(c) > 0:
-            high = c
-        else:
-            low = c
-    return 0.5 * (low + high)
+#: (box, axis): a key of the search.
+Key = tuple[Cube, int]
+#: Halvings whose possible cuts are looked at in one job.
+AHEAD = 3
 
 
-def split_equal_shadow(views: DataFrame, v: Cube, axis: int) -> float:
+def search(keys: list[Key], steps: int, tolerance: Callable[[Cube, int], float], weigh: Callable[[list[Cube]], list[float]]) -> list[float]:
+    """For each key, where a halving search finds equal weights of both sides.
+
+    ``weigh`` gives the weights of many boxes at once. All keys go on together: each job weighs the 2^``AHEAD`` - 1 cuts that
+    the next halvings may come to, for every key that is not done, so the number of jobs does not depend on that of keys.
+    """
+    at = [[v[0][d], v[1][d]] for v, d in keys]
+    left, taken = list(range(len(keys))), 0
+    while left and taken < steps:
+        ahead = min(AHEAD, steps - taken)
+        cuts: dict[tuple[int, int], float] = {}
+        ends = {i: [(at[i][0], at[i][1])] for i in left}
+        for depth in range(ahead):
+            for i in left:
+                below = []
+                for j, (low, high) in enumerate(ends[i]):
+                    c = 0.5 * (low + high)
+                    cuts[i, (1 << depth) - 1 + j] = c
+                    below += [(low, c), (c, high)]
+                ends[i] = below
+        sides = [side for (i, _), c in cuts.items() for side in split_at(keys[i][0], c, keys[i][1])]
+        found = weigh(sides)
+        heavier = {key: found[2 * n] - found[2 * n + 1] > 0 for n, key in enumerate(cuts)}
+        going = []
+        for i in left:
+            j, done = 0, False
+            for _ in range(ahead):
+                if done := at[i][1] - at[i][0] < tolerance(*keys[i]):
+                    break
+                c, heavy = cuts[i, j], heavier[i, j]
+                at[i][heavy] = c  # the left side is heavier: the cut is the new upper end
+                j = 2 * j + (1 if heavy else 2)
+            if not done and at[i][1] - at[i][0] >= tolerance(*keys[i]):
+                going.append(i)
+        left, taken = going, taken + ahead
+    return [0.5 * (low + high) for low, high in at]
+
+
+def cuts_equal_shadow(views: DataFrame, keys: list[Key]) -> list[float]:
     """Where both halves have shadows of equal area, to within 0.01 of the box."""
+    return search(keys, 100, lambda v, d: 0.01 * (v[1][d] - v[0][d]), lambda of: shadow_areas(views, of))
 
-    def heavier(c):
-        left, right = shadow_areas(views, list(split_at(v, c, axis)))
-        return left - right
 
-    return _halving(v, axis, 100, 0.01 * (v[1][axis] - v[0][axis]), heavier)
+def split_equal_shadow(views: DataFrame, v: Cube, axis: int) -> float:
+    return cuts_equal_shadow(views, [(v, axis)])[0]
 
 
-def split_equal_load(precision: str = "low", method: str = "two_dim", seed: int = 0):
-    def split(views: DataFrame, v: Cube, axis: int) -> float:
-        def heavier(c):
-            left, right = split_at(v, c, axis)
-            return load(views, left, precision, method, seed) - load(views, right, precision, method, seed)
+def cuts_equal_load(views: DataFrame, keys: list[Key], precision: str = "low", method: str = "two_dim", seed: int = 0) -> list[float]:
+    """Where both halves have the same load."""
+    tolerance = (lambda v, d: 1e-8) if method == "two_dim" else (lambda v, d: 1e-3 * (v[1][d] - v[0][d]))
+    return search(keys, 100, tolerance, lambda of: loads(views, of, precision, method, seed))
 
-        return _halving(v, axis, 100, 1e-8 if method == "two_dim" else 1e-3 * (v[1][axis] - v[0][axis]), heavier)
 
-    return split
+def split_equal_load(precision: str = "low", method: str = "two_dim", seed: int = 0):
+    return lambda views, v, axis: cuts_equal_load(views, [(v, axis)], precision, method, seed)[0]
 
 
 def simple_split(samples: list[tuple[float, float]], a: float, b: float) -> float:
@@ -273,28 +308,30 @@ def split_smart(views: DataFrame, v: Cube, axis: int, samples: DataFrame | None
     return 0.5 * (a + b)
 
 
-SPLITTERS = {"midway": lambda **_: split_midway, "equal_shadow": lambda **_: split_equal_shadow, "equal_load": lambda precision="low", method="two_dim", seed=0: split_equal_load(precision, method, seed)}
-
-
 def partition(views: DataFrame, volume: Volume, levels: int, splitter: str = "midway", precision: str = "low", method: str = "two_dim", gradient: bool = False, seed: int = 0) -> Tree:
     """The neutral tree of 2^levels parts; of the three axes, the one whose cut has the least overlap is taken."""
     if levels < 1:
         raise ValueError("at least one level is needed")
     whole: Cube = (volume.origin, tuple(o + n for o, n in zip(volume.origin, volume.lengths, strict=True)))
     first = views.select(*VIEW_COLUMNS).first().asDict()
-    size = np.ptp(detector(first), 0)
+    size = [first[n] * float(np.linalg.norm([first[f"{e}{d}"] for d in range(3)])) for n, e in (("n0", "a"), ("n1", "b"))]
     magnitude = cross_section_area(whole, 0) / float(size[0] * size[1])
     if splitter in ("smart", "smart_simple"):
-        from ..storage import keep
-
         samples = keep(weighted(points(views.sparkSession, whole, SPLIT_SAMPLES[precision], seed), views, True), "grcb-samples")
-        cut = lambda w, v, d: split_smart(w, v, d, samples)
+        cut = lambda keys: [split_smart(views, v, d, samples) for v, d in keys]
+    elif splitter == "midway":
+        cut = lambda keys: [split_midway(views, v, d) for v, d in keys]
+    elif splitter == "equal_shadow":
+        cut = lambda keys: cuts_equal_shadow(views, keys)
+    elif splitter == "equal_load":
+        cut = lambda keys: cuts_equal_load(views, keys, precision, method, seed)
     else:
-        cut = SPLITTERS[splitter](precision=precision, method=method, seed=seed) if splitter == "equal_load" else SPLITTERS[splitter]()
+        raise ValueError(f"no splitter {splitter}")
     tree: Tree = {}
     level = {1: whole}
     for _ in range(levels):
-        tries = [(n, d, cut(views, v, d)) for n, v in level.items() for d in range(3)]
+        keys = [(n, d) for n in level for d in range(3)]
+        tries = [(n, d, c) for (n, d), c in zip(keys, cut([(level[n], d) for n, d in keys]), strict=True)]
         found = overlaps(views, [split_at(level[n], c, d) for n, d, c in tries])  # one job a level
         below = {}
         for n, v in level.items():

@@ -842,6 +842,35 @@ def partition_bisection(spark, sf_dir):
     return trees.parts(spark, trees.boxes(bisection.partition_bisection(listed_rays(spark, sf_dir), SPACE, 8), SPACE))
 
 
+def _overlap_sql() -> str:
+    """Corners of both halves turned back and projected; hulls as half-planes; the common part's corners are crossings inside all."""
+    out = "WITH k AS (SELECT c_custkey AS view, c_custkey * 0.7310585786300049::DOUBLE AS t FROM customer), boxes(axis, part, x0, x1, y0, y1, z0, z1) AS (VALUES "
+    boxes = []
+    for axis in range(3):
+        for part in range(2):
+            ends = [v for d in range(3) for v in ((0.5 if part else 0.0, 1.0 if part else 0.5) if d == axis else (0.0, 1.0))]
+            boxes.append(f"({axis}, {part}, {', '.join(f'{v}::DOUBLE' for v in ends)})")
+    out += ", ".join(boxes) + "), c AS (SELECT view, axis, part, i, t, (CASE WHEN i & 1 = 1 THEN x1 ELSE x0 END) - 0.5 AS x, (CASE WHEN i & 2 = 2 THEN y1 ELSE y0 END) - 0.5 AS y, (CASE WHEN i & 4 = 4 THEN z1 ELSE z0 END) - 0.5 AS z FROM k, boxes, range(8) r(i))"
+    out += ", p AS MATERIALIZED (SELECT view, axis, part, i, 3.5 * (y * cos(t) - x * sin(t)) / (x * cos(t) + y * sin(t) + 2) AS u, 3.5 * z / (x * cos(t) + y * sin(t) + 2) AS v FROM c)"
+    # An edge has all corners to its left: nx u + ny v <= d. The detector reaches from -1 to 1.
+    out += ", e AS (SELECT a.view, a.axis, a.part, a.i, b.i AS j, any_value(b.v - a.v) AS nx, any_value(a.u - b.u) AS ny, any_value((b.v - a.v) * a.u + (a.u - b.u) * a.v) AS d FROM p a JOIN p b ON a.view = b.view AND a.axis = b.axis AND a.part = b.part AND a.i <> b.i JOIN p o ON a.view = o.view AND a.axis = o.axis AND a.part = o.part GROUP BY a.view, a.axis, a.part, a.i, b.i HAVING min((b.u - a.u) * (o.v - a.v) - (b.v - a.v) * (o.u - a.u)) >= -1e-12 AND any_value(abs(b.u - a.u) + abs(b.v - a.v)) > 1e-12)"
+    out += ", h AS MATERIALIZED (SELECT view, axis, row_number() OVER (PARTITION BY view, axis) AS n, nx / l AS nx, ny / l AS ny, d / l AS d FROM (SELECT view, axis, nx, ny, d, sqrt(nx * nx + ny * ny) AS l FROM e UNION ALL SELECT view, axis, nx, ny, 1.0, 1.0 FROM (SELECT DISTINCT view, axis FROM p), (VALUES (1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0)) s(nx, ny)))"
+    out += ", x AS (SELECT a.view, a.axis, a.n AS a, b.n AS b, (a.d * b.ny - b.d * a.ny) / (a.nx * b.ny - b.nx * a.ny) AS u, (a.nx * b.d - b.nx * a.d) / (a.nx * b.ny - b.nx * a.ny) AS v FROM h a JOIN h b ON a.view = b.view AND a.axis = b.axis AND a.n < b.n WHERE abs(a.nx * b.ny - b.nx * a.ny) > 1e-9)"
+    out += ", y AS (SELECT x.view, x.axis, round(u, 10) AS u, round(v, 10) AS v FROM x JOIN h USING (view, axis) GROUP BY x.view, x.axis, x.a, x.b, x.u, x.v HAVING max(nx * u + ny * v - d) <= 1e-10), z AS (SELECT DISTINCT view, axis, u, v FROM y)"
+    out += ", w AS (SELECT *, atan2(v - avg(v) OVER g, u - avg(u) OVER g) AS way FROM z WINDOW g AS (PARTITION BY view, axis)), f AS (SELECT view, axis, u, v, coalesce(lead(u) OVER o, first_value(u) OVER o) AS u1, coalesce(lead(v) OVER o, first_value(v) OVER o) AS v1 FROM w WINDOW o AS (PARTITION BY view, axis ORDER BY way))"
+    return out + " SELECT view, axis, round(coalesce(area, 0), 6) + 0.0 AS area FROM (SELECT DISTINCT view, axis FROM p) LEFT JOIN (SELECT view, axis, 0.5 * abs(sum(u * v1 - u1 * v)) AS area FROM f GROUP BY view, axis) USING (view, axis)"
+
+
+@query(_overlap_sql())
+def overlap_areas(spark, sf_dir):
+    """A cone view for every customer: where the shadows of the two halves overlap, for cuts along each axis."""
+    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("view"), (F.col("c_custkey") * F.lit(0.7310585786300049)).alias("angle"))
+    views = G.cone_beam(views, SPACE, 25, (2.0, 2.0), (10, 10), 2.0, 1.5)
+    cube = ((0.0,) * 3, (1.0,) * 3)
+    found = grcb.overlap_areas(views, [grcb.split_at(cube, 0.5, d) for d in range(3)])
+    return rounded(found.withColumnRenamed("k", "axis"), "view", "axis")
+
+
 @query()
 def partition_continuous(spark, sf_dir):
     tree = grcb.partition(cone_views(spark, sf_dir), SPACE, 2)

@@ -130,9 +130,11 @@ def main(args: list[str] | None = None) -> None:
         for axis in (0, 2):
             halves = grcb.split_at(whole, grcb.split_midway(views, whole, axis), axis)
             print(f"axis {axis}: {grcb.overlaps(views, [halves])[0]:g}")
-            for view in views.limit(8).collect():
-                outlines = [[tuple(map(float, q)) for q in grcb.hull(grcb.projected(view.asDict(), grcb.corners(h)))] for h in halves]
-                Path(a.out, f"overlap_{axis}_{view.view}.svg").write_text(formats.polygon_svg(outlines))
+            shown: dict = {}
+            for r in grcb.outlines(views.limit(8), halves).where("outline IS NOT NULL").collect():
+                shown.setdefault(r.view, {})[r.k] = [tuple(q) for q in r.outline]
+            for view, of in shown.items():
+                Path(a.out, f"overlap_{axis}_{view}.svg").write_text(formats.polygon_svg([of[k] for k in sorted(of)]))
     elif a.tool == "messages":
         rows = {}
         for p in a.p:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rayframe.functions import kernels
+from rayframe.functions import kernels, polygon
+from rayframe.functions import vec as V
 from rayframe.model import Volume
 from rayframe.operators import exchange
 from rayframe.plans import bisection, grcb, statistics, trees
@@ -133,11 +134,108 @@ def test_trivial(scan):
     assert covers(boxes, V8) and volume >= 0 and axis in (0, 1, 2)
 
 
-def test_polygons():
-    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2.0]])
-    assert grcb.area(square) == 4 and grcb.area(grcb.clipped(square, square + 1)) == 1
-    assert len(grcb.clipped(square, square + 5)) == 0
-    assert grcb.area(grcb.hull(np.vstack([square, [[1, 1], [0.5, 0.2]]]))) == 4
+def plain_hull(points):
+    pts = sorted(set(map(tuple, points)))
+
+    def half(order):
+        out = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+
+
+def plain_area(p):
+    return 0.5 * abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(p, p[1:] + p[:1], strict=True))) if len(p) > 2 else 0.0
+
+
+def plain_common(a, b):
+    """The area of two convex polygons' common part by the inclusion of a fine grid's cells."""
+    n = 400
+    x, y = np.meshgrid((np.arange(n) + 0.5) / n * 2 - 1, (np.arange(n) + 0.5) / n * 2 - 1)
+    inside = np.ones((n, n), bool)
+    for poly in (a, b):
+        for p, q in zip(poly, poly[1:] + poly[:1], strict=True):
+            inside &= (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) >= 0
+    return inside.sum() * 4 / n**2
+
+
+def test_polygons(spark):
+    rng = np.random.default_rng(2)
+    sets = [rng.uniform(-1, 1, (int(k), 2)).tolist() for k in rng.integers(3, 9, 60)]
+    square = [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5]]
+    sets += [square, square + [[0.0, 0.0], [0.0, -0.5], [0.5, 0.5]], [[0.1, 0.1]] * 8, [[0.0, 0.0], [0.5, 0.5], [1.0, 1.0]], [[0.0, 0.0], [0.5, 0.0]]]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(sets, sets[1:] + sets[:1], strict=True))]
+    df = spark.createDataFrame(rows, "i int, a array<array<double>>, b array<array<double>>")
+    df = V.computed(df, ["i"], [F.transform(c, lambda p: polygon.point(p[0], p[1])).alias(c) for c in "ab"])
+    df = V.computed(df, ["i"], [polygon.hull(F.col(c)).alias(c) for c in "ab"])
+    df = V.computed(df, ["i", "a", "b"], [polygon.area(F.col("a")).alias("size"), polygon.clipped(F.col("a"), F.col("b")).alias("both")])
+    for r in df.select("*", polygon.area(F.col("both")).alias("common")).collect():
+        a, b = plain_hull(rows[r.i][1]), plain_hull(rows[r.i][2])
+        got = [tuple(p) for p in r.a]
+        assert sorted(got) == sorted(a) and (len(a) < 3 or abs(r["size"] - plain_area(a)) < 1e-12)
+        if min(len(a), len(b)) > 2:
+            assert abs(r.common - plain_common(a, b)) < 0.02
+            assert r.common == 0 or abs(r.common - plain_area([tuple(p) for p in r.both])) < 1e-12
+        if set(map(tuple, rows[r.i][1])) == set(map(tuple, square)) == set(map(tuple, rows[r.i][2])):
+            assert r.common == 1.0
+
+
+def test_outlines(scan):
+    """Shadows of a box against a plain projection; a view along whose detector a ray runs has none."""
+    views, _, _ = scan
+    box = ((0.2, 0.3, 0.1), (0.7, 0.9, 0.6))
+    got = {r.view: [tuple(p) for p in r.outline] for r in grcb.outlines(views, [box]).collect()}
+    assert len(got) == 6
+    for v in views.collect():
+        s, c, a, b = (np.array([v[f"{x}{d}"] for d in range(3)]) for x in "scab")
+        u, w = a / np.linalg.norm(a), b / np.linalg.norm(b)
+        middle, normal = c + 0.5 * (v.n0 * a + v.n1 * b), np.cross(u, w)
+        points = []
+        for k in range(8):
+            x = np.array([box[k >> d & 1][d] for d in range(3)])
+            hit = s + (x - s) * ((c - s) @ normal / ((x - s) @ normal)) - middle
+            points.append((hit @ u, hit @ w))
+        want = plain_hull([tuple(np.round(p, 9)) for p in points])
+        assert sorted(tuple(np.round(p, 9)) for p in got[v.view]) == sorted(want)
+    first = views.filter("view = 0").first()
+    source = tuple(first[f"s{d}"] for d in range(3))  # rays to a corner there have no way to the detector
+    assert grcb.outlines(views.filter("view = 0"), [(source, (2.0, 2.0, 2.0))]).first().outline is None
+    assert grcb.overlaps(views, [(box, box), (box, ((0.2, 0.3, 0.6), (0.7, 0.9, 0.9)))])[0] > 0
+
+
+def test_search(scan, monkeypatch):
+    """All keys at once come to the cuts of plain halving, in a number of jobs that does not depend on their number."""
+    views, _, _ = scan
+    boxes = [((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)), ((0.0, 0.2, 0.1), (0.5, 0.9, 0.4)), ((0.3, 0.0, 0.0), (0.4, 1.0, 1.0))]
+    keys = [(v, d) for v in boxes for d in range(3)]
+
+    def plain(weight, v, axis, tolerance):
+        low, high = v[0][axis], v[1][axis]
+        while high - low >= tolerance:
+            c = 0.5 * (low + high)
+            left, right = (weight(x) for x in grcb.split_at(v, c, axis))
+            low, high = (low, c) if left > right else (c, high)
+        return 0.5 * (low + high)
+
+    weight = lambda v: float(np.prod([np.exp(v[1][d]) - np.exp(v[0][d]) for d in range(3)]))
+    jobs = []
+    for some in (keys[:1], keys):
+        jobs.append(0)
+
+        def weigh(of):
+            jobs[-1] += 1
+            return [weight(v) for v in of]
+
+        got = grcb.search(some, 100, lambda v, d: 1e-3 * (v[1][d] - v[0][d]), weigh)
+        assert got == [plain(weight, v, d, 1e-3 * (v[1][d] - v[0][d])) for v, d in some]
+    assert jobs == [4, 4]
+    assert grcb.cuts_equal_shadow(views, keys[:3]) == [grcb.split_equal_shadow(views, v, d) for v, d in keys[:3]]
+    monkeypatch.setattr(grcb, "AHEAD", 1)
+    assert grcb.cuts_equal_shadow(views, keys[:1]) == [plain(lambda v: grcb.shadow_areas(views, [v])[0], *keys[0], 0.01)]
 
 
 @pytest.mark.parametrize("splitter", ["midway", "equal_shadow", "smart_simple"])
@@ -158,6 +256,9 @@ def test_loads(scan):
     assert all(x > 0 for x in loads) and abs(loads[0] - loads[1]) < 0.1 * loads[0] and loads[2] <= loads[1] + 1e-9
     c = grcb.split_equal_load("low", "two_dim")(views, cube, 0)
     assert 0.3 < c < 0.7
+    halves = grcb.split_at(cube, 0.25, 1)
+    both = grcb.loads(views, [cube, *halves], "medium", "three_dim")
+    assert both[0] == grcb.load(views, cube, "medium", "three_dim") and abs(both[0] - both[1] - both[2]) < 0.05 * both[0]
 
 
 def test_simple_split():
