@@ -104,16 +104,19 @@ def zipped(images: list[DataFrame], names: list[str]) -> DataFrame:
     return every.groupBy("voxel").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("value"))), F.lit(0.0)).alias(n) for k, n in enumerate(names)])
 
 
-def phantom(spark: SparkSession, volume: Volume, kind: str = "modified", within: Volume | None = None) -> DataFrame:
+def phantom(spark: SparkSession, volume: Volume, kind: str = "modified", within: Volume | None = None, voxels: DataFrame | None = None) -> DataFrame:
     """(voxel, value) of every voxel of a 2-D or 3-D phantom that fills ``within``, by default the volume itself.
 
+    ``voxels``: only those of its column ``voxel``, row by row.
+
     A voxel's lower corner decides. In three dimensions ellipsoids are turned about axis 1 and further angles don't count.
     """
     within = within or volume
     if kind not in ("modified", "original") or kind == "original" and volume.dim == 3:
         raise ValueError(f"no {kind} phantom in {volume.dim} dimensions")
     x = [2 * ((o + F.col(f"i{d}") / n * length - wo) / wl) - 1 for d, (o, n, length, wo, wl) in enumerate(zip(volume.origin, volume.voxels, volume.lengths, within.origin, within.lengths, strict=True))]
-    rows = volume.grid(spark).select("voxel", *V.named(x, "x"))
+    rows = volume.grid(spark) if voxels is None else voxels.select("voxel", *V.named(volume.unroll(F.col("voxel")), "i"))
+    rows = rows.select("voxel", *V.named(x, "x"))
     total = F.lit(0.0)
     if volume.dim == 2:
         for value, a, b, x0, y0, angle in MODIFIED if kind == "modified" else SHEPP_LOGAN:

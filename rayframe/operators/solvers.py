@@ -32,6 +32,29 @@ def _vector(spark, key: str) -> DataFrame:
     return spark.createDataFrame([], f"{key} long, value double")
 
 
+class _Vectors:
+    """Vectors of an iteration: once their successors are written, what nothing reads any more is deleted."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+        self.given: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        self.held.append(keep(df, what))
+        return self.held[-1]
+
+    def give(self, callback, *vectors, k: int) -> None:
+        """A callback's vectors are its own from then on."""
+        self.given += [v for v in vectors if not any(v is x for x in self.given)]
+        callback(vectors[0], k, *vectors[1:])
+
+    def only(self, *needed: DataFrame) -> None:
+        for v in self.held:
+            if not any(v is x for x in (*needed, *self.given)):
+                discard(v)
+        self.held = [v for v in self.held if any(v is x for x in needed)]
+
+
 class Copies(NamedTuple):
     """A matrix for products with images (joined by voxel) and with projections (joined by line)."""
 
@@ -104,26 +127,29 @@ def cgls(matrix: DataFrame, projections: DataFrame, iterations: int = 10, callba
     if preconditioned:
         c = keep(L.column_sums(a.voxel).select("voxel", L.inverse(F.col("value")).alias("w")), "cgls-columns")
     weigh = (lambda r: r.join(c, "voxel").select("voxel", (F.col("value") * F.col("w")).alias("value"))) if preconditioned else (lambda r: r)
-    r = keep(a.back(d), "cgls-r")
-    z = keep(weigh(r), "cgls-z") if preconditioned else r
+    vs = _Vectors()
+    r = vs.keep(a.back(d), "cgls-r")
+    z = vs.keep(weigh(r), "cgls-z") if preconditioned else r
     p, gamma = z, L.inner(z, r, "voxel")
     x = _vector(matrix.sparkSession, "voxel")
     for k in range(iterations):
-        t = keep(a.forward(p), "cgls-t")
+        t = vs.keep(a.forward(p), "cgls-t")
         size = L.square(t)
         if gamma == 0.0 or size == 0.0:
             break
         alpha = gamma / size
-        x = keep(L.combine(x, p, "voxel", lambda u, v: u + v * F.lit(alpha)), "cgls-image")  # noqa: B023
-        d = keep(L.combine(d, t, "line", lambda u, v: u - v * F.lit(alpha)), "cgls-d")  # noqa: B023
-        r = keep(a.back(d), "cgls-r")
-        z = keep(weigh(r), "cgls-z") if preconditioned else r
+        x = vs.keep(L.combine(x, p, "voxel", lambda u, v: u + v * F.lit(alpha)), "cgls-image")  # noqa: B023
+        d = vs.keep(L.combine(d, t, "line", lambda u, v: u - v * F.lit(alpha)), "cgls-d")  # noqa: B023
+        r = vs.keep(a.back(d), "cgls-r")
+        z = vs.keep(weigh(r), "cgls-z") if preconditioned else r
         after = L.inner(z, r, "voxel")
         beta, gamma = after / gamma, after
-        p = keep(L.combine(z, p, "voxel", lambda u, v: u + v * F.lit(beta)), "cgls-p")  # noqa: B023
+        p = vs.keep(L.combine(z, p, "voxel", lambda u, v: u + v * F.lit(beta)), "cgls-p")  # noqa: B023
+        vs.only(x, d, r, z, p)
         if callback:
-            callback(x, k)
-    discard(*a)
+            vs.give(callback, x, k=k)
+    vs.only(x)
+    discard(*a, *([c] if preconditioned else []))
     return x
 
 
@@ -136,21 +162,23 @@ def cg(matrix: DataFrame, projections: DataFrame, iterations: int = 10, callback
     a = copies(matrix, "cg")
     r = projections.select("line", F.col("value").cast("double").alias("value"))
     y = _vector(matrix.sparkSession, "line")
-    p, gamma = r, L.square(r)
+    p, gamma, vs = r, L.square(r), _Vectors()
     for k in range(iterations):
-        q = keep(a.back(p), "cg-q")
+        q = vs.keep(a.back(p), "cg-q")
         size = L.square(q)
         if gamma == 0.0 or size == 0.0:
             break
         alpha = gamma / size
-        y = keep(L.combine(y, p, "line", lambda u, v: u + v * F.lit(alpha)), "cg-y")  # noqa: B023
-        r = keep(L.combine(r, a.forward(q), "line", lambda u, v: u - v * F.lit(alpha)), "cg-r")  # noqa: B023
+        y = vs.keep(L.combine(y, p, "line", lambda u, v: u + v * F.lit(alpha)), "cg-y")  # noqa: B023
+        r = vs.keep(L.combine(r, a.forward(q), "line", lambda u, v: u - v * F.lit(alpha)), "cg-r")  # noqa: B023
         after = L.square(r)
         beta, gamma = after / gamma, after
-        p = keep(L.combine(r, p, "line", lambda u, v: u + v * F.lit(beta)), "cg-p")  # noqa: B023
+        p = vs.keep(L.combine(r, p, "line", lambda u, v: u + v * F.lit(beta)), "cg-p")  # noqa: B023
+        vs.only(y, r, p)
         if callback:
             callback(keep(a.back(y), "cg-image"), k)
     x = keep(a.back(y), "cg-image")
+    vs.only()
     discard(*a)
     return x
 
@@ -167,6 +195,7 @@ def sart(matrix: DataFrame, projections: DataFrame, block, beta: float = 0.5, it
     p = projections.select("line", F.col("value").cast("double").alias("value"))
     blocks = [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
     f = coming = _vector(matrix.sparkSession, "voxel")
+    vs = _Vectors()
     for k in range(iterations):
         for i, b in enumerate(blocks):
             if i:
@@ -175,10 +204,14 @@ def sart(matrix: DataFrame, projections: DataFrame, block, beta: float = 0.5, it
             rows = own.select("line").distinct()
             left = L.combine(p.join(rows, "line", "left_semi"), L.forward(own, f), "line", lambda u, v: u - v)
             left = left.join(norms, "line").select("line", (F.col("value") / F.col("norm") * beta).alias("value"))
-            coming = keep(L.combine(coming, L.back(own, left), "voxel", lambda u, v: u + v), "sart-image")
+            coming = vs.keep(L.combine(coming, L.back(own, left), "voxel", lambda u, v: u + v), "sart-image")
+            vs.only(f, coming)
         if callback:
-            callback(coming, k)
-    return coming if commit_last else f
+            vs.give(callback, coming, k=k)
+    found = coming if commit_last else f
+    vs.only(found)
+    discard(a, norms)
+    return found
 
 
 def sart_cg(matrix: DataFrame, projections: DataFrame, block, iterations: int = 10, step: float = 1.0, callback: Callback | None = None) -> DataFrame:
@@ -186,20 +219,23 @@ def sart_cg(matrix: DataFrame, projections: DataFrame, block, iterations: int =
     a = keep(matrix.select("line", "voxel", "value", block.cast("long").alias("block")), "sart-matrix", by="block")
     p = projections.select("line", F.col("value").cast("double").alias("value"))
     blocks = [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
-    f = _vector(matrix.sparkSession, "voxel")
+    f, vs = _vector(matrix.sparkSession, "voxel"), _Vectors()
     for k in range(iterations):
         for b in blocks:
             own = a.filter(F.col("block") == b).drop("block")
             rows = own.select("line").distinct()
-            left = keep(L.combine(p.join(rows, "line", "left_semi"), L.forward(own, f), "line", lambda u, v: u - v), "sart-left")
-            q = keep(L.back(own, left), "sart-q")
+            left = vs.keep(L.combine(p.join(rows, "line", "left_semi"), L.forward(own, f), "line", lambda u, v: u - v), "sart-left")
+            q = vs.keep(L.back(own, left), "sart-q")
             size = L.square(q)
             if size == 0.0:
                 continue
             alpha = step * L.square(left) / size
-            f = keep(L.combine(f, q, "voxel", lambda u, v: u + v * F.lit(alpha)), "sart-image")  # noqa: B023
+            f = vs.keep(L.combine(f, q, "voxel", lambda u, v: u + v * F.lit(alpha)), "sart-image")  # noqa: B023
+            vs.only(f)
         if callback:
-            callback(f, k)
+            vs.give(callback, f, k=k)
+    vs.only(f)
+    discard(a)
     return f
 
 
@@ -212,15 +248,18 @@ def column_action_block(matrix: DataFrame, projections: DataFrame, block, beta:
     norms = keep(L.square_norms(a, "voxel").filter(F.col("value") > 1e-5).select("voxel", F.col("value").alias("norm")), "column-norms")
     blocks = list(order) if order is not None else [r[0] for r in a.select("block").distinct().orderBy("block").collect()]
     r = projections.select("line", F.col("value").cast("double").alias("value"))
-    x = _vector(matrix.sparkSession, "voxel")
+    x, vs = _vector(matrix.sparkSession, "voxel"), _Vectors()
     for k in range(sweeps):
         for b in blocks:
             own = a.filter(F.col("block") == b).drop("block")
-            step = keep(L.back(own, r).join(norms, "voxel").select("voxel", (F.col("value") / F.col("norm") * beta).alias("value")), "column-step")
-            x = keep(L.combine(x, step, "voxel", lambda u, v: u + v), "column-image")
-            r = keep(L.combine(r, L.forward(own, step), "line", lambda u, v: u - v), "column-residual")
+            step = vs.keep(L.back(own, r).join(norms, "voxel").select("voxel", (F.col("value") / F.col("norm") * beta).alias("value")), "column-step")
+            x = vs.keep(L.combine(x, step, "voxel", lambda u, v: u + v), "column-image")
+            r = vs.keep(L.combine(r, L.forward(own, step), "line", lambda u, v: u - v), "column-residual")
+            vs.only(x, r)
         if callback:
-            callback(x, k, r)
+            vs.give(callback, x, r, k=k)
+    vs.only(x)
+    discard(a, norms)
     return x
 
 

@@ -148,3 +148,10 @@ def regularizer_volume(volume: Volume, of: list[Box]) -> int:
         return 2 * (x * y + (x - 1) * z + (y - 1) * (z - 1))
 
     return sum(surface(*[hi - lo + 1 for lo, hi in b]) for b in of) - surface(*volume.voxels)
+
+
+def regularizer_rows(parts: DataFrame, volume: Volume) -> DataFrame:
+    """One row: volume, the same from a table of parts (lo_0, hi_0, ..), however many."""
+    x, y, z = (F.col(f"hi_{d}") - F.col(f"lo_{d}") + 1 for d in range(3))
+    whole = regularizer_volume(volume, [])
+    return parts.agg((F.coalesce(F.sum(2 * (x * y + (x - 1) * z + (y - 1) * (z - 1))), F.lit(0)) + whole).cast("long").alias("volume"))

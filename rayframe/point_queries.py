@@ -10,7 +10,7 @@ from .functions import vec as V
 from .model import Volume
 from .operators import exchange, image
 from .plans import statistics, trees
-from .queries import CONE_VIEWS, FIG, FOUR, FULL, GOODS_SQL, PART, PLANE, RAY_16, SECOND, SPACE, TREE, TURN, _shadow_sql, _shadows, cone_rays, cone_views, goods, goods_weights, picture, plane_rays, query, rounded, table
+from .queries import CONE_VIEWS, FIG, FOUR, FULL, GOODS_SQL, PART, PLANE, RAY_16, SECOND, SPACE, TREE, TURN, _named_voxels, _shadow_sql, _shadows, cone_rays, cone_views, goods, goods_weights, named_voxels, picture, plane_rays, query, rounded, table
 from .sources import geometry as G
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -200,12 +200,12 @@ def _original_sql(n: int) -> str:
     for value, a, b, x0, y0, angle in image.SHEPP_LOGAN:
         co, si = cos(angle * pi / 180), sin(angle * pi / 180)
         total.append(f"CASE WHEN pow((x - {x0!r}) * {co!r} + (y - {y0!r}) * {si!r}, 2) / {a * a!r} + pow((y - {y0!r}) * {co!r} - (x - {x0!r}) * {si!r}, 2) / {b * b!r} <= 1.0 THEN {value!r}::DOUBLE ELSE 0 END")
-    return f"SELECT r AS voxel, round({' + '.join(total)}, 6) + 0.0 AS value FROM (SELECT r, 2.0 * (r % {n}) / {n} - 1 AS x, 2.0 * (r // {n}) / {n} - 1 AS y FROM range({n * n}) t(r))"
+    return f"SELECT r AS voxel, round({' + '.join(total)}, 6) + 0.0 AS value FROM (SELECT r, 2.0 * (r % {n}) / {n} - 1 AS x, 2.0 * (r // {n}) / {n} - 1 AS y FROM ({_named_voxels(n * n)}) t(r))"
 
 
 @query(_original_sql(61))
 def phantom_original(spark, sf_dir):
-    return rounded(image.phantom(spark, Volume.cube(61, 2), "original"), "voxel")
+    return rounded(image.phantom(spark, Volume.cube(61, 2), "original", voxels=named_voxels(spark, sf_dir, 61**2)), "voxel")
 
 
 @query(
@@ -236,9 +236,12 @@ def orthogonal_slices(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("WITH b(part, x0, x1, y0, y1, z0, z1) AS (VALUES (0, 0, 6, 0, 4, 0, 12), (1, 0, 6, 4, 12, 0, 12), (2, 6, 12, 0, 12, 0, 8), (3, 6, 12, 0, 12, 8, 12)) SELECT part, " + ", ".join(f"round({lo} / 12.0::DOUBLE, 6) AS origin_{d}, round(({hi} - {lo}) / 12.0::DOUBLE, 6) AS length_{d}" for d, (lo, hi) in enumerate((("x0", "x1"), ("y0", "y1"), ("z0", "z1")))) + " FROM b")
+@query("SELECT c_custkey AS part, " + ", ".join(f"round((c_custkey * {k} % 6) / 12.0::DOUBLE, 6) AS origin_{d}, round((c_custkey * {n} % 6 + 1) / 12.0::DOUBLE, 6) AS length_{d}" for d, (k, n) in enumerate(((7, 5), (11, 7), (13, 11)))) + " FROM customer")
 def local_volumes(spark, sf_dir):
-    return rounded(exchange.local_volumes(trees.parts(spark, trees.boxes(trees.parsed(trees.serialized(FOUR)), SPACE)), SPACE), "part")
+    """A box for every customer."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("part"), *[(F.col("c_custkey") * k % 6).alias(f"lo_{d}") for d, k in enumerate((7, 11, 13))])
+    rows = rows.select("*", *[(F.col(f"lo_{d}") + F.col("part") * n % 6).alias(f"hi_{d}") for d, n in enumerate((5, 7, 11))])
+    return rounded(exchange.local_volumes(rows, SPACE), "part")
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import pi
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kernels
@@ -399,6 +399,15 @@ def slice_oblique(spark, sf_dir):
     return image.oblique_slice(goods_weights(spark, sf_dir), GOODS, (-0.813, -0.71, -0.37), (1.2, 0.2, 0.3), (0.1, 1.1, 0.5), 20)
 
 
+def _named_voxels(n: int) -> str:
+    return f"SELECT DISTINCT (l_orderkey * 7 + l_partkey * 31) % {n} FROM lineitem"
+
+
+def named_voxels(spark, sf_dir, n: int) -> DataFrame:
+    """The voxels below ``n`` that line items name."""
+    return table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 7 + F.col("l_partkey") * 31) % n).alias("voxel")).distinct()
+
+
 def _phantom_sql(dim: int, n: int) -> str:
     from math import cos, sin
 
@@ -414,17 +423,17 @@ def _phantom_sql(dim: int, n: int) -> str:
             r = f"pow(((x - {x0!r}) * {co!r} + (z - {z0!r}) * {si!r}) / {a!r}, 2) + pow((y - {y0!r}) / {b!r}, 2) + pow(((z - {z0!r}) * {co!r} - (x - {x0!r}) * {si!r}) / {c!r}, 2)"
             total.append(f"CASE WHEN {r} <= 1.0 THEN {value!r}::DOUBLE ELSE 0 END")
     z = f", 2.0 * (r // {n * n}) / {n} - 1 AS z" if dim == 3 else ""
-    return f"SELECT r AS voxel, round({' + '.join(total)}, 6) + 0.0 AS value FROM (SELECT r, 2.0 * (r % {n}) / {n} - 1 AS x, 2.0 * ((r // {n}) % {n}) / {n} - 1 AS y{z} FROM range({n**dim}) t(r))"
+    return f"SELECT r AS voxel, round({' + '.join(total)}, 6) + 0.0 AS value FROM (SELECT r, 2.0 * (r % {n}) / {n} - 1 AS x, 2.0 * ((r // {n}) % {n}) / {n} - 1 AS y{z} FROM ({_named_voxels(n**dim)}) t(r))"
 
 
 @query(_phantom_sql(2, 61))
 def phantom_plane(spark, sf_dir):
-    return rounded(image.phantom(spark, Volume.cube(61, 2)), "voxel")
+    return rounded(image.phantom(spark, Volume.cube(61, 2), voxels=named_voxels(spark, sf_dir, 61**2)), "voxel")
 
 
 @query(_phantom_sql(3, 23))
 def phantom_space(spark, sf_dir):
-    return rounded(image.phantom(spark, Volume.cube(23)), "voxel")
+    return rounded(image.phantom(spark, Volume.cube(23), voxels=named_voxels(spark, sf_dir, 23**3)), "voxel")
 
 
 # Geometries
@@ -554,7 +563,7 @@ def rays_laminography(spark, sf_dir):
 
 def _draw_sql(k: int, seed: int) -> str:
     x = f"(line % {G.PRIME})"
-    out = f"SELECT line, {x} AS x FROM range(1000) t(line)"
+    out = f"SELECT line, {x} AS x FROM (SELECT o_orderkey AS line FROM orders)"
     for r in range(4):
         out = f"SELECT line, (x * x + x * 48271 + {(seed * 7919 + k * 104729 + r * 1299709 + 12345) % G.PRIME}) % {G.PRIME} AS x FROM ({out})"
     return f"SELECT line, (x + 0.5) / {G.PRIME}.0::DOUBLE AS r{k} FROM ({out})"
@@ -571,7 +580,8 @@ def _random_sql(seed: int) -> str:
 
 @query(_random_sql(7))
 def rays_random(spark, sf_dir):
-    return rounded(G.random_rays(spark, SPACE, 1000, 7).drop("view", "p0", "p1"), "line")
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"))
+    return rounded(G.random_rays(spark, SPACE, 0, 7, lines).drop("view", "p0", "p1"), "line")
 
 
 CONE = (_about(("-2.0", "0", "0"), 2), _about(("1.5", "0", "0"), 2), [_turned(("0", "1", "0"), 2), ["0", "0", "1"]])
@@ -770,10 +780,16 @@ def load_imbalance(spark, sf_dir):
 
 
 @query(
-    "WITH b(x, y, z) AS (VALUES (25, 6, 9), (25, 5, 9), (25, 11, 4), (25, 11, 5)) SELECT CAST(sum(2 * (x * y + (x - 1) * z + (y - 1) * (z - 1))) - 2 * (50 * 11 + 49 * 9 + 10 * 8) AS BIGINT) AS volume FROM b"
+    "WITH s AS (SELECT DISTINCT l_suppkey * 7 % 50 AS pos FROM lineitem), b AS (SELECT lead(pos, 1, 50) OVER (ORDER BY pos) - CASE WHEN lag(pos) OVER (ORDER BY pos) IS NULL THEN 0 ELSE pos END AS x, 11 AS y, 9 AS z FROM s) "
+    "SELECT CAST(sum(2 * (x * y + (x - 1) * z + (y - 1) * (z - 1))) - 2 * (50 * 11 + 49 * 9 + 10 * 8) AS BIGINT) AS volume FROM b"
 )
 def regularizer_volume(spark, sf_dir):
-    return spark.createDataFrame([(statistics.regularizer_volume(GOODS, trees.boxes(TREE, GOODS)),)], "volume long")
+    """Slabs that begin where suppliers' numbers say."""
+    at = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 7 % 50).alias("at")).distinct()  # fifty at most
+    order = Window.orderBy("at")
+    low, high = F.when(F.lag("at").over(order).isNull(), F.lit(0)).otherwise(F.col("at")), F.lead("at", 1, 50).over(order) - 1
+    parts = at.select(low.alias("lo_0"), high.alias("hi_0"), F.lit(0).alias("lo_1"), F.lit(10).alias("hi_1"), F.lit(0).alias("lo_2"), F.lit(8).alias("hi_2"))
+    return statistics.regularizer_rows(parts, GOODS)
 
 
 @query(
@@ -953,7 +969,7 @@ def slice_registry(spark, sf_dir):
 
 
 def _hilbert_sql(order: int) -> str:
-    out = f"SELECT id, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM range({4**order}) t(id)"
+    out = f"SELECT id, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM (SELECT DISTINCT l_orderkey % {4**order} AS id FROM lineitem)"
     for k in range(order):
         out = f"SELECT *, (id >> {2 * k}) & 3 AS pair FROM ({out})"
         out = f"SELECT id, pair, CASE WHEN pair = 3 THEN {(1 << k) - 1} - x ELSE x END AS x, CASE WHEN pair = 3 THEN {(1 << k) - 1} - y ELSE y END AS y FROM ({out})"
@@ -961,9 +977,10 @@ def _hilbert_sql(order: int) -> str:
     return f"SELECT id, x AS h0, y AS h1 FROM ({out})"
 
 
-@query(_hilbert_sql(4))
+@query(_hilbert_sql(8))
 def hilbert_curve(spark, sf_dir):
-    return spark.range(256).select("id", *V.named(V.hilbert(F.col("id"), 4), "h"))
+    ids = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4**8).alias("id")).distinct()
+    return ids.select("id", *V.named(V.hilbert(F.col("id"), 8), "h"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,11 +205,12 @@ def draw(row: Column, k: int, seed: int) -> Column:
     return (x + 0.5) / float(PRIME)
 
 
-def random_rays(spark: SparkSession, volume: Volume, n: int, seed: int = 0) -> DataFrame:
-    """Rays that start at random places of the boundary and point inwards."""
+def random_rays(spark: SparkSession, volume: Volume, n: int, seed: int = 0, lines: DataFrame | None = None) -> DataFrame:
+    """Rays that start at random places of the boundary and point inwards: ``n`` of them, or one for each of ``lines``."""
     dim = volume.dim
     row = F.col("line")
-    rows = V.computed(spark.range(n).withColumnRenamed("id", "line"), ["line"], [draw(row, k, seed).alias(f"r{k}") for k in range(1 + 3 * dim)])
+    numbers = spark.range(n).withColumnRenamed("id", "line") if lines is None else lines.select("line")
+    rows = V.computed(numbers, ["line"], [draw(row, k, seed).alias(f"r{k}") for k in range(1 + 3 * dim)])
     rows = V.computed(rows, ["line", *[f"r{k}" for k in range(1, 1 + 3 * dim)]], [F.floor(F.col("r0") * (2 * dim)).cast("int").alias("face")])
     # Two uniform numbers make a normal one; its direction does not depend on the axes.
     g = [F.sqrt(-2 * F.ln(F.col(f"r{1 + dim + d}"))) * F.cos(F.col(f"r{1 + 2 * dim + d}") * (2 * pi)) for d in range(dim)]

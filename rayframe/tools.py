@@ -107,7 +107,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--iterations", type=int, default=10)
     parser.add_argument("--out", default=".")
     a = parser.parse_args(args)
-    spark = SparkSession.builder.getOrCreate()
+    # Without it PySpark looks up where each column was made: some 3 ms an operation, most of the time of small jobs.
+    spark = SparkSession.builder.config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     volume, views = formats.read_specification(spark, Path(a.spec).read_text(), a.k or min(4 * max(a.p), 512))
     rays = geometry.rays(views, 3)
     if a.tool == "partition":

@@ -1,9 +1,12 @@
 """Products, solvers and images against numpy."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rayframe import storage
 from rayframe.functions import kernels
 from rayframe.model import Volume
 from rayframe.operators import image, linop, solvers
@@ -210,3 +213,20 @@ def test_vectors_beyond_broadcasts(spark, system, solver):
         solvers.discard(*a)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("solve", ["sirt", "landweber", "cgls", "cgls2", "cg", "sart", "sart_cg", "column_action_block"])
+def test_nothing_is_left(spark, tmp_path, monkeypatch, solve):
+    """After a run the shared folder holds its result and nothing else; a callback's images stay readable."""
+    a = spark.createDataFrame([(i, j, 1.0 + (i * 7 + j * 3) % 5) for i in range(6) for j in range(4)], "line long, voxel long, value double")
+    p = spark.createDataFrame([(i, 3.0 + i) for i in range(6)], "line long, value double")
+    number = itertools.count()
+    monkeypatch.setattr(storage, "shared_dir", lambda _, what: f"{tmp_path.as_uri()}/rayframe/{what}-{next(number)}")
+    block = {"sart": (F.floor(F.col("line") / 2),), "sart_cg": (F.floor(F.col("line") / 2),), "column_action_block": (F.floor(F.col("voxel") / 2),)}.get(solve, ())
+    rounds = {"sweeps": 3} if solve == "column_action_block" else {"iterations": 3}
+    x = getattr(solvers, solve)(a, p, *block, **rounds)
+    rows = sorted(map(tuple, x.collect()))
+    assert len(rows) == 4 and len(list((tmp_path / "rayframe").iterdir())) == 1
+    seen = []
+    y = getattr(solvers, solve)(a, p, *block, **rounds, callback=lambda image, *_: seen.append(image))
+    assert sorted(map(tuple, y.collect())) == rows and len(seen) == 3 and all(image.count() == 4 for image in seen)
