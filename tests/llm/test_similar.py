@@ -115,3 +115,29 @@ def test_edges(odd, empty):
     got = similar.distinct_documents(odd)
     assert got.columns == odd.columns and similar.distinct_documents(empty).count() == 0
     assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (1, 3, None, 10, 11, 12)))
+
+
+def test_short_texts(spark):
+    """Pairs of 8 and 9 words (sets of 4 and 5) and of 16 to 18 words, at a similarity of just 0.8: the later of each goes."""
+    rows, n = [], 0
+    for i in range(400):
+        words = [f"w{i}x{j}" for j in range(9)]
+        rows += [(n, " ".join(words[:8])), (n + 1, " ".join(words))]
+        n += 2
+    for i in range(200):
+        words = [f"v{i}x{j}" for j in range(19)]  # 12 and 15 shingles
+        rows += [(n, " ".join(words[:16])), (n + 1, " ".join(words))]
+        n += 2
+    left = sorted(r.doc_id for r in similar.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect())
+    assert left == list(range(0, n, 2))
+
+
+def test_chances():
+    """Bits of small sets differ as often as random hashes say; the radius is never below the limit's."""
+    assert [round(similar.differing(n, 0.8), 4) for n in (1, 3, 4, 5, 12)] == [0, 0, 0.1875, 0.1562, 0.1611]
+    rng = np.random.default_rng(1)
+    for n, more in ((4, 1), (12, 3)):
+        bits = rng.integers(0, 2, (n + more, 200_000))
+        apart = ((2 * bits[:n].sum(0) > n) != (2 * bits.sum(0) > n + more)).mean()
+        assert abs(apart - similar.differing(n, 0.8)) < 0.005 or n == 12 and apart <= similar.differing(n, 0.8) + 0.005
+    assert similar.radii(0.8, 1024).min() == similar.radius(0.8, 1024) == 201 and similar.radii(0.8, 1024)[4] > 230
