@@ -283,31 +283,64 @@ def simple_split_rows(samples: DataFrame, a: float, b: float, ties: str, ranges:
     return max(cut.y, min(cut.r, c))
 
 
-def split_smart(views: DataFrame, v: Cube, axis: int, samples: DataFrame | None = None, precision: str = "low", seed: int = 0, bins: int = 4096) -> float:
-    """The weighted median cut of 1 / r^2 samples.
+#: When the adaptive splitter has found its cut (change and number of rounds), and its samples at most.
+STEADY = {"low": (1e-3, 10), "medium": (1e-5, 50), "high": (1e-8, 100)}
+MOST_SAMPLES = 10_000
+#: Samples of a round of the adaptive splitter.
+ROUND = 50
 
-    Samples are added up in layers along the axis by Spark, so the driver sees ``bins`` rows however many there are.
-    """
-    if samples is None:
-        samples = weighted(points(views.sparkSession, v, SPLIT_SAMPLES[precision], seed), views, True)
-    a, b = v[0][axis], v[1][axis]
-    ok = F.lit(True)
-    for d in range(3):
-        ok = ok & (F.col(f"x{d}") > v[0][d]) & (F.col(f"x{d}") < v[1][d])
-    layer = F.floor((F.col(f"x{axis}") - a) / (b - a) * bins)
-    rows = samples.filter(ok).groupBy(layer.alias("k")).agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("n"), F.max(f"x{axis}").alias("last")).orderBy("k").collect()
-    n, total = sum(r.n for r in rows), sum(r.f for r in rows)
+
+def _cut(layers: list[tuple[float, int, float]], a: float, b: float) -> float:
+    """The cut of an interval from the (load, samples, last coordinate) of its layers in order."""
+    n, total = sum(m for _, m, _ in layers), sum(f for f, _, _ in layers)
     if n < 10:
         return 0.5 * (a + b)
     left, m = 0.0, 0
-    for r, after in zip(rows, rows[1:], strict=False):
-        left, m = left + r.f, m + r.n
-        if left / m * (after.last - a) > (total - left) / (n - m) * (b - after.last):
+    for (f, k, last), (_, _, after) in zip(layers, layers[1:], strict=False):
+        left, m = left + f, m + k
+        if left / m * (after - a) > (total - left) / (n - m) * (b - after):
             mean_l, mean_r = left / m, (total - left) / (n - m)
-            return max(r.last, min(after.last, (mean_r * b + mean_l * a) / (mean_l + mean_r)))
+            return max(last, min(after, (mean_r * b + mean_l * a) / (mean_l + mean_r)))
     return 0.5 * (a + b)
 
 
+def steady(cuts: list[float], rho: float, rounds: int) -> bool:
+    """Whether each of the last ``rounds`` cuts lies within ``rho`` of the one ``rounds`` before it."""
+    return len(cuts) >= 2 * rounds and all(abs(cuts[-k] - cuts[-k - rounds]) < rho for k in range(1, rounds + 1))
+
+
+def split_smart(views: DataFrame, v: Cube, axis: int, samples: DataFrame | None = None, precision: str = "low", seed: int = 0, bins: int = 4096) -> float:
+    """The weighted median cut of 1 / r^2 samples.
+
+    Samples are added up in layers along the axis by Spark, so the driver sees ``bins`` rows however many there are.
+    Without ``samples`` they are drawn in rounds until the cut holds still as ``STEADY`` says, or there are ``MOST_SAMPLES``;
+    a job draws twice as many rounds as the rule looks back on, and layers of rounds add up to those of all.
+    """
+    a, b = v[0][axis], v[1][axis]
+    layer = F.floor((F.col(f"x{axis}") - a) / (b - a) * bins).alias("layer")
+    sums = [F.sum("f").alias("f"), F.count(F.lit(1)).alias("n"), F.max(f"x{axis}").alias("last")]
+    if samples is not None:
+        ok = F.lit(True)
+        for d in range(3):
+            ok = ok & (F.col(f"x{d}") > v[0][d]) & (F.col(f"x{d}") < v[1][d])
+        return _cut([(r.f, r.n, r["last"]) for r in samples.filter(ok).groupBy(layer).agg(*sums).orderBy("layer").collect()], a, b)
+    rho, rounds = STEADY[precision]
+    cuts: list[float] = []
+    sketch: dict[int, tuple[float, int, float]] = {}
+    while len(cuts) * ROUND < MOST_SAMPLES:
+        count = min(2 * rounds * ROUND, MOST_SAMPLES - len(cuts) * ROUND)
+        drawn = weighted(points(views.sparkSession, v, count, seed + len(cuts)), views, True)
+        rows = drawn.groupBy(F.floor(F.col("id") / ROUND).alias("round"), layer).agg(*sums).collect()  # a row a sample at most
+        for k in range(-(-count // ROUND)):
+            for r in (r for r in rows if r["round"] == k):
+                f, n, last = sketch.get(r.layer, (0.0, 0, a))
+                sketch[r.layer] = (f + r.f, n + r.n, max(last, r["last"]))
+            cuts.append(_cut([sketch[x] for x in sorted(sketch)], a, b))
+            if steady(cuts, rho, rounds):
+                return cuts[-1]
+    return cuts[-1]
+
+
 def partition(views: DataFrame, volume: Volume, levels: int, splitter: str = "midway", precision: str = "low", method: str = "two_dim", gradient: bool = False, seed: int = 0) -> Tree:
     """The neutral tree of 2^levels parts; of the three axes, the one whose cut has the least overlap is taken."""
     if levels < 1:

@@ -261,6 +261,31 @@ def test_loads(scan):
     assert both[0] == grcb.load(views, cube, "medium", "three_dim") and abs(both[0] - both[1] - both[2]) < 0.05 * both[0]
 
 
+@pytest.mark.parametrize("box", [((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)), ((0.0, 0.2, 0.1), (0.5, 0.9, 0.4)), ((0.3, 0.0, 0.0), (0.4, 1.0, 1.0))])
+def test_adaptive_split(scan, box):
+    """The cut that holds still lies near the sample-exact cut of many more samples."""
+    views, _, _ = scan
+    many = grcb.weighted(grcb.points(views.sparkSession, box, 20_000, 77), views, True).cache()
+    for axis in (0, 2):
+        exact = grcb.simple_split_rows(many.select(F.col(f"x{axis}").alias("y"), "f", "id"), box[0][axis], box[1][axis], "id")
+        assert abs(grcb.split_smart(views, box, axis) - exact) < 0.03 * (box[1][axis] - box[0][axis])
+        assert abs(grcb.split_smart(views, box, axis, many) - exact) < 0.001
+
+
+def test_stop_rule(scan, monkeypatch):
+    views, _, _ = scan
+    assert not grcb.steady([1.0] * 19, 1e-3, 10) and grcb.steady([1.0] * 20, 1e-3, 10) and grcb.steady([9.0] + [1.0] * 20, 1e-3, 10)
+    assert not grcb.steady([1.0] * 15 + [1.1] + [1.0] * 10, 1e-3, 10) and grcb.steady([k * 1e-5 for k in range(30)], 1e-3, 10)
+    drawn = []
+    monkeypatch.setattr(grcb, "points", lambda spark, v, n, seed, f=grcb.points: drawn.append(n) or f(spark, v, n, seed))
+    grcb.split_smart(views, ((0.0,) * 3, (1.0,) * 3), 1, precision="medium", bins=64)
+    assert sum(drawn) == grcb.MOST_SAMPLES  # at this precision the limit ends it
+    drawn.clear()
+    monkeypatch.setitem(grcb.STEADY, "low", (1.0, 10))
+    grcb.split_smart(views, ((0.0,) * 3, (1.0,) * 3), 1)
+    assert drawn == [2 * 10 * grcb.ROUND]
+
+
 def test_simple_split():
     assert grcb.simple_split([(0.1, 1.0)] * 5, 0.0, 1.0) == 0.5
     even = [((i + 0.5) / 100, 1.0) for i in range(100)]
