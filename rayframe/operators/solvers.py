@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..storage import bucketed, discard, keep, size_of
 from . import linop as L
+from . import tall
 
 SEQUENTIAL = 20_000_000
 Callback = Callable[[DataFrame, int], None]
@@ -403,44 +404,55 @@ def column_action_cyclic(matrix: DataFrame, projections: DataFrame, beta: float
 def truncated_svd(matrix: DataFrame, rank: int, oversample: int = 4, powers: int = 2, seed: int = 0, mask=None) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """(singular values, left vectors (k, line, value), right vectors (k, voxel, value)) by a random range finder.
 
-    Products with the matrix run in Spark on all columns at once; only Gram matrices of ``rank + oversample`` columns
-    come to the driver, from which tall matrices are orthonormalised where they are. ``mask``: a condition on ``voxel``
-    or ``line``; what it leaves out counts as zero.
+    Products with the matrix run in Spark on all ``rank + oversample`` columns at once, which are then orthonormalised
+    by a tree of QR factorisations (``tall.factor``), so values far below the largest are as exact as in a dense
+    factorisation. Only triangles of that many columns come to the driver. With at least as many columns as the matrix
+    has lines or voxels the result is the whole decomposition; vectors beyond the matrix' rank have a value of 0.
+    ``mask``: a condition on ``voxel`` or ``line``; what it leaves out counts as zero. Elements that hit a voxel twice
+    are added up; a null value counts as zero.
     """
-    a, m = keep((matrix if mask is None else matrix.filter(mask)).select("line", "voxel", "value"), "svd-matrix"), rank + oversample
+    m, vs = rank + oversample, _Vectors()
+    a = keep((matrix if mask is None else matrix.filter(mask)).select("line", "voxel", F.coalesce("value", F.lit(0.0)).cast("double").alias("value")), "svd-matrix")
+    names = tall.columns(m)
 
     def times(x: DataFrame, on: str, to: str) -> DataFrame:
-        return keep(a.join(x.select(on, "k", F.col("value").alias("x")), on).groupBy(to, "k").agg(F.sum(F.col("value") * F.col("x")).alias("value")), "svd-product")
-
-    def gram(x: DataFrame, on: str) -> np.ndarray:
-        y = x.select(on, F.col("k").alias("k2"), F.col("value").alias("y"))
-        out = np.zeros((m, m))
-        for i, j, v in x.join(y, on).groupBy("k", "k2").agg(F.sum(F.col("value") * F.col("y"))).collect():
-            out[i, j] = v
-        return out
-
-    def mixed(x: DataFrame, on: str, by: np.ndarray) -> DataFrame:
-        pairs = x.sparkSession.createDataFrame([(i, j, float(by[i, j])) for i in range(by.shape[0]) for j in range(by.shape[1])], "k int, k2 int, w double")
-        return keep(x.join(F.broadcast(pairs), "k").groupBy(on, "k2").agg(F.sum(F.col("value") * F.col("w")).alias("value")).withColumnRenamed("k2", "k"), "svd-basis")
-
-    def orthonormal(x: DataFrame, on: str) -> DataFrame:
-        for _ in range(2):
-            w, v = np.linalg.eigh(gram(x, on))
-            w = np.where(w > max(w.max(), 0) * 1e-14, w, np.inf)
-            x = mixed(x, on, v / np.sqrt(w))
-        return x
-
-    start = a.select("voxel").distinct().select("voxel", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
+        sums = [F.sum(F.col("value") * F.col(c)).alias(c) for c in names]
+        return vs.keep(a.join(x, on).groupBy(to).agg(*sums), "svd-product")
+
+    def orthonormal(x: DataFrame, on: str) -> tall.Factors:
+        found = tall.factor(x, on, m)
+        vs.held.append(found.q)
+        vs.only(found.q)
+        return found
+
     # A hash of the voxel, not a draw, so that a lost task makes the same numbers again.
-    u = [(F.pmod(F.xxhash64("voxel", "k", F.lit(seed + i)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for i in range(2)]
-    x = times(start.withColumn("value", F.sqrt(-2 * F.log(u[0])) * F.cos(u[1] * 2 * np.pi)), "voxel", "line")
+    u = lambda k, i: (F.pmod(F.xxhash64("voxel", F.lit(k), F.lit(seed + i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = [(F.sqrt(-2 * F.log(u(k, 0))) * F.cos(u(k, 1) * 2 * np.pi)).alias(c) for k, c in enumerate(names)]
+    q = orthonormal(times(a.select("voxel").distinct().select("voxel", *normal), "voxel", "line"), "line").q
     for _ in range(powers):
-        x = times(orthonormal(times(orthonormal(x, "line"), "line", "voxel"), "voxel"), "voxel", "line")
-    q = orthonormal(x, "line")
-    b = times(q, "line", "voxel")  # rows of Q^T A
-    w, v = np.linalg.eigh(gram(b, "voxel"))
-    w, v = w[::-1], v[:, ::-1]
-    sigma = np.sqrt(np.maximum(w[:rank], 0))
-    left = mixed(q, "line", v[:, :rank])
-    right = mixed(b, "voxel", v[:, :rank] / np.where(sigma > 0, sigma, np.inf))
-    return sigma, left, right
+        q = orthonormal(times(q, "line", "voxel"), "voxel").q
+        q = orthonormal(times(q, "voxel", "line"), "line").q
+    b = tall.factor(times(q, "line", "voxel"), "voxel", m)  # Q^T A, transposed
+    u_small, sigma, v_small = np.linalg.svd(b.r)
+    left = keep(tall.long_form(tall.times(q, "line", m, v_small[:rank].T), "line", rank), "svd-left")
+    right = keep(tall.long_form(tall.times(b.q, "voxel", m, u_small[:, :rank]), "voxel", rank), "svd-right")
+    vs.only()
+    discard(a, b.q)
+    return sigma[:rank], left, right
+
+
+def low_rank(places: DataFrame, sigma: np.ndarray, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(line, voxel, value): the product of singular values and vectors at the given places (line, voxel).
+
+    Places whose line or voxel has no vector are 0.
+    """
+    weights = F.array(*[F.lit(float(s)) for s in sigma])
+
+    def vectors(x: DataFrame, key: str, name: str) -> DataFrame:
+        """An array a key; there are as many entries as singular values."""
+        ordered = F.array_sort(F.collect_list(F.struct("k", "value")))
+        return x.groupBy(key).agg(F.transform(ordered, lambda p: p["value"]).alias(name))
+
+    rows = places.select("line", "voxel").join(vectors(left, "line", "u"), "line", "left").join(vectors(right, "voxel", "v"), "voxel", "left")
+    terms = F.zip_with(F.zip_with("u", "v", lambda a, b: a * b), weights, lambda a, s: a * s)
+    return rows.select("line", "voxel", F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)).alias("value"))

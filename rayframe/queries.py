@@ -313,6 +313,17 @@ def truncated_svd(spark, sf_dir):
     return solvers.truncated_svd(matrix(spark, sf_dir), 3)[2]
 
 
+@query(
+    "SELECT l_orderkey AS line, CAST(v.k AS INT) AS voxel, round(sum(CASE v.k WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice WHEN 2 THEN l_discount ELSE l_tax END), 4) AS value FROM lineitem, range(4) AS v(k) GROUP BY l_orderkey, v.k"
+)
+def svd_products(spark, sf_dir):
+    """Four sums of each order, put together again from their whole decomposition."""
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line")).agg(*[F.sum(c).alias(c) for c in names])
+    a = sums.select("line", F.posexplode(F.array(*names)).alias("voxel", "value"))
+    return solvers.low_rank(a, *solvers.truncated_svd(a, 4, oversample=0)).withColumn("value", F.round("value", 4))
+
+
 # Images
 
 
