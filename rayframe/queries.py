@@ -18,6 +18,7 @@ from .model import Volume
 from .operators import distributed, exchange, image, linop, solvers
 from .plans import bisection, grcb, statistics, trees
 from .sources import geometry as G
+from .storage import keep, shared_dir
 from .streaming import observe
 
 LINES, CELLS, TURN = 500, 200, 0.123
@@ -979,6 +980,35 @@ def slice_registry(spark, sf_dir):
     return observe.slices(requests)
 
 
+REGISTRY_SQL = "WITH r AS (SELECT user_id AS slice_id, arg_max(event_type, event_id) AS kind, CAST(arg_max(user_id % 3, event_id) AS INT) AS axis, arg_max({position}, event_id) AS position FROM events GROUP BY 1), s AS (SELECT slice_id, axis, position FROM r WHERE kind <> 'error')"
+
+
+@query(REGISTRY_SQL.format(position="value") + " SELECT * FROM s")
+def slice_changes(spark, sf_dir):
+    """The registry of slices as a stateful stream leaves it, from the changes of all its batches."""
+    kind = F.when(F.col("event_type") == "error", "remove").otherwise("set")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), kind.alias("kind"), F.col("user_id").alias("slice_id"), (F.col("user_id") % 3).alias("axis"), F.col("value").alias("position"))
+    requests = keep(events, "slice-requests")
+    log = shared_dir(spark, "slice-log")
+    arriving = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(requests._kept_at)
+    observe.serve_changes(arriving, lambda batch, k: batch.write.mode("overwrite").parquet(f"{log}/batch={k}"), once=True).awaitTermination()
+    return observe.registry(spark.read.schema(f"{observe.CHANGE}, batch long").parquet(log))
+
+
+@query(
+    REGISTRY_SQL.format(position="(event_id % 1000) / 1000.0")
+    + f", {GOODS_SQL}, w AS (SELECT i0, i1, i2, CAST(count(*) AS DOUBLE) AS value FROM v GROUP BY ALL), p AS (SELECT slice_id, axis, least(CAST(floor(CAST(position AS DOUBLE) * CASE axis WHEN 0 THEN 50 WHEN 1 THEN 11 ELSE 9 END) AS BIGINT), CASE axis WHEN 0 THEN 49 WHEN 1 THEN 10 ELSE 8 END) AS layer FROM s) "
+    "SELECT slice_id, CASE axis WHEN 0 THEN i1 + 11 * i2 WHEN 1 THEN i0 + 50 * i2 ELSE i0 + 50 * i1 END AS pixel, value FROM p JOIN w ON CASE axis WHEN 0 THEN i0 WHEN 1 THEN i1 ELSE i2 END = layer"
+)
+def slice_pixels(spark, sf_dir):
+    """The pixels of all slices that are set."""
+    kind = F.when(F.col("event_type") == "error", "remove").otherwise("set")
+    position = (F.col("event_id") % 1000) / F.lit(1000.0)
+    requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), kind.alias("kind"), F.col("user_id").alias("slice_id"), (F.col("user_id") % 3).alias("axis"), position.alias("position"))
+    image = goods(spark, sf_dir).groupBy("voxel").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return observe.slice_pixels(observe.slices(requests), image, GOODS)
+
+
 def _hilbert_sql(order: int) -> str:
     out = f"SELECT id, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM (SELECT DISTINCT l_orderkey % {4**order} AS id FROM lineitem)"
     for k in range(order):
