@@ -18,6 +18,7 @@ from .model import Volume
 from .operators import distributed, exchange, image, linop, solvers
 from .plans import bisection, grcb, statistics, trees
 from .sources import geometry as G
+from .sources import scan
 from .storage import keep, shared_dir
 from .streaming import observe
 
@@ -980,6 +981,29 @@ def slice_registry(spark, sf_dir):
     return observe.slices(requests)
 
 
+def _written_scan(spark, sf_dir) -> str:
+    """The pattern of a stack of images, one for 64 order keys, that executors have written."""
+    at = [F.floor(F.col("l_orderkey") / 64).cast("int").alias("view"), (F.col("l_partkey") % 24).cast("int").alias("pixel_row"), (F.col("l_suppkey") % 32).cast("int").alias("pixel_column")]
+    pattern = f"{shared_dir(spark, 'scan')}/view_*.tif"
+    scan.write_scan(table(spark, sf_dir, "lineitem").groupBy(*at).agg(F.sum("l_quantity").alias("value")), 32, 24, pattern).count()
+    return pattern
+
+
+@query(
+    "WITH p AS (SELECT CAST(l_orderkey // 64 AS INT) AS view, CAST(l_partkey % 24 AS INT) AS r, CAST(l_suppkey % 32 AS INT) AS c, sum(l_quantity) AS value FROM lineitem GROUP BY ALL), v AS (SELECT DISTINCT view FROM p) "
+    "SELECT v.view, (v.view * 24 + y.r) * 32 + x.c AS line, coalesce(p.value, 0) AS value FROM v, range(24) AS y(r), range(32) AS x(c) LEFT JOIN p ON p.view = v.view AND p.r = y.r AND p.c = x.c"
+)
+def scan_round_trip(spark, sf_dir):
+    """A stack of images written by executors and read again by runs of bytes."""
+    return scan.read_scan(spark, _written_scan(spark, sf_dir)).select("view", "line", "value")
+
+
+@query("SELECT CAST(l_orderkey // 64 AS INT) AS view, sum(l_quantity) AS total FROM lineitem WHERE l_orderkey // 64 >= 10 GROUP BY 1")
+def scan_of_some_views(spark, sf_dir):
+    """Sums of the images of a range of views: no other file is opened."""
+    return scan.read_scan(spark, _written_scan(spark, sf_dir)).filter("view >= 10").groupBy("view").agg(F.sum("value").alias("total"))
+
+
 REGISTRY_SQL = "WITH r AS (SELECT user_id AS slice_id, arg_max(event_type, event_id) AS kind, CAST(arg_max(user_id % 3, event_id) AS INT) AS axis, arg_max({position}, event_id) AS position FROM events GROUP BY 1), s AS (SELECT slice_id, axis, position FROM r WHERE kind <> 'error')"
 
 

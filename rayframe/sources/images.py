@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,31 +15,47 @@ from pyspark.sql import functions as F
 from ..model import Volume
 
 # Fixed values of the TIFF 6.0 specification: numbers of the fields used here.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_BYTES, PREDICTOR, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 277, 279, 317, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PREDICTOR, SAMPLE_FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 339
 # Codes of field types to struct formats, of sample formats to numpy kinds.
 FIELD = {1: "B", 3: "H", 4: "I"}
 KIND = {1: "u", 2: "i", 3: "f"}
 
 
-def decode_tiff(content: bytes) -> np.ndarray:
-    """(height, width) array of a file's first picture: one sample a pixel, in strips, uncompressed or deflated.
+class Layout(NamedTuple):
+    """Where a file's first picture lies: strips of ``rows`` rows, the last of what is left."""
+
+    width: int
+    height: int
+    dtype: np.dtype
+    deflated: bool
+    rows: int
+    starts: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+
+def tiff_layout(read: Callable[[int, int], bytes]) -> Layout:
+    """The layout of a TIFF file of which ``read(start, length)`` gives bytes; only its fields are read.
 
-    Anything else raises ValueError.
+    One sample a pixel, in strips, uncompressed or deflated; anything else raises ValueError.
     """
-    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+
+    def unpack(form: str, at: int) -> tuple:
+        return struct.unpack(form, read(at, struct.calcsize(form)))
+
+    order = {b"II": "<", b"MM": ">"}.get(read(0, 2))
     try:
-        if order is None or struct.unpack_from(order + "H", content, 2) != (42,):
+        if order is None or unpack(order + "H", 2) != (42,):
             raise ValueError("not a TIFF file")
-        (at,) = struct.unpack_from(order + "I", content, 4)
+        (at,) = unpack(order + "I", 4)
         fields = {}
-        for k in range(struct.unpack_from(order + "H", content, at)[0]):
-            tag, kind, n = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+        for k in range(unpack(order + "H", at)[0]):
+            tag, kind, n = unpack(order + "HHI", at + 2 + 12 * k)
             if kind in FIELD:
                 form = f"{order}{n}{FIELD[kind]}"
                 place = at + 10 + 12 * k
                 if struct.calcsize(form) > 4:
-                    (place,) = struct.unpack_from(order + "I", content, place)
-                fields[tag] = struct.unpack_from(form, content, place)
+                    (place,) = unpack(order + "I", place)
+                fields[tag] = unpack(form, place)
         width, height = fields[WIDTH][0], fields[HEIGHT][0]
         bits, form = fields.get(BITS, (1,)), fields.get(SAMPLE_FORMAT, (1,))[0]
         if fields.get(SAMPLES, (1,))[0] != 1 or fields.get(PREDICTOR, (1,))[0] != 1 or bits[0] not in (8, 16, 32, 64) or form not in KIND or (form == 3 and bits[0] == 8):
@@ -46,12 +63,43 @@ def decode_tiff(content: bytes) -> np.ndarray:
         packed = fields.get(COMPRESSION, (1,))[0]
         if packed not in (1, 8, 32946):
             raise ValueError(f"TIFF compression {packed} is not supported")
-        strips = (content[s : s + n] for s, n in zip(fields[STRIPS], fields[STRIP_BYTES], strict=True))
-        data = b"".join(s if packed == 1 else zlib.decompress(s) for s in strips)
-        pixels = np.frombuffer(data, np.dtype(f"{order}{KIND[form]}{bits[0] // 8}"), width * height)
-    except (struct.error, KeyError, zlib.error) as e:
+        starts, sizes = fields[STRIPS], fields[STRIP_BYTES]
+    except (struct.error, KeyError) as e:
+        raise ValueError(f"broken TIFF file: {e}") from e
+    if len(starts) != len(sizes):
+        raise ValueError("broken TIFF file: strips without a length")
+    rows = max(1, min(fields.get(ROWS, (height,))[0], height))
+    return Layout(width, height, np.dtype(f"{order}{KIND[form]}{bits[0] // 8}"), packed != 1, rows, starts, sizes)
+
+
+def decode_tiff(content: bytes) -> np.ndarray:
+    """(height, width) array of a file's first picture, of the kinds that ``tiff_layout`` knows."""
+    t = tiff_layout(lambda at, n: content[at : at + n])
+    try:
+        strips = (content[s : s + n] for s, n in zip(t.starts, t.sizes, strict=True))
+        data = b"".join(zlib.decompress(s) if t.deflated else s for s in strips)
+        return np.frombuffer(data, t.dtype, t.width * t.height).reshape(t.height, t.width)
+    except zlib.error as e:
         raise ValueError(f"broken TIFF file: {e}") from e
-    return pixels.reshape(height, width)
+
+
+def encode_tiff(pixels: np.ndarray, rows: int = 64) -> bytes:
+    """A little-endian TIFF of an (height, width) array, in deflated strips of ``rows`` rows."""
+    pixels = np.ascontiguousarray(pixels, pixels.dtype.newbyteorder("<"))
+    height, width = pixels.shape
+    strips = [zlib.compress(pixels[y : y + rows].tobytes()) for y in range(0, height, rows)]
+    sizes = [len(s) for s in strips]
+    starts = [8 + int(x) for x in np.cumsum([0, *sizes[:-1]])]
+    kind = {v: k for k, v in KIND.items()}[pixels.dtype.kind]
+    values = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [8 * pixels.itemsize]), (COMPRESSION, [8]), (STRIPS, starts), (SAMPLES, [1]), (ROWS, [rows]), (STRIP_BYTES, sizes), (SAMPLE_FORMAT, [kind])]
+    body, more, end = b"", b"", 8 + sum(sizes)
+    for tag, v in values:
+        packed = struct.pack(f"<{len(v)}I", *v)
+        if len(packed) > 4:
+            packed, more = struct.pack("<I", end + len(more)), more + packed
+        body += struct.pack("<HHI", tag, 4, len(v)) + packed
+    at = end + len(more)
+    return b"II*\0" + struct.pack("<I", at) + b"".join(strips) + more + struct.pack("<H", len(values)) + body + bytes(4)
 
 
 def stack_projections(stack: DataFrame) -> DataFrame:
