@@ -28,6 +28,8 @@ NAME = "rayframe_scan"
 SCHEMA = "view int, line long, pixel_row int, pixel_column int, value double"
 #: Bytes of files in a partition, and bytes that a task holds of an image at a time.
 PARTITION_BYTES, CHUNK = 64 << 20, 4 << 20
+#: What opening a file counts for, in bytes.
+OPENING = 1 << 20
 
 TESTS = {
     EqualTo: lambda view, v: view == v,
@@ -75,13 +77,13 @@ class ScanReader(DataSourceReader):
         for view, path, size in _listed(self.pattern):
             if not all(TESTS[kind](view, v) for kind, v in self.filters):
                 continue
-            if n + size > self.size and held:
+            if n + size + OPENING > self.size and held:
                 out, held, n = [*out, Run(held)], [], 0
             # All runs but a file's last are partitions of their own.
             starts = range(0, max(size, 1), self.size)
             out += [Run([(view, path, s, s + self.size)]) for s in starts[:-1]]
             held.append((view, path, starts[-1], size))
-            n += size - starts[-1]
+            n += size - starts[-1] + OPENING
         return [*out, Run(held)] if held else out
 
     def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
