@@ -76,6 +76,21 @@ def test_recall_and_precision(spark):
         assert len(rows) - len(got) >= 0.95 * (len(rows) - len(want)) > 0
 
 
+def test_no_link_is_lost_behind_nearer_pairs(spark):
+    """Groups of copies whose pairs lie about the threshold: nearer fingerprints span them, and not all of those links hold."""
+    rng, rows = random.Random(11), []
+    for _ in range(2):
+        base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        for _ in range(100):
+            text = list(base)
+            for _ in range(rng.randrange(4, 7)):
+                text[rng.randrange(400)] = f"y{rng.randrange(9000)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for bucket in (20_000, 40):
+        assert {r.doc_id for r in similar.distinct_documents(df, bucket=bucket).select("doc_id").collect()} == kept(rows)
+
+
 def test_long_fingerprints_tell_similarity():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.9):
