@@ -85,7 +85,14 @@ def outlines(views: DataFrame, of: list[Cube]) -> DataFrame:
 
 
 def overlap_areas(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> DataFrame:
-    """(view, k, area): the detector's area that lies in the shadows of both boxes of pair k, 0 where one has none."""
+    """(view, k, area): the detector's area that lies in the shadows of both boxes of pair k, 0 where one has none.
+
+    Views are short rows that cost much work, so a table of them is dealt to all cores first, however few its files are.
+    """
+    return _areas(views.repartition(views.sparkSession.sparkContext.defaultParallelism), pairs)
+
+
+def _areas(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> DataFrame:
     both = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(p[j][i][d])).alias(f"{x}{n}{d}") for j, x in enumerate("xy") for d in range(3) for i, n in enumerate("lh")]) for k, p in enumerate(pairs)])
     rows = _framed(views).select("*", F.inline(both))
     x, y = F.col("half0"), F.col("half1")
@@ -101,7 +108,7 @@ def overlap_areas(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> DataFrame
 def overlaps(views: DataFrame, pairs: list[tuple[Cube, Cube]]) -> list[float]:
     """The overlaps of pairs of boxes, each summed over all views."""
     out = [0.0] * len(pairs)
-    for k, x in overlap_areas(views, pairs).groupBy("k").agg(F.sum("area")).collect():
+    for k, x in _areas(views, pairs).groupBy("k").agg(F.sum("area")).collect():
         out[k] = x
     return out
 

@@ -207,6 +207,14 @@ def test_outlines(scan):
     assert grcb.overlaps(views, [(box, box), (box, ((0.2, 0.3, 0.6), (0.7, 0.9, 0.9)))])[0] > 0
 
 
+def test_overlap_areas_use_all_cores(spark, scan):
+    """Views that come in one task are dealt out; each has its rows, as before."""
+    views, pairs = scan[0].coalesce(1), [grcb.split_at(((0.0,) * 3, (1.0,) * 3), 0.5, d) for d in range(3)]
+    got = grcb.overlap_areas(views, pairs)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, grcb._areas(views, pairs).collect()))
+
+
 def test_search(scan):
     """All keys at once come to the cuts of plain halving, in a number of jobs that does not depend on their number."""
     views, _, _ = scan
