@@ -203,6 +203,28 @@ def box_intersection(p: Vec, p2: Vec, box: Vec) -> Vec:
     return [F.coalesce(best["x"], F.lit(-1.0)), best["y"]]
 
 
+def box_hits(df: DataFrame, keys: list[str], p: Vec, p2: Vec, box: Vec) -> DataFrame:
+    """``box_intersection`` of every row: ``keys``, x0 and x1, in short steps."""
+    z = F.lit(0.0)
+    edges = [([z, z], [z, box[1]]), ([z, box[1]], box), ([box[0], z], box), ([z, z], [box[0], z])]
+    k = range(len(edges))
+    rows = computed(df, keys, [*named(p, "_p"), *named(sub(p2, p), "_r")])
+    p, r, own = cols("_p", 2), cols("_r", 2), [*keys, *names("_p", 2), *names("_r", 2)]
+    at = []
+    for i, (a, b) in enumerate(edges):
+        s, d = sub(b, a), sub(a, p)
+        rs = r[0] * s[1] - r[1] * s[0]
+        safe = F.when(rs > EPSILON, rs)
+        at += [((d[0] * s[1] - d[1] * s[0]) / safe).alias(f"_t{i}"), ((d[0] * r[1] - d[1] * r[0]) / safe).alias(f"_u{i}")]
+    rows = computed(rows, own, at)
+    met = [F.col(f"_t{i}").between(0, 1) & F.col(f"_u{i}").between(0, 1) for i in k]
+    rows = computed(rows, own[:-2], [F.when(met[i], p[j] + F.col(f"_t{i}") * r[j]).alias(f"_{c}{i}") for i in k for j, c in enumerate("xy")])
+    hits = [(F.col(f"_x{i}"), F.col(f"_y{i}")) for i in k]
+    usable = [F.when(x.isNotNull() & ((x != 0) | (y != 0)), F.struct(distance(p, [x, y]).alias("d"), x.alias("x"), y.alias("y"))).alias(f"_e{i}") for i, (x, y) in enumerate(hits)]
+    best = computed(computed(rows, keys, usable), keys, [F.least(*[f"_e{i}" for i in k]).alias("_best")])
+    return best.select(*keys, F.coalesce("_best.x", F.lit(-1.0)).alias("x0"), F.col("_best.y").alias("x1"))
+
+
 def plane_intersection(source: Vec, direction: Vec, point: Vec, normal: Vec) -> Vec:
     """Where a ray meets a plane; nulls where it runs along it."""
     k = dot(normal, direction)

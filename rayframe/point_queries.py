@@ -134,7 +134,7 @@ def _box_crossing_sql() -> str:
 def box_crossings(spark, sf_dir):
     """The first edge of a rectangle that a segment meets."""
     rows = V.computed(points(spark, sf_dir), KEYS, [(F.col("a0") - 0.5).alias("p0"), (F.col("a1") - 0.4).alias("p1"), (F.col("b0") + 0.3).alias("q0"), (F.col("b1") + 0.2).alias("q1")])
-    return _out(rows.select(*KEYS, *V.named(V.box_intersection(V.cols("p", 2), V.cols("q", 2), V.lit((0.9, 0.8))), "x")))
+    return _out(V.box_hits(rows, KEYS, V.cols("p", 2), V.cols("q", 2), V.lit((0.9, 0.8))))
 
 
 K = "(0.2 * (b0 - 0.5) + 0.3 * b1 + 0.9 * (b2 - 0.2))"

@@ -42,6 +42,17 @@ def test_segments(spark):
     assert value(spark, *V.line_intersection(*[V.lit(p) for p in ((0, 0), (1, 1), (2, 0), (0, 1))])) == (2.0, 2.0)
 
 
+def test_box_hits(spark):
+    """Of many segments, some along edges or from a corner, the same hits in steps as by one expression; keys stay."""
+    rng = np.random.default_rng(5)
+    ends = [(i, *map(float, x)) for i, x in enumerate([*rng.uniform(-1, 2, (300, 4)), (0, 0, 0, 1), (-1, 0, 2, 0), (0.5, -1, 0.5, 3), (0, 0, 1, 1), (0.9, 0.8, -1, -1)])]
+    rows = spark.createDataFrame(ends, "id int, p0 double, p1 double, q0 double, q1 double")
+    p, q, box = V.cols("p", 2), V.cols("q", 2), V.lit((0.9, 0.8))
+    got = {r.id: (r.x0, r.x1) for r in V.box_hits(rows, ["id"], p, q, box).collect()}
+    want = {r.id: (r.x0, r.x1) for r in rows.select("id", *V.named(V.box_intersection(p, q, box), "x")).collect()}
+    assert got == want and len(set(want.values())) > 50 and (-1.0, None) in want.values()
+
+
 def test_inside(spark):
     v = Volume.cube(4, 2)
     points = [(0, 0), (4, 4), (2, 2), (1, 2), (0, 4), (4, 0), (1, 1)]
