@@ -3,8 +3,9 @@
 Each part's elements lie in one bucket, and so do its image, its lines and its sums. Joins and aggregations by (place,
 voxel) or (place, line) then need no shuffle: what moves in an iteration are partial sums of shared lines, to the part
 that owns a line and back, and nothing else. A line's owner is one of the parts that hold it, in turn by line number, or
-as ``exchange.contributions`` says. A part is one task's work: its image and its lines are held in memory, its elements
-stream. There should be as many parts as the cluster has cores, or more.
+as ``exchange.contributions`` says. A part of up to ``SLICE`` elements is one task's work: its image and its lines are held
+in memory, its elements stream. Larger ones are cut into slices by line, each a place of its own with a copy of the part's
+image; sums over voxels are then added up over a part's slices too.
 
 Spark hashes a bucket's key. ``places`` finds a number for each bucket, so that every bucket has exactly one part.
 """
@@ -26,6 +27,9 @@ from ..plans.trees import Box
 from ..storage import bucketed, discard, keep
 from . import linop as L
 
+#: Elements of a part, on average, that one task takes; parts with more are cut into slices.
+SLICE = 1 << 19
+
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -69,9 +73,9 @@ def _stamp(each: int = 1) -> Column:
 class Parts:
     """A matrix dealt out to the boxes of a partitioning, and who shares which line."""
 
-    def __init__(self, matrix: DataFrame, volume: Volume, boxes: list[Box], shared: DataFrame | None = None):
+    def __init__(self, matrix: DataFrame, volume: Volume, boxes: list[Box], shared: DataFrame | None = None, slices: int = 1):
         """``shared``: (line, owner, part) of the holders of each line, as of ``contributed``; by default those with elements."""
-        self.spark, self.n = matrix.sparkSession, len(boxes)
+        self.spark, self.n, self.slices = matrix.sparkSession, len(boxes) * slices, slices
         self.places = places(self.spark, self.n)
         self.tables: list[DataFrame] = []
         with co_partitioned(self.spark):
@@ -90,9 +94,23 @@ class Parts:
             self.targets = self.put(others.select(F.col("owner").alias("place"), "line", F.col("place").alias("target")), "targets", placed=False)
 
     def place(self, part: Column) -> Column:
+        """The place of a part's slice that holds the row's ``line``."""
+        if self.slices > 1:
+            part = part * self.slices + F.pmod(F.xxhash64("line"), F.lit(self.slices))
         # Spark takes element_at for never null here, even where the index is.
         return F.when(part.isNotNull(), F.element_at(F.lit(self.places), part.cast("int") + 1))
 
+    def gathered(self, local: DataFrame) -> DataFrame:
+        """(place, voxel, value) summed over a part's slices, at each of them."""
+        if self.slices == 1:
+            return local
+        total = local.groupBy("voxel").agg(F.sum("value").alias("value"))  # a voxel is in one part
+        return local.select("place", "voxel").join(total, "voxel").select("place", "voxel", "value").repartition(self.n, "place")
+
+    def image(self, x: DataFrame) -> DataFrame:
+        """(voxel, value): slices have equal copies."""
+        return x.select("voxel", "value") if self.slices == 1 else x.groupBy("voxel").agg(F.min("value").alias("value"))
+
     def put(self, df: DataFrame, what: str, placed: bool = True) -> DataFrame:
         out = bucketed(df, f"parts-{what}", "place", self.n, placed)
         self.tables.append(out)
@@ -139,7 +157,9 @@ def sirt(
 ) -> DataFrame:
     """``solvers.sirt`` over parts: the same image. ``rounds`` gets a Round for every iteration."""
     spark = matrix.sparkSession
-    parts = Parts(matrix, volume, boxes, shared)
+    matrix = keep(matrix.select("line", "voxel", "value"), "parts-input")
+    parts = Parts(matrix, volume, boxes, shared, max(1, -(-matrix.count() // (SLICE * len(boxes)))))
+    discard(matrix)
     try:
         with co_partitioned(spark):
             return _iterate(parts, projections, beta, iterations, rounds, callback)
@@ -159,7 +179,9 @@ def _iterate(parts: Parts, projections: DataFrame, beta: float, iterations: int,
     rows = parts.lines.join(sums, ["place", "line"]).join(measured, ["place", "line"], "left")
     rows = parts.put(rows.select("place", "line", "owner", L.inverse(F.col("value")).alias("r"), F.coalesce("p", zero).alias("p")), "weights")
     parts.drop(sums, measured)
-    columns = parts.put(parts.matrix.groupBy("place", "voxel").agg(F.sum("value").alias("value")).select("place", "voxel", L.inverse(F.col("value"), beta).alias("c")), "columns")
+    local = parts.put(parts.matrix.groupBy("place", "voxel").agg(F.sum("value").alias("value")), "column-sums")
+    columns = parts.put(parts.gathered(local).select("place", "voxel", L.inverse(F.col("value"), beta).alias("c")), "columns")
+    parts.drop(local)
     x = parts.put(columns.select("place", "voxel", zero.alias("value")), "image")
     for k in range(iterations):
         began = time.time()
@@ -170,17 +192,22 @@ def _iterate(parts: Parts, projections: DataFrame, beta: float, iterations: int,
         sent, returned = Observation("sent"), Observation("returned")
         z = parts.put(parts.exchanged(d, sent, returned), "exchanged")
         moved = time.time() - moved
-        step = parts.product(z, "line", "voxel").select("place", "voxel", F.col("value").alias("step"))
+        own = parts.product(z, "line", "voxel").select("place", "voxel", "value")
+        if parts.slices > 1:
+            own = parts.put(own, "step")  # its rows are read twice
+        step = parts.gathered(own).select("place", "voxel", F.col("value").alias("step"))
         after = x.join(step, ["place", "voxel"], "left").join(columns, ["place", "voxel"])
         after = parts.put(after.select("place", "voxel", (F.col("value") + F.coalesce("step", zero) * F.col("c")).alias("value")), "image")
         if rounds is not None:
             by = d.groupBy("place").agg(F.min("begun").alias("a"), F.max("ended").alias("b")).collect()  # a row a part
-            number = {p: i for i, p in enumerate(parts.places)}
-            times = {number[r.place]: (r.b - r.a) / 1e9 for r in by if r.a is not None}
+            number = {p: i // parts.slices for i, p in enumerate(parts.places)}
+            times: dict[int, float] = {}
+            for r in (r for r in by if r.a is not None):
+                times[number[r.place]] = times.get(number[r.place], 0.0) + (r.b - r.a) / 1e9
             rounds.append(Round(time.time() - began, moved, sent.get["n"], returned.get["n"], times))
-        parts.drop(d, z, x)
+        parts.drop(d, z, x, *[own] * (parts.slices > 1))
         x = after
         if callback:
-            callback(x.select("voxel", "value"), k)
-    return keep(x.select("voxel", "value"), "parts-result") if iterations else spark.createDataFrame([], "voxel long, value double")
+            callback(parts.image(x), k)
+    return keep(parts.image(x), "parts-result") if iterations else spark.createDataFrame([], "voxel long, value double")
 

@@ -41,6 +41,21 @@ def test_same_image(spark, scan, counts):
     assert not spark.sql("SHOW TABLES").collect() and spark.conf.get(distributed.CO_PARTITION) == "true"
 
 
+def test_large_parts_are_sliced(spark, scan, monkeypatch):
+    """Parts above the limit go to several tasks, none of which has a whole part; image, values sent and times are as before."""
+    _, matrix, p = scan
+    boxes = trees.blocks(SPACE, (2, 2, 1))
+    made, rounds = [], []
+    monkeypatch.setattr(distributed, "SLICE", matrix.count() // 11)
+    monkeypatch.setattr(distributed.Parts, "close", lambda self, f=distributed.Parts.close: (made.append((self.n, max(r["count"] for r in self.matrix.groupBy("place").count().collect()))), f(self)))
+    got = values(distributed.sirt(matrix, p, SPACE, boxes, iterations=2, rounds=rounds))
+    want = values(solvers.sirt(matrix, p, iterations=2))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert made[0][0] == 12 and made[0][1] < 0.75 * matrix.count() / 4
+    assert all(r.sent == r.returned > 0 and set(r.forward) == {0, 1, 2, 3} for r in rounds)
+    assert not spark.sql("SHOW TABLES").collect()
+
+
 def test_exchange_as_predicted(spark, scan):
     """With owners by shadows, as many values go out and come back as the contributions say."""
     views, matrix, p = scan
