@@ -2,12 +2,14 @@
 
 A level of the tree is the same jobs, whatever the number of nodes in it: lines are cut at their nodes' boxes, their
 entries and exits counted by node, axis and voxel layer, and a sweep over each axis's layers, as running sums, finds each
-node's best cut. The driver sees a row a node. Lines then go to the left, the right, or both.
+node's best cut. The driver sees a row a node. Lines then go to the left, the right, or both, by a join with the nodes below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -72,6 +74,21 @@ def best_cuts(counts: DataFrame, weights: DataFrame, nodes: DataFrame, dim: int)
     )
 
 
+def _layered(hits: DataFrame, dim: int) -> DataFrame:
+    """``hits`` from ``bounded`` with what counting and splitting need of their ends: the layers a0.. and b0.. in which a
+    line enters and leaves its box, and w0.., the way it goes along each axis."""
+    ends = [V.truncated(F.col(f"{e}{d}")).cast("int").alias(f"{e}{d}") for e in "ab" for d in range(dim)]
+    ways = [V.sign(F.col(f"b{d}") - F.col(f"a{d}")).alias(f"w{d}") for d in range(dim)]
+    return hits.select("node", *V.cols("o", dim), *V.cols("u", dim), *ends, *ways)
+
+
+def _goes(dim: int) -> Column:
+    """Whether a line of the parent goes to the child ``node``: of both ends along the cut's axis, the lower decides on
+    the left, which is even, and the upper on the right."""
+    own = lambda f: reduce(lambda x, d: F.when(F.col("split_d") == d, f(f"a{d}", f"b{d}")).otherwise(x), range(1, dim), f("a0", "b0"))
+    return F.when(F.col("node") % 2 == 0, own(F.least) <= F.col("split_at")).otherwise(own(F.greatest) > F.col("split_at"))
+
+
 def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: float = 0.2) -> Tree:
     """The voxel tree of ``parts`` (a power of two, 2 or more) parts."""
     depth = parts.bit_length() - 1
@@ -81,19 +98,23 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
     at = volume.unroll(F.col("voxel"))
     weights = statistics.voxel_weights(kernels.closest(rays, volume))
     weights = keep(weights.select(*[x.cast("int").alias(f"i{d}") for d, x in enumerate(at)], "value"), "bisection-weights")
-    lines = voxel_lines(rays, volume).withColumn("node", F.lit(1))
+    lines = voxel_lines(rays, volume).select(*V.cols("o", dim), *V.cols("u", dim), F.lit(0).alias("parent"))
     nodes: dict[int, tuple[Box, int, float]] = {1: ([(0, n - 1) for n in volume.voxels], parts, epsilon)}
     tree: Tree = {}
     before = None
-    for _ in range(depth):
+    for level in range(depth):
         table = spark.createDataFrame(
-            [(k, *[x for ends in b for x in ends], e / (p.bit_length() - 1)) for k, (b, p, e) in nodes.items()],
-            "node int, " + ", ".join(f"lo_{d} int, hi_{d} int" for d in range(dim)) + ", epsilon double",
+            [(k, *[x for ends in b for x in ends], e / (p.bit_length() - 1), k // 2, *tree.get(k // 2, (0, 0))) for k, (b, p, e) in nodes.items()],
+            "node int, " + ", ".join(f"lo_{d} int, hi_{d} int" for d in range(dim)) + ", epsilon double, parent int, split_d int, split_at int",
         )
-        bounds = F.broadcast(table)  # a row a node of the level
-        cut = keep(bounded(lines.join(bounds, "node"), dim).drop("epsilon", *[f"{x}_{d}" for x in ("lo", "hi") for d in range(dim)]), "bisection-lines")
-        sign = [V.sign(F.col(f"b{d}") - F.col(f"a{d}")) for d in range(dim)]
-        events = F.array(*[F.struct(F.lit(d).alias("d"), V.truncated(F.col(f"{e}{d}")).cast("int").alias("layer"), (sign[d] if e == "a" else -sign[d]).alias("way")) for d in range(dim) for e in "ab"])
+        lines = lines.join(F.broadcast(table), "parent")  # a row a node of the level
+        if level:
+            lines = lines.where(_goes(dim))
+        cut = _layered(bounded(lines.select("node", *V.cols("o", dim), *V.cols("u", dim), *[f"{x}_{d}" for d in range(dim) for x in ("lo", "hi")]), dim), dim)
+        # The last level's lines are counted and go nowhere.
+        if level < depth - 1:
+            cut = keep(cut, "bisection-lines")
+        events = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"{e}{d}").alias("layer"), (F.col(f"w{d}") if e == "a" else -F.col(f"w{d}")).alias("way")) for d in range(dim) for e in "ab"])
         counts = cut.select("node", F.explode(events).alias("e")).groupBy("node", "e.d", "e.layer").agg(F.sum("e.way").alias("way"))
         numbers = F.lit(list(nodes))
         k = statistics.owner([F.col(f"i{d}") for d in range(dim)], [b for b, _, _ in nodes.values()])
@@ -101,12 +122,10 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
         layers = weights.select(k.alias("k"), "value", F.explode(by_axis).alias("e")).where("k IS NOT NULL")
         layers = layers.groupBy(numbers[F.col("k")].alias("node"), "e.d", "e.layer").agg(F.sum("value").alias("weight"))
         below: dict[int, tuple[Box, int, float]] = {}
-        chosen: dict[int, list[int]] = {}
-        for r in best_cuts(counts, layers, table, dim).collect():
+        for r in best_cuts(counts, layers, table.drop("parent", "split_d", "split_at"), dim).collect():
             box, p, eps = nodes[r.node]
             d, a = r.d, r.at
             tree[r.node] = (d, a)
-            chosen[r.node] = [d, a]
             for child, ends, weight in ((2 * r.node, (box[d][0], a), r.left), (2 * r.node + 1, (a + 1, box[d][1]), r.total - r.left)):
                 own = list(box)
                 own[d] = ends
@@ -114,13 +133,7 @@ def partition_bisection(rays: DataFrame, volume: Volume, parts: int, epsilon: fl
         if before is not None:
             discard(before)
         before = cut
-        # Of both ends along the cut's axis: the lower decides on the left, the upper on the right.
-        ends = [F.element_at(F.array(*[V.truncated(F.col(f"{e}{d}")) for d in range(dim)]), F.col("split")[0] + 1) for e in "ab"]
-        # The nodes of a level are numbered without a gap.
-        place = F.col("node") - min(nodes)
-        cut = cut.withColumn("split", F.array(*[F.lit([chosen[n][k] for n in sorted(nodes)])[place] for k in range(2)]))
-        go = F.array_compact(F.array(F.when(F.least(*ends) <= F.col("split")[1], 2 * F.col("node")), F.when(F.greatest(*ends) > F.col("split")[1], 2 * F.col("node") + 1)))
-        lines = cut.select("line", *V.cols("o", dim), *V.cols("u", dim), F.explode(go.cast("array<int>")).alias("node"))
+        lines = cut.withColumnRenamed("node", "parent")
         nodes = dict(sorted(below.items()))
     discard(before, weights)
     return tree

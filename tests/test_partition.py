@@ -128,6 +128,18 @@ def test_bisection(scan, parts):
         bisection.partition_bisection(rays, V8, 3)
 
 
+def test_bisection_writes_few_bytes(scan, monkeypatch):
+    """Lines of the last level are not written; of the others, no more than origin, direction, layers and ways."""
+    _, rays, _ = scan
+    written, keep = [], bisection.keep
+    monkeypatch.setattr(bisection, "keep", lambda df, what: written.append((what, dict(df.dtypes))) or keep(df, what))
+    bisection.partition_bisection(rays, V8, 8, 0.4)
+    lines = [kinds for what, kinds in written if what == "bisection-lines"]
+    assert len(lines) == 2
+    for kinds in lines:
+        assert [c for c, kind in kinds.items() if kind != "int"] == [f"{c}{d}" for c in "ou" for d in range(3)]
+
+
 def test_trivial(scan):
     _, _, matrix = scan
     axis, boxes, volume = bisection.partition_trivial(matrix, V8, 2)
