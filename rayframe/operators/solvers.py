@@ -407,37 +407,44 @@ def truncated_svd(matrix: DataFrame, rank: int, oversample: int = 4, powers: int
     Products with the matrix run in Spark on all ``rank + oversample`` columns at once, which are then orthonormalised
     by a tree of QR factorisations (``tall.factor``), so values far below the largest are as exact as in a dense
     factorisation. Only triangles of that many columns come to the driver. With at least as many columns as the matrix
-    has lines or voxels the result is the whole decomposition; vectors beyond the matrix' rank have a value of 0.
+    has lines or voxels the result is the whole decomposition; vectors beyond the matrix' rank have a value of 0. Where
+    the voxels are that few, one factorisation of the matrix, with a column a voxel, takes the place of the range finder.
     ``mask``: a condition on ``voxel`` or ``line``; what it leaves out counts as zero. Elements that hit a voxel twice
     are added up; a null value counts as zero.
     """
-    m, vs = rank + oversample, _Vectors()
-    a = keep((matrix if mask is None else matrix.filter(mask)).select("line", "voxel", F.coalesce("value", F.lit(0.0)).cast("double").alias("value")), "svd-matrix")
+    m = rank + oversample
+    known = (matrix if mask is None else matrix.filter(mask)).filter("line IS NOT NULL AND voxel IS NOT NULL")
+    a = keep(known.select("line", "voxel", F.coalesce("value", F.lit(0.0)).cast("double").alias("value")), "svd-matrix")
     names = tall.columns(m)
+    # With no more voxels than columns, each voxel is a column and the factors of the matrix itself are all that is needed.
+    if len(few := sorted(r.voxel for r in a.select("voxel").distinct().limit(m + 1).collect())) <= m:
+        column = dict(enumerate(few))
+        dense = a.groupBy("line").agg(*[F.sum(F.when(F.col("voxel") == column[k], F.col("value")).otherwise(0.0)).alias(c) if k in column else F.lit(0.0).alias(c) for k, c in enumerate(names)])
+        q, r = tall.factor(dense, "line", m)
+        u_small, sigma, v_small = np.linalg.svd(r)
+        left = keep(tall.long_form(tall.times(q, "line", m, u_small[:, :rank]), "line", rank), "svd-left")
+        entries = [(k, voxel, float(v_small[k, i])) for k in range(rank) for i, voxel in column.items()]
+        right = matrix.sparkSession.createDataFrame(entries, "k int, voxel long, value double")
+        discard(a, q)
+        return sigma[:rank], left, right
 
     def times(x: DataFrame, on: str, to: str) -> DataFrame:
-        sums = [F.sum(F.col("value") * F.col(c)).alias(c) for c in names]
-        return vs.keep(a.join(x, on).groupBy(to).agg(*sums), "svd-product")
-
-    def orthonormal(x: DataFrame, on: str) -> tall.Factors:
-        found = tall.factor(x, on, m)
-        vs.held.append(found.q)
-        vs.only(found.q)
-        return found
+        return a.join(x, on).groupBy(to).agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in names])
 
     # A hash of the voxel, not a draw, so that a lost task makes the same numbers again.
     u = lambda k, i: (F.pmod(F.xxhash64("voxel", F.lit(k), F.lit(seed + i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     normal = [(F.sqrt(-2 * F.log(u(k, 0))) * F.cos(u(k, 1) * 2 * np.pi)).alias(c) for k, c in enumerate(names)]
-    q = orthonormal(times(a.select("voxel").distinct().select("voxel", *normal), "voxel", "line"), "line").q
+    # A product is read once, by the blocks of its factorisation, so it is not written.
+    q = tall.factor(times(a.select("voxel").distinct().select("voxel", *normal), "voxel", "line"), "line", m).q
     for _ in range(powers):
-        q = orthonormal(times(q, "line", "voxel"), "voxel").q
-        q = orthonormal(times(q, "voxel", "line"), "line").q
+        for on, to in (("line", "voxel"), ("voxel", "line")):
+            before, q = q, tall.factor(times(q, on, to), to, m).q
+            discard(before)
     b = tall.factor(times(q, "line", "voxel"), "voxel", m)  # Q^T A, transposed
     u_small, sigma, v_small = np.linalg.svd(b.r)
     left = keep(tall.long_form(tall.times(q, "line", m, v_small[:rank].T), "line", rank), "svd-left")
     right = keep(tall.long_form(tall.times(b.q, "voxel", m, u_small[:, :rank]), "voxel", rank), "svd-right")
-    vs.only()
-    discard(a, b.q)
+    discard(a, q, b.q)
     return sigma[:rank], left, right
 
 

@@ -84,3 +84,29 @@ def test_zero_matrix(spark):
     assert [r.value for r in solvers.low_rank(a, sigma, left, right).collect()] == [0.0] * 6
     sigma, left, right = solvers.truncated_svd(elements(spark, np.zeros((1, 1))).limit(0), 2)
     assert not sigma.any() and left.count() == right.count() == 0
+
+
+def test_few_voxels_are_factored_once(spark, monkeypatch):
+    """The matrix is written once, and then as often as one factorisation writes it, not once a product."""
+    written = []
+    for module in (solvers, tall):
+        monkeypatch.setattr(module, "keep", lambda df, what, keep=module.keep: written.append(what) or keep(df, what))
+    a = np.random.default_rng(4).normal(size=(50, 4)) * [1, 1e-4, 1e-8, 1e-11]
+    sigma, left, right = solvers.truncated_svd(elements(spark, a), 4, oversample=0)
+    assert [written.count(x) for x in ("svd-matrix", "qr-blocks", "qr-rows", "svd-left")] == [1] * 4 and not {"svd-product", "svd-right"} & set(written)
+    assert np.abs(sigma - np.linalg.svd(a)[1]).max() < 1e-14
+    got = {(r.line, r.voxel): r.value for r in solvers.low_rank(elements(spark, a), sigma, left, right).collect()}
+    assert all(abs(got[i, j] - v) < 1e-14 for (i, j), v in np.ndenumerate(a))
+
+
+def test_more_voxels_than_columns(spark):
+    """The range finder: small values of a matrix that has more voxels than there are columns, and nulls."""
+    rng = np.random.default_rng(5)
+    u, v = np.linalg.qr(rng.normal(size=(60, 6)))[0], np.linalg.qr(rng.normal(size=(20, 6)))[0]
+    want = 10.0 ** -np.arange(0, 12, 2)
+    a = (u * want) @ v.T
+    nulls = spark.createDataFrame([(None, 1, 5.0), (1, None, 5.0), (1, 1, None)], "line long, voxel long, value double")
+    sigma, left, right = solvers.truncated_svd(elements(spark, a).union(nulls), 6)
+    assert np.abs(sigma - want).max() < 1e-14
+    got = {(r.line, r.voxel): r.value for r in solvers.low_rank(elements(spark, a), sigma, left, right).collect()}
+    assert all(abs(got[i, j] - x) < 1e-13 for (i, j), x in np.ndenumerate(a))
