@@ -40,6 +40,31 @@ def test_schema_and_partitions(spark, stack):
     assert len(scan.ScanReader({"path": pattern}).partitions()) == 1
 
 
+def test_small_images_share_tasks(tmp_path):
+    """A stack of many small images is read by few tasks, by as many as run at a time if it is short."""
+    for v in range(1100):
+        (tmp_path / f"s_{v}.tif").write_bytes(b"never opened")
+    for tasks, least, most in ((1, 2, 4), (8, 8, 9), (2000, 1100, 1100)):
+        parts = scan.ScanReader({"path": f"{tmp_path}/s_*.tif", "tasks": str(tasks)}).partitions()
+        assert least <= len(parts) <= most and sorted(p[0] for r in parts for p in r.pieces) == list(range(1100))
+
+
+def test_images_are_written_by_partition(spark, tmp_path):
+    """One Python function writes all views of a task, in turn, and a view's rows may come in several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pixels = spark.range(40 * 24).selectExpr("id % 40 AS view", "CAST(id DIV 40 DIV 6 AS INT) AS pixel_row", "CAST(id DIV 40 % 6 AS INT) AS pixel_column", "CAST(id AS DOUBLE) AS value")
+        wrote = scan.write_scan(pixels.filter("value > 0"), 6, 4, f"file://{tmp_path}/p_*.tif")
+        assert "FlatMapGroups" not in wrote._jdf.queryExecution().toString()
+        assert sorted((r.view, r.path) for r in wrote.collect()) == sorted((v, f"file://{tmp_path}/p_{v}.tif") for v in range(40))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    back = scan.read_scan(spark, f"file://{tmp_path}/p_*.tif").collect()
+    assert sorted(r.value for r in back) == list(map(float, range(40 * 24)))
+    assert all(r.value == (r.pixel_row * 6 + r.pixel_column) * 40 + r.view for r in back)
+    assert scan.write_scan(pixels.limit(0), 6, 4, f"file://{tmp_path}/q_*.tif").count() == 0
+
+
 def test_filters_choose_files(spark, stack, tmp_path):
     pattern, data = stack
     reader = scan.ScanReader({"path": pattern})
